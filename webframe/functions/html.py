@@ -16,25 +16,31 @@ TAGS = (
     r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
     r"|<script(?=[\s/>]).*?(?:</script(?=[\s/>])|\z)"
     r"|<style(?=[\s/>]).*?(?:</style(?=[\s/>])|\z)"
-    rf"|<((?:a|meta)(?=[\s/>]){_ATTRS})>"
+    rf"|<((?:a|meta)(?=[\s/]){_ATTRS}>?)"
 )
 ENTITY = r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 
 def link_tags(html: Column) -> Column:
-    """The inner texts of all <a ...> and <meta ...> tags, in document order."""
-    return F.filter(F.regexp_extract_all(html, F.lit(TAGS), F.lit(1)), lambda t: t != "")
+    """The texts of all closed <a ...> and <meta ...> tags after their '<', in document order.
+
+    An unclosed tag takes in the rest of the page, as browsers do, which also keeps the scan linear."""
+    return F.filter(F.regexp_extract_all(html, F.lit(TAGS), F.lit(1)), lambda t: t.endswith(">"))
 
 
 def is_tag(tag: Column, name: str) -> Column:
     return tag.rlike(rf"(?i)^{name}(?=[\s/]|$)")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of the first attribute `name`, without its quotes; '' when absent."""
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute `name` as it is written, quotes included; '' when absent."""
     skip = rf"(?:[\s/]++|(?!{name}\s*+=)[^\s/>=][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+|=)*+"
-    raw = F.regexp_extract(tag, rf"(?is)^[a-z]++{skip}{name}\s*+=\s*+({_VALUE})", 1)
-    return F.when(raw.rlike("^[\"']"), F.substring(raw, 2, F.length(raw) - 2)).otherwise(raw)
+    return F.regexp_extract(tag, rf"(?is)^[a-z]++{skip}{name}\s*+=\s*+({_VALUE})", 1)
+
+
+def unquoted(raw: Column) -> Column:
+    quoted = raw.startswith('"') | raw.startswith("'")
+    return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
 def _character(code: Column) -> Column:
@@ -61,19 +67,26 @@ def unescape(text: Column) -> Column:
 
 
 def hrefs(tags: Column) -> Column:
-    """href of every <a> that has one and is not marked rel=nofollow; duplicates kept."""
-    anchors = F.filter(
-        tags, lambda t: is_tag(t, "a") & (F.lower(unescape(attribute(t, "rel"))) != "nofollow")
+    """href of every <a> that has one and is not marked rel=nofollow; duplicates kept.
+
+    One pass per step, so that each expression is worked out once per tag."""
+    anchors = F.filter(tags, lambda t: is_tag(t, "a"))
+    raw = F.transform(
+        anchors, lambda t: F.struct(raw_attribute(t, "href").alias("href"), raw_attribute(t, "rel").alias("rel"))
     )
-    values = F.transform(anchors, lambda t: unescape(attribute(t, "href")))
+    kept = F.filter(raw, lambda r: (r["href"] != "") & (F.lower(unquoted(r["rel"])) != "nofollow"))
+    values = F.transform(F.transform(kept, lambda r: unquoted(r["href"])), unescape)
     return F.filter(values, lambda h: h != "")
 
 
 def nofollow(tags: Column) -> Column:
     """True when a robots meta tag lists exactly 'nofollow' (list items are not trimmed)."""
+    metas = F.filter(tags, lambda t: is_tag(t, "meta"))
+    raw = F.transform(
+        metas, lambda t: F.struct(raw_attribute(t, "name").alias("name"), raw_attribute(t, "content").alias("content"))
+    )
     return F.exists(
-        tags,
-        lambda t: is_tag(t, "meta")
-        & (F.lower(attribute(t, "name")) == "robots")
-        & F.array_contains(F.split(F.lower(attribute(t, "content")), ","), "nofollow"),
+        raw,
+        lambda r: (F.lower(unquoted(r["name"])) == "robots")
+        & F.array_contains(F.split(F.lower(unquoted(r["content"])), ","), "nofollow"),
     )

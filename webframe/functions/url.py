@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 NETLOC_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
 LAST_SEGMENT_PARAMS = r";[^/]*$"
 DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
+# authority with its '//', path, query and non-empty fragment of a reference
+REFERENCE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#$|(#.+))?"
+# references that resolve to themselves, or to themselves at the root of the base
+PLAIN_URL = r"^https?://[^/?#;\[\]\x00-\x20]+(?:/[^?#;\x00-\x20]*)?(?:\?[^#\t\r\n]+)?$"
+PLAIN_ROOT = r"^/(?!/)(?!(?:[^?#]*/)?\.)[^?#;\t\r\n]*(?:\?[^#\t\r\n]+)?$"
 
 
 def scheme(url: Column) -> Column:
@@ -57,6 +64,7 @@ def base_parts(base: Column) -> Column:
     """What resolving against `base` needs, worked out once per page."""
     raw = F.regexp_extract(base, NETLOC_PATH, 2)
     return F.struct(
+        base.alias("whole"),
         scheme(base).alias("scheme"),
         netloc(base).alias("netloc"),
         _drop_empty_params(raw).alias("path"),
@@ -80,45 +88,66 @@ def _remove_dots(p: Column) -> Column:
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _question(query: Column) -> Column:
+    return F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
+
+
 def resolve(base: Column, href: Column) -> Column:
     """`href` resolved against an http(s) `base_parts` struct by RFC 3986, as urllib's urljoin does.
 
-    Null when a bracketed host is malformed, or the base has no host and href needs one."""
-    clean = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
-    own_scheme = scheme(clean)
-    rest = F.regexp_replace(clean, SCHEME, "")
-    loc = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
-    after = F.regexp_replace(rest, r"^//[^/?#]*", "")
-    fragment = F.regexp_extract(after, r"(#.+)$", 1)
-    query = F.regexp_extract(after, r"^[^?#]*\?([^#]*)", 1)
-    raw = F.regexp_extract(after, r"^([^?#]*)", 1)
-    params = F.regexp_extract(raw, r"(;[^/]+)$", 1)
-    p = F.regexp_replace(raw, LAST_SEGMENT_PARAMS, "")
-    merged = F.when(p.startswith("/"), p).otherwise(
-        F.regexp_replace(F.concat(F.when(base["folder"] == "", "/").otherwise(base["folder"]), p), "/+", "/")
+    Most links are whole urls or start at the root, and one match settles them; the others
+    are taken apart. Null when a bracketed host is malformed."""
+    return (
+        F.when(href.rlike(PLAIN_URL), href)
+        .when(href.rlike(PLAIN_ROOT), F.concat(base["scheme"], F.lit("://"), base["netloc"], href))
+        .when(href == "", base["whole"])
+        .otherwise(
+            _let(
+                F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", ""),
+                lambda clean: _let(
+                    F.struct(
+                        scheme(clean).alias("scheme"),
+                        F.regexp_extract(clean, REFERENCE, 1).alias("authority"),
+                        F.regexp_extract(clean, REFERENCE, 2).alias("raw"),
+                        F.regexp_extract(clean, REFERENCE, 3).alias("query"),
+                        F.regexp_extract(clean, REFERENCE, 4).alias("fragment"),
+                    ),
+                    lambda ref: _join(base, href, ref),
+                ),
+            )
+        )
     )
-    walked = F.when(merged.rlike(DOT_SEGMENT), _remove_dots(merged)).otherwise(merged)
 
-    def with_query(q: Column) -> Column:
-        return F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
 
-    own_path = _drop_empty_params(raw)
-    slash = F.when((own_path != "") & ~own_path.startswith("/"), "/").otherwise("")
-    absolute = F.concat(base["scheme"], F.lit("://"), loc, slash, own_path, with_query(query), fragment)
+def _join(base: Column, href: Column, ref: Column) -> Column:
+    tail = F.concat(_question(ref["query"]), ref["fragment"])
     root = F.concat(base["scheme"], F.lit("://"), base["netloc"])
-    same_page = F.concat(
-        root, base["path"], with_query(F.when(query == "", base["query"]).otherwise(query)), fragment
-    )
-    relative = F.concat(root, walked, params, with_query(query), fragment)
-    bad_brackets = loc.contains("[") != loc.contains("]")
+    params = F.regexp_extract(ref["raw"], r"(;[^/]+)$", 1)
+
+    def relative(p: Column) -> Column:
+        in_folder = F.concat(F.when(base["folder"] == "", "/").otherwise(base["folder"]), p)
+        merged = F.when(p.startswith("/"), p).otherwise(F.regexp_replace(in_folder, "/+", "/"))
+        return _let(merged, lambda m: F.when(m.rlike(DOT_SEGMENT), _remove_dots(m)).otherwise(m))
+
+    def at_authority(p: Column) -> Column:
+        slash = F.when((p != "") & ~p.startswith("/"), "/").otherwise("")
+        return F.concat(base["scheme"], F.lit(":"), ref["authority"], slash, p, tail)
+
+    same_page_query = F.when(ref["query"] == "", base["query"]).otherwise(ref["query"])
     return (
-        F.when(href == "", F.concat(root, base["path"], with_query(base["query"])))
-        .when((own_scheme != "") & (own_scheme != base["scheme"]), href)
-        .when(bad_brackets, None)
-        .when(loc != "", absolute)
-        .when(base["netloc"] == "", None)
-        .when((p == "") & (params == ""), same_page)
-        .otherwise(relative)
+        F.when((ref["scheme"] != "") & (ref["scheme"] != base["scheme"]), href)
+        .when(ref["authority"].contains("[") != ref["authority"].contains("]"), None)
+        .when(F.length(ref["authority"]) > 2, _let(_drop_empty_params(ref["raw"]), at_authority))
+        .when(ref["raw"].isin("", ";"), F.concat(root, base["path"], _question(same_page_query), ref["fragment"]))
+        .otherwise(
+            F.concat(_let(F.regexp_replace(ref["raw"], LAST_SEGMENT_PARAMS, ""), lambda p: F.concat(root, relative(p))),
+                     params, tail)
+        )
     )
 
 

@@ -49,7 +49,7 @@ def _one_version(docs: DataFrame, newest: bool) -> DataFrame:
     shuffle, so many copies of a url never meet in one task."""
     time = F.col("crawl_time").desc_nulls_last() if newest else F.col("crawl_time").asc_nulls_last()
     # ties in time are settled by code and text, so results do not vary by run
-    ties = [F.col("code").asc(), F.md5(F.col("body").cast("binary")).asc()]
+    ties = [F.col("code").asc(), F.xxhash64("body").asc()]
     order = Window.partitionBy("url").orderBy(time, *ties)
     return docs.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 

@@ -1,0 +1 @@
+"""The stateful parts of the crawl as Structured Streaming jobs."""
