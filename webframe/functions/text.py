@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed names under which servers write the two charsets decoded natively.
 UTF8 = ("utf-8", "utf8")
@@ -45,7 +46,7 @@ def charset(content_type: Column) -> Column:
     return F.when(first.isNull() | (value == ""), "utf-8").otherwise(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(body: pd.Series, name: pd.Series) -> pd.Series:
     def one(raw, codec):
         if raw is None or codec is None:

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from webframe.functions import url as U
 from webframe.operators.frontier import restrict_links
 from webframe.operators.robots import RuleLists, robots_allowed, rule_lists
 from webframe.session import new_folder, shuffle_partitions
@@ -87,10 +86,3 @@ def crawl_closure(
         number += 1
         _, to_expand = finish_round(found.join(before, "url", "left_anti"), number)
     return spark.read.parquet(reached).select("url", F.col("round").cast("int").alias("round"), "allowed")
-
-
-def crawl_hosts(closure: DataFrame) -> DataFrame:
-    """Reached and stopped urls per host."""
-    return closure.groupBy(U.host(F.col("url")).alias("host")).agg(
-        F.count("*").alias("reached"), F.count_if(~F.col("allowed")).alias("stopped")
-    )
