@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
 _ATTRS = rf"""(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+|=)*+"""
 TAGS = (
-    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
-    r"|<script(?=[\s/>]).*?(?:</script(?=[\s/>])|\z)"
-    r"|<style(?=[\s/>]).*?(?:</style(?=[\s/>])|\z)"
-    rf"|<((?:a|meta)(?=[\s/]){_ATTRS}>?)"
+    r"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\z))"
+    r"|script(?=[\s/>]).*?(?:</script(?=[\s/>])|\z)"
+    r"|style(?=[\s/>]).*?(?:</style(?=[\s/>])|\z)"
+    rf"|((?:a|meta)(?=[\s/]){_ATTRS}>?))"
 )
 ENTITY = r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+_ENTITIES = "\x01".join(f"&{name};\x02{chr(code)}" for name, code in sorted(name2codepoint.items()))
 
 
 def link_tags(html: Column) -> Column:
@@ -29,7 +30,8 @@ def link_tags(html: Column) -> Column:
 
 
 def is_tag(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?i)^{name}(?=[\s/]|$)")
+    """Whether one of link_tags' texts is an 'a' or a 'meta' tag: the first letter tells."""
+    return tag.startswith(name[0]) | tag.startswith(name[0].upper())
 
 
 def raw_attribute(tag: Column, name: str) -> Column:
@@ -50,7 +52,7 @@ def _character(code: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character references ended by ';' replaced by their characters."""
-    names = F.create_map(*[F.lit(v) for n, c in sorted(name2codepoint.items()) for v in (f"&{n};", chr(c))])
+    names = F.str_to_map(F.lit(_ENTITIES), F.lit("\x01"), F.lit("\x02"))
 
     def one(t: Column) -> Column:
         decimal = F.regexp_extract(t, r"^&#([0-9]+);", 1)

@@ -14,7 +14,7 @@ LATIN1 = ("iso-8859-1", "iso8859-1", "latin-1", "latin1")
 
 def lower_keys(headers: Column) -> Column:
     """Header names in lower case; values of names that then coincide are joined by ','."""
-    entries = F.map_entries(headers)
+    entries = F.array_sort(F.map_entries(headers))
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
     return F.map_from_arrays(
         names,
@@ -37,12 +37,13 @@ def media_type(content_type: Column) -> Column:
 
 def charset(content_type: Column) -> Column:
     """Charset of a content-type text: 'utf-8' unless named, null when the parameter has no '='."""
+    blank = F.lit(" \t\r\n\f\v")
     parts = F.split(content_type, ";")
     named = F.filter(
-        F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.lower(F.trim(p)).startswith("charset")
+        F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.lower(F.btrim(p, blank)).startswith("charset")
     )
     first = F.try_element_at(named, F.lit(1))
-    value = F.trim(F.try_element_at(F.split(first, "="), F.lit(2)))
+    value = F.btrim(F.try_element_at(F.split(first, "="), F.lit(2)), blank)
     return F.when(first.isNull() | (value == ""), "utf-8").otherwise(value)
 
 

@@ -51,8 +51,12 @@ def page_links(responses: DataFrame) -> DataFrame:
 
 
 def link_edges(docs: DataFrame) -> DataFrame:
-    """One row per page, position and link."""
-    return docs.select(F.col("url").alias("src"), F.posexplode("links").alias("pos", "dst")).select("src", "dst", "pos")
+    """One row per page, position and link.
+
+    An outer explode, since for an inner one Spark would filter pages by their number of links
+    first and find the links twice for that."""
+    each = docs.select(F.col("url").alias("src"), F.posexplode_outer("links").alias("pos", "dst"))
+    return each.filter(F.col("dst").isNotNull()).select("src", "dst", "pos")
 
 
 def map_pages(

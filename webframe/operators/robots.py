@@ -34,7 +34,8 @@ def robots_status_policy(robots_txt: DataFrame, mode: str = "pipeline") -> DataF
 def _parsed(robots_txt: DataFrame, lenient_tokens: bool) -> DataFrame:
     lines = robots_txt.withColumn("_lines", R.directives(F.col("content"), lenient_tokens))
     starts = lines.withColumn("_starts", R.group_starts(F.col("_lines")))
-    return starts.withColumn("_group", F.explode(R.groups(F.col("_lines"), F.col("_starts"))))
+    each = starts.withColumn("_group", F.explode_outer(R.groups(F.col("_lines"), F.col("_starts"))))
+    return each.filter(F.col("_group").isNotNull())
 
 
 def parse_robots(robots_txt: DataFrame, lenient_tokens: bool = True) -> DataFrame:

@@ -9,34 +9,34 @@ from pyspark.sql import functions as F
 
 from webframe.operators.frontier import restrict_links
 from webframe.operators.robots import RuleLists, robots_allowed, rule_lists
-from webframe.session import new_folder, shuffle_partitions
+from webframe.session import checkpointed, new_folder, shuffle_partitions
 from webframe.settings import CrawlSettings
 
-# A page with more links than this is spread over SALTS buckets. There are never more such
-# pages than links / HOT_LINKS, so their list stays small.
-HOT_LINKS = 100_000
-SALTS = 64
+# A page's links are spread over buckets in runs of this many.
+RUN = 100_000
+REACHED = "url string, allowed boolean, round int"
 
 
-def _bucketed_edges(edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, str]:
-    """Edges written once, bucketed by (src, salt), so that no round has to shuffle them."""
+def _bucketed_edges(edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """Edges written once, bucketed by (src, run), so that no round has to shuffle them.
+
+    `run` counts every RUN links of a page, so a page with very many links lies in many buckets.
+    Also gives the number of runs of the pages with more than one (None if there are none): at
+    most links / RUN rows, found by a filter that skips all files without such pages."""
     spark = edges.sparkSession
-    links = F.count("*").alias("_links")
-    hot = edges.groupBy("src").agg(links).filter(F.col("_links") > HOT_LINKS).select("src", F.lit(SALTS).alias("salts"))
-    hot.write.parquet(f"{folder}/hot")
-    hot = spark.read.parquet(f"{folder}/hot")
-    spread = F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
-    salted = edges.join(hot, "src", "left").select("src", spread.alias("salt"), "dst")
     n = shuffle_partitions(spark)
     table = f"webframe_edges_{uuid.uuid4().hex}"
     (
-        salted.repartition(n, "src", "salt")
-        .write.bucketBy(n, "src", "salt")
-        .sortBy("src", "salt")
+        edges.select("src", F.floor(F.col("pos") / RUN).cast("int").alias("run"), "dst")
+        .repartition(n, "src", "run")
+        .write.bucketBy(n, "src", "run")
+        .sortBy("src", "run")
         .option("path", f"{folder}/edges")
         .saveAsTable(table)
     )
-    return spark.table(table), hot, table
+    written = spark.table(table)
+    long_pages = written.filter("run > 0").groupBy("src").agg((F.max("run") + 1).alias("runs"))
+    return written, None if long_pages.isEmpty() else checkpointed(long_pages)
 
 
 def crawl_closure(
@@ -50,6 +50,8 @@ def crawl_closure(
 ) -> DataFrame:
     """Every url the crawl reaches: url, round in which it was first reached, allowed.
 
+    `edges` are EDGES rows (src, dst, pos).
+
     Seeds enter as they are. An allowed url is expanded: its links whose host is in the
     allow-list enter unless reached before. A url that robots rules stop is reached but not
     expanded. Ends when a round reaches nothing new, or after max_rounds.
@@ -60,10 +62,8 @@ def crawl_closure(
     spark = seeds.sparkSession
     folder = new_folder(spark, "closure")
     lists = rules if isinstance(rules, RuleLists) else rule_lists(rules, custom, keep=True)
-    followed = restrict_links(
-        edges.select("src", "dst"), domains, settings.follow_links, settings.mode, url="dst"
-    )
-    links, hot, table = _bucketed_edges(followed, folder)
+    followed = restrict_links(edges, domains, settings.follow_links, settings.mode, url="dst")
+    links, long_pages = _bucketed_edges(followed, folder)
     reached = f"{folder}/reached"
 
     def finish_round(urls: DataFrame, number: int) -> tuple[int, int]:
@@ -78,11 +78,13 @@ def crawl_closure(
     number = 0
     _, to_expand = finish_round(seeds.select("url").distinct(), number)
     while to_expand and (max_rounds is None or number < max_rounds):
-        front = spark.read.parquet(f"{reached}/round={number}").filter("allowed").select(F.col("url").alias("src"))
-        salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-        front = front.join(hot, "src", "left").select("src", F.explode(salts).alias("salt"))
-        found = links.join(front, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
-        before = spark.read.parquet(reached).select("url")
+        last = spark.read.schema("url string, allowed boolean").parquet(f"{reached}/round={number}")
+        front = last.filter("allowed").select(F.col("url").alias("src"), F.lit(0).alias("run"))
+        if long_pages is not None:
+            runs = F.sequence(F.lit(0), F.coalesce("runs", F.lit(1)) - 1)
+            front = front.drop("run").join(long_pages, "src", "left").select("src", F.explode(runs).alias("run"))
+        found = links.join(front, ["src", "run"]).select(F.col("dst").alias("url")).distinct()
+        before = spark.read.schema(REACHED).parquet(reached).select("url")
         number += 1
         _, to_expand = finish_round(found.join(before, "url", "left_anti"), number)
-    return spark.read.parquet(reached).select("url", F.col("round").cast("int").alias("round"), "allowed")
+    return spark.read.schema(REACHED).parquet(reached).select("url", "round", "allowed")

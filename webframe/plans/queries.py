@@ -97,8 +97,8 @@ def with_url_parts(spark, sf):
 
 def resolve_urls(spark, sf):
     p = T.pages(spark, sf).withColumn("tags", H.link_tags(F.col("html")))
-    hrefs = p.select(F.col("url").alias("base"), F.posexplode(H.hrefs(F.col("tags"))).alias("pos", "href"))
-    return urls.resolve_urls(hrefs)
+    hrefs = p.select(F.col("url").alias("base"), F.posexplode_outer(H.hrefs(F.col("tags"))).alias("pos", "href"))
+    return urls.resolve_urls(hrefs.filter(F.col("href").isNotNull()))
 
 
 def robots_urls(spark, sf):

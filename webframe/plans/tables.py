@@ -96,13 +96,13 @@ def ring_edges(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("page_id")
     targets = F.array((i * 7 + 1) % n, (i * 13 + 5) % n, (i + 17) % n)
     by_id = p.select(F.col("page_id").alias("target"), F.col("url").alias("dst"))
-    ids = p.select(F.col("url").alias("src"), F.explode(targets).alias("target"))
-    return ids.join(by_id, "target").select("src", "dst")
+    ids = p.select(F.col("url").alias("src"), F.posexplode(targets).alias("pos", "target"))
+    return ids.join(by_id, "target").select("src", "dst", "pos")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """All links in the pages, and the ring."""
-    return link_rows(spark, sf).select("src", "dst").unionByName(ring_edges(spark, sf))
+    return link_rows(spark, sf).unionByName(ring_edges(spark, sf))
 
 
 def host_seeds(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from webframe import schemas
 from webframe.operators.slots import polite_slots
-from webframe.settings import TRAFFIC_BUCKET_SECONDS
 from webframe.operators.stats import pages_per_second
+from webframe.settings import TRAFFIC_BUCKET_SECONDS
 from webframe.sources.docs import append_first_wins, write_docs
 
 
@@ -20,10 +21,12 @@ def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> St
 
 def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that the job itself writes, and that may not exist yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def stream_new_links(
