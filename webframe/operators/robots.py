@@ -79,35 +79,38 @@ def custom_ruleset(custom_rules: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RuleLists:
-    """Rules gathered so that a url meets one row per key.
+    """Rules gathered to one row per site, so that a url meets its rules in one join.
 
-    A site's robots rules come from one file, so its list is no longer than that file. The
-    operator's rules of a site have no such bound: they are gathered in lists of RULES_PER_LIST,
-    the first in `custom`, later ones in `more` (None when no site has any)."""
+    `sites` has site, files (robots_url and rules, one per scheme) and own (the operator's rules).
+    A file's list is no longer than that file. The operator's rules of a site have no such bound:
+    they are gathered in lists of RULES_PER_LIST, the first in `sites`, later ones in `more` (None
+    when no site has any)."""
 
-    robots: DataFrame
-    custom: DataFrame | None = None
+    sites: DataFrame
     more: DataFrame | None = None
 
 
 def _lists(rules: DataFrame, *keys: str) -> DataFrame:
     plain = ~F.col("path").contains("*") & ~F.col("path").endswith("$")
     rule = F.struct("rule_no", "allow", "path", "pattern", plain.alias("plain"))
-    return rules.groupBy(*keys).agg(F.sort_array(F.collect_list(rule)).alias("_rules"))
+    return rules.groupBy(*keys).agg(F.sort_array(F.collect_list(rule)).alias("rules"))
 
 
 def rule_lists(ruleset: DataFrame, custom: DataFrame | None = None, keep: bool = False) -> RuleLists:
     """Gather rules for repeated use; `keep` checkpoints the gathered lists."""
     hold = checkpointed if keep else (lambda df: df)
-    robots = hold(_lists(ruleset.filter("rule_no IS NOT NULL"), "robots_url"))
+    of_file = _lists(ruleset.filter("rule_no IS NOT NULL"), "robots_url")
+    sites = of_file.groupBy(U.host(F.col("robots_url")).alias("site")).agg(
+        F.collect_list(F.struct("robots_url", "rules")).alias("files")
+    )
     if custom is None:
-        return RuleLists(robots)
-    chunked = custom.withColumn("_list", F.floor((F.col("rule_no") - 1) / RULES_PER_LIST))
-    first = hold(_lists(chunked.filter("_list = 0"), "site"))
-    rest = chunked.filter("_list > 0")
-    if rest.isEmpty():
-        return RuleLists(robots, first)
-    return RuleLists(robots, first, hold(_lists(rest, "site", "_list")))
+        none = F.get("files", F.lit(0))["rules"]
+        return RuleLists(hold(sites.withColumn("own", F.when(F.lit(False), none))))
+    chunked = custom.withColumn("list", F.floor((F.col("rule_no") - 1) / RULES_PER_LIST))
+    own = _lists(chunked.filter("list = 0"), "site").withColumnRenamed("rules", "own")
+    sites = hold(sites.join(own, "site", "full"))
+    rest = chunked.filter("list > 0")
+    return RuleLists(sites, None if rest.isEmpty() else hold(_lists(rest, "site", "list")))
 
 
 def _verdict(rules: Column, target: Column) -> Column:
@@ -141,27 +144,24 @@ def robots_allowed(
         case _:
             raise ValueError(f"unknown target {target!r}")
     keyed = urls.withColumns({"_robots_url": U.robots_url(c), "_site": U.host(c), "_target": text})
-    by_file = lists.robots.select(F.col("robots_url").alias("_robots_url"), F.col("_rules").alias("_file_rules"))
-    out = keyed.join(by_file, "_robots_url", "left")
-    verdict = F.coalesce(_verdict(F.col("_file_rules"), F.col("_target")), F.lit(True))
-    extra = ["_robots_url", "_site", "_target", "_file_rules"]
-    if lists.custom is not None:
-        by_site = lists.custom.select(F.col("site").alias("_site"), F.col("_rules").alias("_site_rules"))
-        out = out.join(by_site, "_site", "left")
-        own = _verdict(F.col("_site_rules"), F.col("_target"))
-        extra.append("_site_rules")
-        if lists.more is not None:
-            later = _later_verdicts(keyed.select(c.alias("_later_url"), "_site", "_target"), lists.more)
-            out = out.join(later, c == F.col("_later_url"), "left")
-            own = F.coalesce(own, F.col("_later"))
-            extra += ["_later_url", "_later"]
-        verdict = verdict & F.coalesce(own, F.lit(True))
-    return out.withColumn("allowed", verdict).drop(*extra)
+    sites = lists.sites.select(F.col("site").alias("_site"), F.col("files").alias("_files"), F.col("own").alias("_own"))
+    out = keyed.join(sites, "_site", "left")
+    same_file = F.filter("_files", lambda f: f["robots_url"] == F.col("_robots_url"))
+    by_file = _verdict(F.try_element_at(same_file, F.lit(1))["rules"], F.col("_target"))
+    by_site = _verdict(F.col("_own"), F.col("_target"))
+    extra = ["_robots_url", "_site", "_target", "_files", "_own"]
+    if lists.more is not None:
+        later = _later_verdicts(keyed.select(c.alias("_later_url"), "_site", "_target"), lists.more)
+        out = out.join(later, c == F.col("_later_url"), "left")
+        by_site = F.coalesce(by_site, F.col("_later"))
+        extra += ["_later_url", "_later"]
+    yes = F.lit(True)
+    return out.withColumn("allowed", F.coalesce(by_file, yes) & F.coalesce(by_site, yes)).drop(*extra)
 
 
 def _later_verdicts(urls: DataFrame, more: DataFrame) -> DataFrame:
     """Verdict of the second and later lists of a site's rules, one row per url they decide."""
     lists = more.withColumnRenamed("site", "_site")
-    hit = urls.distinct().join(lists, "_site").withColumn("_allow", _verdict(F.col("_rules"), F.col("_target")))
+    hit = urls.distinct().join(lists, "_site").withColumn("_allow", _verdict(F.col("rules"), F.col("_target")))
     decided = hit.filter(F.col("_allow").isNotNull())
-    return decided.groupBy("_later_url").agg(F.min_by("_allow", "_list").alias("_later"))
+    return decided.groupBy("_later_url").agg(F.min_by("_allow", "list").alias("_later"))

@@ -75,10 +75,11 @@ def crawl_round(
 ) -> Round:
     """Take a batch per host, run the steps, follow links, and move what was processed to seen.
 
-    The processed batch is checkpointed: five results read it."""
+    The batch is checkpointed after robots rules have stopped rows (its urls only), so that the
+    archive is joined once, and when it is processed: five results read it."""
     plan = fetch_plan(next_batch(frontier), settings.domain_concurrency)
     steps = default_steps(docs, rules, archive, need_fetch)
-    results = checkpointed(run_pipeline(plan, steps))
+    results = checkpointed(run_pipeline(plan, steps, keep_gates=True))
     found = results.filter("stopped_by IS NULL").select(F.explode("links").alias("url")).withColumn("force", F.lit(False))
     followed = restrict_links(found, domains, settings.follow_links, settings.mode)
     left, done = mark_done(frontier, seen, results)
