@@ -64,11 +64,11 @@ def test_closure_limits(frame, graph):
 
 def test_bucketed_links_are_joined_without_a_shuffle(frame, spark, graph, monkeypatch):
     _, edges = graph
-    links, _ = C._bucketed_edges(frame(edges, schemas.EDGES), f"{work_folder(spark)}/bucketed")
+    links, _ = C._bucketed_edges(frame(edges, schemas.EDGES), "bucketed_edges", f"{work_folder(spark)}/bucketed")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        front = frame([("http://h0/0", 0)], "src string, run int")
-        plan = links.join(front, ["src", "run"])._jdf.queryExecution().executedPlan().toString()
+        front = frame([("http://h0/0",)], "src string")
+        plan = links.join(C._runs(front, None), ["src", "run"])._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.operators.frontier import restrict_links
@@ -17,7 +17,7 @@ RUN = 100_000
 REACHED = "url string, allowed boolean, round int"
 
 
-def _bucketed_edges(edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
+def _bucketed_edges(edges: DataFrame, table: str, folder: str) -> tuple[DataFrame, DataFrame | None]:
     """Edges written once, bucketed by (src, run), so that no round has to shuffle them.
 
     `run` counts every RUN links of a page, so a page with very many links lies in many buckets.
@@ -25,7 +25,6 @@ def _bucketed_edges(edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame
     most links / RUN rows, found by a filter that skips all files without such pages."""
     spark = edges.sparkSession
     n = shuffle_partitions(spark)
-    table = f"webframe_edges_{uuid.uuid4().hex}"
     (
         edges.select("src", F.floor(F.col("pos") / RUN).cast("int").alias("run"), "dst")
         .repartition(n, "src", "run")
@@ -39,6 +38,17 @@ def _bucketed_edges(edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame
     return written, None if long_pages.isEmpty() else checkpointed(long_pages)
 
 
+def _runs(front: DataFrame, long_pages: DataFrame | None) -> DataFrame:
+    """The runs (src, run) of the pages to expand.
+
+    Exploded even where every page has one run: a constant would drop out of the join's keys, and
+    with it the use of the buckets."""
+    last = F.lit(0)
+    if long_pages is not None:
+        front, last = front.join(long_pages, "src", "left"), F.coalesce("runs", F.lit(1)) - 1
+    return front.select("src", F.explode(F.sequence(F.lit(0), last)).alias("run"))
+
+
 def crawl_closure(
     seeds: DataFrame,
     edges: DataFrame,
@@ -56,35 +66,39 @@ def crawl_closure(
     allow-list enter unless reached before. A url that robots rules stop is reached but not
     expanded. Ends when a round reaches nothing new, or after max_rounds.
 
-    Each round writes its urls to the shared work folder, and the next one reads them from
-    there, so lineage stays short and a lost executor costs only the running round. The driver
-    sees two numbers per round. Links are filtered and bucketed by source page once."""
+    Links are filtered and bucketed by source page once, and each round appends its urls to a table
+    bucketed by url, both in the shared work folder. So a round shuffles only what it found, lineage
+    stays short, and a lost executor costs only the running round. The driver sees one boolean per
+    round."""
     spark = seeds.sparkSession
+    n = shuffle_partitions(spark)
     folder = new_folder(spark, "closure")
+    edges_table, reached_table = (f"webframe_{name}_{uuid.uuid4().hex}" for name in ("edges", "reached"))
     lists = rules if isinstance(rules, RuleLists) else rule_lists(rules, custom, keep=True)
     followed = restrict_links(edges, domains, settings.follow_links, settings.mode, url="dst")
-    links, long_pages = _bucketed_edges(followed, folder)
-    reached = f"{folder}/reached"
-
-    def finish_round(urls: DataFrame, number: int) -> tuple[int, int]:
-        """Write a round's new urls with their verdicts; how many there are, and how many to expand."""
-        seen = Observation()
-        checked = robots_allowed(urls, lists).observe(
-            seen, F.count("*").alias("new"), F.count_if("allowed").alias("open")
+    links, long_pages = _bucketed_edges(followed, edges_table, folder)
+
+    def finish_round(urls: DataFrame, number: int) -> DataFrame:
+        """Write a round's new urls with their verdicts; gives those to expand."""
+        checked = robots_allowed(urls, lists).select("url", "allowed", F.lit(number).alias("round"))
+        (
+            checked.repartition(n, "url")
+            .write.mode("append")
+            .partitionBy("round")
+            .bucketBy(n, "url")
+            .sortBy("url")
+            .option("path", f"{folder}/reached")
+            .saveAsTable(reached_table)
         )
-        checked.write.parquet(f"{reached}/round={number}")
-        return seen.get["new"], seen.get["open"]
+        new = spark.table(reached_table).filter((F.col("round") == number) & F.col("allowed"))
+        return new.select(F.col("url").alias("src"))
 
     number = 0
-    _, to_expand = finish_round(seeds.select("url").distinct(), number)
-    while to_expand and (max_rounds is None or number < max_rounds):
-        last = spark.read.schema("url string, allowed boolean").parquet(f"{reached}/round={number}")
-        front = last.filter("allowed").select(F.col("url").alias("src"), F.lit(0).alias("run"))
-        if long_pages is not None:
-            runs = F.sequence(F.lit(0), F.coalesce("runs", F.lit(1)) - 1)
-            front = front.drop("run").join(long_pages, "src", "left").select("src", F.explode(runs).alias("run"))
-        found = links.join(front, ["src", "run"]).select(F.col("dst").alias("url")).distinct()
-        before = spark.read.schema(REACHED).parquet(reached).select("url")
+    front = finish_round(seeds.select("url").distinct(), number)
+    while (max_rounds is None or number < max_rounds) and not front.isEmpty():
+        found = links.join(_runs(front, long_pages), ["src", "run"]).select(F.col("dst").alias("url")).distinct()
         number += 1
-        _, to_expand = finish_round(found.join(before, "url", "left_anti"), number)
-    return spark.read.schema(REACHED).parquet(reached).select("url", "round", "allowed")
+        front = finish_round(found.join(spark.table(reached_table).select("url"), "url", "left_anti"), number)
+    for table in (edges_table, reached_table):
+        spark.sql(f"DROP TABLE {table}")  # external: the files stay
+    return spark.read.schema(REACHED).parquet(f"{folder}/reached").select("url", "round", "allowed")
