@@ -155,3 +155,9 @@ def test_slots_keep_their_distance(frame):
     arrivals = [("h", t * SECOND // 3, t) for t in range(100)]
     starts = sorted(slots(frame, arrivals, SECOND, blocks=7)[0].values())
     assert all(b - a >= SECOND for a, b in zip(starts, starts[1:]))
+
+
+def test_long_queues_do_not_overflow(frame):
+    day = 86_400 * SECOND
+    starts, _ = slots(frame, [("h", 0, i) for i in range(3000)], day, blocks=3)
+    assert max(starts.values()) == 3000 * day

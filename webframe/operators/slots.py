@@ -17,8 +17,8 @@ def _numbered(requests: DataFrame, delay_us: int, host: str, at: str, tie: list[
     order = [at, *tie]
     w = block_window(host, order)
     t = F.unix_micros(at)
-    numbered = in_blocks(requests, host, order, blocks).withColumn("_k", F.row_number().over(w))
-    lead = t - (F.col("_k") - 1) * F.lit(delay_us)
+    numbered = in_blocks(requests, host, order, blocks).withColumn("_k", F.row_number().over(w).cast("bigint"))
+    lead = t - (F.col("_k") - 1) * F.lit(delay_us).cast("bigint")
     return numbered.withColumns(
         {
             "_before": F.max(lead).over(w.rowsBetween(Window.unboundedPreceding, -1)),

@@ -68,13 +68,13 @@ def step_metrics(metric_events: DataFrame) -> DataFrame:
     up_to = per_kind.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumns({"upto": F.sum("n").over(up_to), "all": F.sum("n").over(per_kind)})
     middle = is_time & (F.col("upto") > F.expr("`all` div 2"))
-    us = F.sum(F.when(is_time, F.col("us")))
-    n = F.sum(F.when(is_time, F.col("n")))
-    return ranked.groupBy("step").agg(
+    per_step = ranked.groupBy("step").agg(
         F.sum(F.when(~is_time, F.col("value"))).cast("bigint").alias("calls"),
         F.min(F.when(middle, F.col("ms"))).alias("median"),
-        F.floor(us / (n * 1000)).alias("ave"),
+        F.sum(F.when(is_time, F.col("us")).cast("decimal(38,0)")).alias("us"),
+        F.sum(F.when(is_time, F.col("n"))).alias("n"),
     )
+    return per_step.select("step", "calls", "median", F.expr("us div (n * 1000)").alias("ave"))
 
 
 def response_time_by_host(metric_events: DataFrame) -> DataFrame:
