@@ -42,7 +42,8 @@ def finish(query):
 LINKS = "url string, found_at timestamp"
 
 
-def test_new_links(spark, stream):
+@pytest.mark.parametrize("ttl", [None, "1 hour"])
+def test_new_links(spark, stream, ttl):
     spark.createDataFrame([("seen",)], schemas.SEEN).write.parquet(stream.path("seen"))
     hour = timedelta(hours=1)
     batches = [
@@ -52,14 +53,21 @@ def test_new_links(spark, stream):
     ]
     args = (stream.path("seen"), stream.path("out"), stream.path("ckpt"))
     links = stream(LINKS, *batches)
-    finish(jobs.stream_new_links(links, *args, available_now=True))
+    finish(jobs.stream_new_links(links, *args, ttl=ttl, available_now=True))
     read = lambda: sorted(r.url for r in spark.read.schema("url string").parquet(stream.path("out")).collect())
     assert read() == ["a", "b", "c"]
     stream.add(LINKS, [("c", START + 9 * hour), ("d", START + 9 * hour)])
-    finish(jobs.stream_new_links(stream(LINKS), *args, available_now=True))
+    finish(jobs.stream_new_links(stream(LINKS), *args, ttl=ttl, available_now=True))
     assert read() == ["a", "b", "c", "d"]
 
 
+def test_late_links_are_kept(spark, stream):
+    batches = [[("a", START + timedelta(days=2))], [("b", START), ("a", START)]]
+    links = stream(LINKS, *batches)
+    finish(jobs.stream_new_links(links, stream.path("seen"), stream.path("out"), stream.path("ckpt"), available_now=True))
+    assert sorted(r.url for r in spark.read.schema("url string").parquet(stream.path("out")).collect()) == ["a", "b"]
+
+
 def test_traffic_as_batch(spark, stream):
     rng = random.Random(1)
     rows = sorted((START + timedelta(seconds=rng.randrange(3600)), rng.randrange(1000)) for _ in range(500))

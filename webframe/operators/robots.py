@@ -91,8 +91,9 @@ class RuleLists:
 
 
 def _lists(rules: DataFrame, *keys: str) -> DataFrame:
+    head = F.regexp_extract("path", r"^([^*]*?)\$?(?:\*|$)", 1)
     plain = ~F.col("path").contains("*") & ~F.col("path").endswith("$")
-    rule = F.struct("rule_no", "allow", "path", "pattern", plain.alias("plain"))
+    rule = F.struct("rule_no", "allow", head.alias("head"), F.when(~plain, F.col("pattern")).alias("pattern"))
     return rules.groupBy(*keys).agg(F.sort_array(F.collect_list(rule)).alias("rules"))
 
 
@@ -114,10 +115,13 @@ def rule_lists(ruleset: DataFrame, custom: DataFrame | None = None, keep: bool =
 
 
 def _verdict(rules: Column, target: Column) -> Column:
-    """allow of the first rule that matches, null when none does."""
+    """allow of the first rule that matches, null when none does.
+
+    A path must start with the rule's text up to its first wildcard; only then, and only for
+    rules with a wildcard, is the pattern compiled and tried."""
     hits = F.filter(
         rules,
-        lambda r: F.when(r["plain"], F.startswith(target, r["path"])).otherwise(F.rlike(target, r["pattern"])),
+        lambda r: F.startswith(target, r["head"]) & (r["pattern"].isNull() | F.rlike(target, r["pattern"])),
     )
     return F.try_element_at(hits, F.lit(1))["allow"]
 

@@ -35,25 +35,29 @@ def stream_new_links(
     out_path: str,
     checkpoint: str,
     at: str = "found_at",
-    ttl: str = "1 hour",
+    ttl: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Write each discovered url once, unless it is in SEEN.
 
-    Urls are remembered for `ttl` of event time; later repeats are caught by the table of urls
-    written before. Both tables are read again for every batch. A batch that is run again
-    replaces its own folder."""
-    once = links.withWatermark(at, ttl).dropDuplicatesWithinWatermark(["url"])
+    Both SEEN and the urls written before are read again for every batch, so changes to
+    SEEN take effect at once. A batch is reduced to one row per url and task before its shuffle, however
+    often a link occurs. A batch that is run again replaces its own folder.
+
+    With `ttl`, urls are also remembered for that much event time, which saves most lookups of urls
+    that return soon; rows later than that are then dropped, as Spark does behind a watermark."""
+    if ttl is not None:
+        links = links.withWatermark(at, ttl).dropDuplicatesWithinWatermark(["url"])
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         seen = _read_or_empty(spark, seen_path, schemas.SEEN)
         written = _read_or_empty(spark, out_path, "url string, batch long")
         earlier = written.filter(F.col("batch") < number).select("url")
-        new = batch.select("url").join(seen, "url", "left_anti").join(earlier, "url", "left_anti")
+        new = batch.select("url").distinct().join(seen, "url", "left_anti").join(earlier, "url", "left_anti")
         new.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
-    return _start(once.writeStream.foreachBatch(write), checkpoint, available_now)
+    return _start(links.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
 def stream_traffic(
