@@ -8,9 +8,11 @@ from webframe.operators import robots as R
 from webframe.operators.stats import step_metrics
 from webframe.operators.steps import Step, run_pipeline
 from webframe.plans import closure as C
+from webframe.plans import loop as L
 from webframe.plans.crawl import crawl_round
 from webframe.session import work_folder
 from webframe.settings import CrawlSettings
+from webframe.sources.docs import read_docs
 
 
 def no_rules(frame):
@@ -120,3 +122,38 @@ def test_round(frame):
     assert [r.url for r in out.frontier.collect()] == ["http://h/2"]
     assert {r.url for r in out.seen.collect()} == {"http://h/1", "http://h/stop", "http://h/lost", "http://h/old"}
     assert [(r.url, r.domain, r.links[0]) for r in out.docs.collect()] == [("http://h/1", "h", "http://h/2")]
+
+
+def test_whole_crawl(frame, spark, tmp_path, graph):
+    nodes, edges = graph
+    pages = {n: "".join(f'<a href="{d}">' for s, d, _ in edges if s == n) for n in nodes}
+    rows = [(n, 404 if n.endswith("7") else 200, {}, html.encode(), 0.5, None) for n, html in pages.items()]
+    rows.append(("http://h1/robots.txt", 200, {}, b"User-agent: *\nDisallow: /1", 0.1, None))
+    archive = frame(rows, schemas.RESPONSES)
+    crawl = L.Crawl(spark, str(tmp_path / "crawl"))
+    crawl.add_seeds(frame([(nodes[0],), ("h1/1",), ("h2/nowhere",)], "url string"))
+    assert crawl.queued().count() == 3
+    stopped = {n for n in nodes if n.startswith("http://h1/1")} | {"http://h1/1"}
+    want = breadth_first([nodes[0], "http://h1/1", "http://h2/nowhere"], edges, stopped, lambda d: not d.startswith("http://h3/"))
+    reached = {u for u, _, _ in want}
+
+    assert crawl.run(archive, rounds=2) == 2
+    assert crawl.run(archive) > 0
+    assert crawl.run(archive) == 0
+    seen = [r.url for r in crawl.seen().collect()]
+    assert len(seen) == len(set(seen)) and set(seen) == reached
+    docs = read_docs(spark, f"{crawl.folder}/docs").collect()
+    fetched = {u for u in reached if u in pages and u not in stopped}
+    assert {d.url for d in docs} == fetched | {"http://h1/robots.txt"}
+    assert {d.url: d.links for d in docs}[nodes[0]] == [d for s, d, _ in edges if s == nodes[0]]
+    messages = [r.message for r in crawl.table("log", schemas.LOG).collect()]
+    assert sorted(m for m in messages if not m.startswith("Crawled")) == sorted(
+        [f"Added {u}" for u in (nodes[0], "http://h1/1", "http://h2/nowhere")]
+        + [f"NOT Crawled {u}" for u in reached if u not in fetched]
+    )
+    assert {r.host: r["count"] for r in crawl.summary().collect()} == {"h0": 0, "h1": 0, "h2": 0}
+
+    # a seed is crawled again although it was seen, and nothing else is
+    crawl.add_seeds(frame([(nodes[0],)], "url string"))
+    assert [r.url for r in crawl.queued().collect()] == [nodes[0]]
+    assert crawl.run(archive) == 1

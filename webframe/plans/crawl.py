@@ -52,6 +52,27 @@ def default_steps(
     return [need_fetch_step(docs, need_fetch), robots_step(rules), fetch_step(archive), links_step()]
 
 
+def process_batch(
+    batch: DataFrame, docs: DataFrame, rules: RuleLists, archive: DataFrame, need_fetch: bool = False
+) -> DataFrame:
+    """The batch's urls after the default steps, stopped ones included.
+
+    Checkpointed after robots rules have stopped rows (urls only), so that the archive is joined
+    once, and at the end, as several results are made of it."""
+    return checkpointed(run_pipeline(batch, default_steps(docs, rules, archive, need_fetch), keep_gates=True))
+
+
+def found_links(results: DataFrame, domains: DataFrame, settings: CrawlSettings) -> DataFrame:
+    """Links of processed pages that may be queued."""
+    each = results.filter("stopped_by IS NULL").select(F.explode("links").alias("url"), F.lit(False).alias("force"))
+    return restrict_links(each, domains, settings.follow_links, settings.mode)
+
+
+def result_log(results: DataFrame) -> DataFrame:
+    """Log rows of a processed batch; a stopped url was not crawled."""
+    return crawl_log(results.withColumn("code", F.when(F.col("stopped_by").isNull(), F.col("code"))))
+
+
 @dataclass(frozen=True)
 class Round:
     """What a round gives: processed urls, pages to store, new frontier and seen set, log rows."""
@@ -73,20 +94,14 @@ def crawl_round(
     settings: CrawlSettings = CrawlSettings(),
     need_fetch: bool = False,
 ) -> Round:
-    """Take a batch per host, run the steps, follow links, and move what was processed to seen.
-
-    The batch is checkpointed after robots rules have stopped rows (its urls only), so that the
-    archive is joined once, and when it is processed: five results read it."""
-    plan = fetch_plan(next_batch(frontier), settings.domain_concurrency)
-    steps = default_steps(docs, rules, archive, need_fetch)
-    results = checkpointed(run_pipeline(plan, steps, keep_gates=True))
-    found = results.filter("stopped_by IS NULL").select(F.explode("links").alias("url")).withColumn("force", F.lit(False))
-    followed = restrict_links(found, domains, settings.follow_links, settings.mode)
+    """Take a batch per host, run the steps, follow links, and move what was processed to seen."""
+    batch = fetch_plan(next_batch(frontier), settings.domain_concurrency)
+    results = process_batch(batch, docs, rules, archive, need_fetch)
     left, done = mark_done(frontier, seen, results)
     return Round(
         results=results,
         docs=to_docs(results.filter("stopped_by IS NULL")),
-        frontier=frontier_add(left, done, followed),
+        frontier=frontier_add(left, done, found_links(results, domains, settings)),
         seen=done,
-        log=crawl_log(results.withColumn("code", F.when(F.col("stopped_by").isNull(), F.col("code")))),
+        log=result_log(results),
     )
