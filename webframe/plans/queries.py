@@ -31,6 +31,11 @@ def _second(at: str = "crawl_time"):
     return (F.unix_seconds(at) - F.unix_seconds(F.lit(T.START).cast("timestamp"))).alias("crawl_second")
 
 
+def _code():
+    """The code, 0 without a response."""
+    return F.coalesce("code", F.lit(0)).alias("code")
+
+
 def _joined(c):
     return F.array_join(c, " ")
 
@@ -110,7 +115,11 @@ def decode_content(spark, sf):
     latin = F.col("charset") == "ISO-8859-1"
     raw = F.when(latin, F.encode("content", "ISO-8859-1")).otherwise(F.encode("content", "UTF-8"))
     return d.select(
-        "url", "content_type", "charset", F.length("content").cast("bigint").alias("chars"), F.md5(raw).alias("content_md5")
+        "url",
+        "content_type",
+        "charset",
+        F.coalesce(F.length("content"), F.lit(-1)).cast("bigint").alias("chars"),
+        F.md5(raw).alias("content_md5"),
     )
 
 
@@ -136,7 +145,7 @@ def page_nofollow(spark, sf):
 
 
 def redirect_links(spark, sf):
-    return links.redirect_links(T.responses(spark, sf)).select("url", "code", "redirect")
+    return links.redirect_links(T.responses(spark, sf)).select("url", _code(), "redirect")
 
 
 def page_links(spark, sf):
@@ -271,7 +280,9 @@ def _closure(spark, sf):
 def replay_responses(spark, sf):
     archive = T.versions(spark, sf, second=False).unionByName(T.versions(spark, sf, second=True).filter(T.is_https()))
     batch = frontier.next_batch(_queue(spark, sf)).select("url", "rn")
-    return docs.replay_responses(batch, archive).select("url", "rn", "code", F.md5("body").alias("body_md5"))
+    return docs.replay_responses(batch, archive).select(
+        "url", "rn", _code(), F.md5("body").alias("body_md5")
+    )
 
 
 def _now(spark, sf):
