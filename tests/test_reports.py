@@ -75,6 +75,8 @@ def test_domain_changes(frame):
             (6, "add", "new"), (7, "add", "brief"), (8, "delete", "brief"), (9, "delete", "unknown")]
     got = control.apply_domain_changes(df, frame(rows, "seq long, action string, domain string"))
     assert sorted(tuple(r) for r in got.collect()) == [("again", True, None), ("kept", False, 2.0), ("new", True, None)]
+    own = frame([(1, "add", "slow", False, 2.5)], "seq long, action string, domain string, enabled boolean, crawl_delay double")
+    assert ("slow", False, 2.5) in [tuple(r) for r in control.apply_domain_changes(df, own).collect()]
 
 
 def test_rule_changes(frame):

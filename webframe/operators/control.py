@@ -35,8 +35,19 @@ def _apply(table: DataFrame, changes: DataFrame, key: str, values: list[str]) ->
 
 
 def apply_domain_changes(domains: DataFrame, changes: DataFrame) -> DataFrame:
-    """Allow-list after additions (enabled, without own delay) and deletions by domain."""
-    full = changes.withColumns({"enabled": F.lit(True), "crawl_delay": F.lit(None).cast("double")})
+    """Allow-list after additions and deletions by domain.
+
+    An added domain is enabled and has no delay of its own, unless the change says otherwise."""
+
+    def given(name):
+        return F.col(name) if name in changes.columns else F.lit(None)
+
+    full = changes.withColumns(
+        {
+            "enabled": F.coalesce(given("enabled").cast("boolean"), F.lit(True)),
+            "crawl_delay": given("crawl_delay").cast("double"),
+        }
+    )
     return _apply(domains, full, "domain", ["enabled", "crawl_delay"])
 
 

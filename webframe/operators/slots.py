@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webframe.operators.blocks import block_window, earlier_blocks, in_blocks
 from webframe.session import checkpointed
+from webframe.settings import CrawlSettings
 
 MICROS = 1_000_000
 
@@ -29,7 +30,7 @@ def _numbered(requests: DataFrame, delay_us: int, host: str, at: str, tie: list[
 
 def polite_slots(
     requests: DataFrame,
-    delay: float,
+    delay: float = CrawlSettings().crawl_delay,
     host: str = "host",
     at: str = "at",
     tie: list[str] | None = None,

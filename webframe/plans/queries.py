@@ -353,7 +353,7 @@ def stop_counts(spark, sf):
     """The default steps over all pages: how many rows each step stops, and links of the others."""
     stored = T.versions(spark, sf, second=False).filter(T.is_https())
     chain = default_steps(stored, _lists(spark, sf), T.responses(spark, sf), need_fetch=True)
-    done = steps.run_pipeline(T.frontier(spark, sf), chain)
+    done = steps.run_pipeline(T.frontier(spark, sf), chain, keep_gates=True)
     return done.groupBy(F.coalesce("stopped_by", F.lit("-")).alias("stopped_by")).agg(
         F.count("*").alias("rows"), F.sum(F.coalesce(F.size("links"), F.lit(0))).cast("bigint").alias("links")
     )
