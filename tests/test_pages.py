@@ -54,7 +54,9 @@ def test_decode(responses):
 
 def test_html_of_any_code_and_charset(responses):
     rows = [response(code=404, body=b"a"), response(headers={"content-type": "x; charset=nope"}, body="é".encode())]
-    assert [r.html for r in with_html(responses(*rows)).collect()] == ["a", "é"]
+    rows.append(response(headers={"content-type": "x; charset=latin1"}, body=b"\xe9"))
+    for df in (responses(*rows), decode_content(responses(*rows))):
+        assert [r.html for r in with_html(df).collect()] == ["a", "é", "é"]
 
 
 def test_raw_len(responses):

@@ -31,11 +31,17 @@ def decode_content(responses: DataFrame) -> DataFrame:
 
 
 def with_html(responses: DataFrame, out: str = "html") -> DataFrame:
-    """Add the body as text whatever the code, for link extraction. Unknown charsets read as UTF-8."""
+    """Add the body as text whatever the code, for link extraction. Unknown charsets read as UTF-8.
+
+    Where decode_content has already given content, that is taken."""
     raw = F.coalesce(X.header(F.col("headers"), "content-type"), F.lit("text/plain"))
     named = responses.withColumn("_charset", F.coalesce(X.charset(raw), F.lit("utf-8")))
-    text = X.decoded(F.col("body"), F.col("_charset"))
-    return named.withColumn(out, F.coalesce(text, F.make_valid_utf8(F.col("body").cast("string")))).drop("_charset")
+    body, known = F.col("body"), []
+    if "content" in responses.columns:
+        known = [F.col("content")]
+        body = F.when(F.col("content").isNull(), body)
+    plain = F.make_valid_utf8(F.col("body").cast("string"))
+    return named.withColumn(out, F.coalesce(*known, X.decoded(body, F.col("_charset")), plain)).drop("_charset")
 
 
 def with_raw_len(responses: DataFrame) -> DataFrame:

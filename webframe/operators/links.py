@@ -69,7 +69,8 @@ def map_pages(
     """User job over the pages whose url matches: `extract(url, body)` gives a row, or None to skip.
 
     The url filter runs before Python sees a page, and only two columns are read."""
-    chosen = docs.filter(F.col("url").rlike(url_regex) & F.col(body).isNotNull()).select("url", F.col(body).alias("body"))
+    chosen = docs.filter(F.col("url").rlike(url_regex) & F.col(body).isNotNull())
+    chosen = chosen.select("url", F.col(body).alias("body"))
 
     def run(batches):
         for pdf in batches:

@@ -33,7 +33,11 @@ def need_fetch_step(docs: DataFrame, enabled: bool = False) -> Step:
 
 def robots_step(rules: RuleLists) -> Step:
     """Stops urls that robots rules disallow."""
-    return Step("RobotCheck", lambda df: robots_allowed(df, rules).withColumn("stop", ~F.col("allowed")).drop("allowed"))
+
+    def process(df: DataFrame) -> DataFrame:
+        return robots_allowed(df, rules).withColumn("stop", ~F.col("allowed")).drop("allowed")
+
+    return Step("RobotCheck", process)
 
 
 def fetch_step(archive: DataFrame) -> Step:

@@ -58,7 +58,8 @@ class Crawl:
         schema = schemas.FRONTIER + ", round int"
         added = self.table("seeds", schema).unionByName(self.table("found", schema))
         # one row per url: the latest addition, which keeps its force and time
-        last = added.groupBy("url").agg(F.max_by(F.struct("priority", "force", "added_at"), "round").alias("row"), F.max("round").alias("round"))
+        row = F.max_by(F.struct("priority", "force", "added_at"), "round").alias("row")
+        last = added.groupBy("url").agg(row, F.max("round").alias("round"))
         done = self.seen().select(F.col("url").alias("_done"), F.col("round").alias("_at"))
         open_ = last.join(done, (F.col("url") == F.col("_done")) & (F.col("_at") >= F.col("round")), "left_anti")
         return open_.select("url", U.host(F.col("url")).alias("host"), "row.*")
@@ -109,7 +110,8 @@ class Crawl:
         self._write(timed.select(key.alias("key"), F.col("request_time").alias("value"), now), "metrics", number)
         self._write(result_log(results), "log", number)
         seen = self.seen().filter(F.col("round") < number).select("url").unionByName(batch.select("url"))
-        after = frontier_add(frontier, seen, found_links(results, self.table("domains", schemas.DOMAINS), self.settings))
+        found = found_links(results, self.table("domains", schemas.DOMAINS), self.settings)
+        after = frontier_add(frontier, seen, found)
         self._write(after.join(frontier.select("url"), "url", "left_anti"), "found", number + 1)
         # last, as it closes the round
         self._write(batch.select("url"), "seen", number)
