@@ -1,3 +1,4 @@
+import pathlib
 import random
 from datetime import datetime, timedelta
 
@@ -39,6 +40,14 @@ def finish(query):
     return query
 
 
+def forget_last_commit(checkpoint):
+    """As if the job had broken off after writing its last batch: the batch will be run again."""
+    commits = pathlib.Path(checkpoint, "commits")
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    (commits / str(last)).unlink()
+    (commits / f".{last}.crc").unlink(missing_ok=True)
+
+
 LINKS = "url string, found_at timestamp"
 
 
@@ -103,6 +112,28 @@ def test_slots_as_batch(spark, stream):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, state.collect()))
 
 
+def test_batches_may_run_again(spark, stream):
+    rows = [(START + timedelta(seconds=i // 9), i, "h", f"u{i % 70}") for i in range(200)]
+    schema = "at timestamp, i int, host string, url string"
+    source = stream(schema, rows[:90], rows[90:])
+    seen, links, slots, state = (stream.path(n) for n in ("seen", "links", "slots", "state"))
+
+    def run():
+        finish(jobs.stream_new_links(source, seen, links, stream.path("c1"), available_now=True))
+        finish(jobs.stream_polite_slots(source, 1.0, slots, state, stream.path("c2"), ["i"], available_now=True))
+        pages = source.select("url", F.col("host").alias("domain"), F.lit(200).alias("code"), F.lit("b").alias("body"),
+                              F.col("at").alias("crawl_time"))
+        finish(jobs.stream_store(pages, stream.path("docs"), stream.path("c3"), available_now=True))
+        out = spark.read.schema("url string").parquet(links), spark.read.parquet(slots), spark.read.parquet(state)
+        return [sorted(map(tuple, df.collect())) for df in (*out, read_docs(spark, stream.path("docs")).select("url", "code"))]
+
+    first = run()
+    assert [len(rows) for rows in first] == [70, 200, 2, 70]
+    for checkpoint in ("c1", "c2", "c3"):
+        forget_last_commit(stream.path(checkpoint))
+    assert run() == first
+
+
 def test_store_keeps_the_first_version(spark, stream):
     def doc(url, body, second):
         return (url, "h", 200, body, [], {}, "text/html", START + timedelta(seconds=second))

@@ -76,7 +76,6 @@ def crawl_closure(
     edges_table, reached_table = (f"webframe_{name}_{uuid.uuid4().hex}" for name in ("edges", "reached"))
     lists = rules if isinstance(rules, RuleLists) else rule_lists(rules, custom, keep=True)
     followed = restrict_links(edges, domains, settings.follow_links, settings.mode, url="dst")
-    links, long_pages = _bucketed_edges(followed, edges_table, folder)
 
     def finish_round(urls: DataFrame, number: int) -> DataFrame:
         """Write a round's new urls with their verdicts; gives those to expand."""
@@ -94,11 +93,14 @@ def crawl_closure(
         return new.select(F.col("url").alias("src"))
 
     number = 0
-    front = finish_round(seeds.select("url").distinct(), number)
-    while (max_rounds is None or number < max_rounds) and not front.isEmpty():
-        found = links.join(_runs(front, long_pages), ["src", "run"]).select(F.col("dst").alias("url")).distinct()
-        number += 1
-        front = finish_round(found.join(spark.table(reached_table).select("url"), "url", "left_anti"), number)
-    for table in (edges_table, reached_table):
-        spark.sql(f"DROP TABLE {table}")  # external: the files stay
+    try:
+        links, long_pages = _bucketed_edges(followed, edges_table, folder)
+        front = finish_round(seeds.select("url").distinct(), number)
+        while (max_rounds is None or number < max_rounds) and not front.isEmpty():
+            found = links.join(_runs(front, long_pages), ["src", "run"]).select(F.col("dst").alias("url")).distinct()
+            number += 1
+            front = finish_round(found.join(spark.table(reached_table).select("url"), "url", "left_anti"), number)
+    finally:
+        for table in (edges_table, reached_table):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files stay
     return spark.read.schema(REACHED).parquet(f"{folder}/reached").select("url", "round", "allowed")
