@@ -77,6 +77,18 @@ def test_late_links_are_kept(spark, stream):
     assert sorted(r.url for r in spark.read.schema("url string").parquet(stream.path("out")).collect()) == ["a", "b"]
 
 
+def test_edited_rules_count_from_the_next_batch(spark, stream):
+    text = "User-agent: *\nDisallow: /a"
+    spark.createDataFrame([("http://h/robots.txt", "h", 200, text)], schemas.ROBOTS_TXT).write.parquet(stream.path("txt"))
+    args = [stream.path(n) for n in ("txt", "rules", "out", "ckpt")]
+    batch = [("http://h/a",), ("http://h/b",), ("http://h/c",)]
+    finish(jobs.stream_allowed(stream("url string", batch), *args, available_now=True))
+    spark.createDataFrame([("1", "h", 1, False, "/b")], schemas.CUSTOM_RULES).write.parquet(stream.path("rules"))
+    finish(jobs.stream_allowed(stream("url string", batch), *args, available_now=True))
+    got = spark.read.parquet(stream.path("out")).orderBy("batch", "url").collect()
+    assert [r.allowed for r in got] == [False, True, True, False, False, True]
+
+
 def test_traffic_as_batch(spark, stream):
     rng = random.Random(1)
     rows = sorted((START + timedelta(seconds=rng.randrange(3600)), rng.randrange(1000)) for _ in range(500))

@@ -114,16 +114,15 @@ def rule_lists(ruleset: DataFrame, custom: DataFrame | None = None, keep: bool =
     return RuleLists(sites, None if rest.isEmpty() else hold(_lists(rest, "site", "list")))
 
 
-def _verdict(rules: Column, target: Column) -> Column:
-    """allow of the first rule that matches, null when none does.
+def _verdict(rules: str, target: str) -> Column:
+    """allow of the first of `rules` that matches column `target`, null when none does.
 
     A path must start with the rule's text up to its first wildcard; only then, and only for
     rules with a wildcard, is the pattern compiled and tried."""
-    hits = F.filter(
-        rules,
-        lambda r: F.startswith(target, r["head"]) & (r["pattern"].isNull() | F.rlike(target, r["pattern"])),
+    return F.expr(
+        f"""try_element_at(filter({rules}, r -> startswith({target}, r.head)
+            AND (r.pattern IS NULL OR {target} RLIKE r.pattern)), 1).allow"""
     )
-    return F.try_element_at(hits, F.lit(1))["allow"]
 
 
 def robots_allowed(
@@ -150,9 +149,8 @@ def robots_allowed(
     keyed = urls.withColumns({"_robots_url": U.robots_url(c), "_site": U.host(c), "_target": text})
     sites = lists.sites.select(F.col("site").alias("_site"), F.col("files").alias("_files"), F.col("own").alias("_own"))
     out = keyed.join(sites, "_site", "left")
-    same_file = F.filter("_files", lambda f: f["robots_url"] == F.col("_robots_url"))
-    by_file = _verdict(F.try_element_at(same_file, F.lit(1))["rules"], F.col("_target"))
-    by_site = _verdict(F.col("_own"), F.col("_target"))
+    by_file = _verdict("try_element_at(filter(_files, f -> f.robots_url = _robots_url), 1).rules", "_target")
+    by_site = _verdict("_own", "_target")
     extra = ["_robots_url", "_site", "_target", "_files", "_own"]
     if lists.more is not None:
         later = _later_verdicts(keyed.select(c.alias("_later_url"), "_site", "_target"), lists.more)
@@ -166,6 +164,6 @@ def robots_allowed(
 def _later_verdicts(urls: DataFrame, more: DataFrame) -> DataFrame:
     """Verdict of the second and later lists of a site's rules, one row per url they decide."""
     lists = more.withColumnRenamed("site", "_site")
-    hit = urls.distinct().join(lists, "_site").withColumn("_allow", _verdict(F.col("rules"), F.col("_target")))
+    hit = urls.distinct().join(lists, "_site").withColumn("_allow", _verdict("rules", "_target"))
     decided = hit.filter(F.col("_allow").isNotNull())
     return decided.groupBy("_later_url").agg(F.min_by("_allow", "list").alias("_later"))

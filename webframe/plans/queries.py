@@ -391,6 +391,17 @@ def stream_new_links(spark, sf):
     return spark.read.schema("url string").parquet(f"{folder}/out").select("url")
 
 
+def stream_allowed(spark, sf):
+    folder = new_folder(spark, "allowed")
+    T.robots_txt(spark, sf).write.parquet(f"{folder}/robots")
+    T.custom_rules(spark, sf).write.parquet(f"{folder}/rules")
+    jobs.stream_allowed(
+        _stream(spark, sf, "pages").select("url"), f"{folder}/robots", f"{folder}/rules", f"{folder}/out",
+        f"{folder}/checkpoint", available_now=True,
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("url", "allowed")
+
+
 def stream_traffic(spark, sf):
     folder = new_folder(spark, "traffic")
     rows = _stream(spark, sf, "events").select(
@@ -427,7 +438,7 @@ QUERIES: dict[str, Query] = {
         polite_slots, polite_state, queue_summary, replay_responses,
         traffic_stats, traffic_last_day, step_metrics, response_time_by_host, crawl_log, seed_log, log_tail, log_shown,
         rules_listing, apply_domain_changes, apply_rule_changes, stop_counts, crawl_round_log, crawl_round_frontier,
-        stream_new_links, stream_traffic, stream_polite_slots, stream_store,
+        stream_new_links, stream_allowed, stream_traffic, stream_polite_slots, stream_store,
     )
 }
 QUERIES["crawl_closure"] = _closure

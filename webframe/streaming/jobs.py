@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from webframe import schemas
+from webframe.operators.robots import (
+    custom_ruleset,
+    parse_robots,
+    robots_allowed,
+    robots_status_policy,
+    select_ruleset,
+)
 from webframe.operators.slots import polite_slots
 from webframe.operators.stats import pages_per_second
-from webframe.settings import TRAFFIC_BUCKET_SECONDS
+from webframe.settings import ROBOT_NAME, TRAFFIC_BUCKET_SECONDS
 from webframe.sources.docs import append_first_wins, write_docs
 
 
@@ -60,6 +67,28 @@ def stream_new_links(
     return _start(links.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
+def stream_allowed(
+    urls: DataFrame,
+    robots_path: str,
+    rules_path: str,
+    out_path: str,
+    checkpoint: str,
+    robot_name: str = ROBOT_NAME,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Write each url with its robots verdict. Every batch reads ROBOTS_TXT and CUSTOM_RULES again,
+    so that edited rules count from the next batch on."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        texts = robots_status_policy(_read_or_empty(spark, robots_path, schemas.ROBOTS_TXT))
+        own = custom_ruleset(_read_or_empty(spark, rules_path, schemas.CUSTOM_RULES))
+        rules = select_ruleset(parse_robots(texts), robot_name)
+        robots_allowed(batch, rules, own).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return _start(urls.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
 def stream_traffic(
     responses: DataFrame,
     out_path: str,
