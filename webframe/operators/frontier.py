@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webframe.functions import url as U
+from webframe.session import shuffle_partitions
 from webframe.settings import HOST_BATCH, PRIORITY
 
 SALTS = 64
@@ -61,11 +62,14 @@ def next_batch(frontier: DataFrame, n: int = HOST_BATCH) -> DataFrame:
     """The first n urls of each host, by priority then url, both descending. Adds rn.
 
     Spark keeps n rows per host and task before the shuffle. Beyond the n up to which it does
-    that, a first pass over salted hosts takes its place."""
+    that, a first pass over salted hosts takes its place; it grows with the cluster, and leaves n
+    rows per host and salt to the second."""
+    spark = frontier.sparkSession
     order = [F.col("priority").desc(), F.col("url").desc()]
     rn = F.row_number()
-    if n > int(frontier.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        salted = frontier.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
+    if n > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salts = max(SALTS, shuffle_partitions(spark) // 16)
+        salted = frontier.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(salts)))
         first = Window.partitionBy("host", "_salt").orderBy(*order)
         frontier = salted.withColumn("_rn", rn.over(first)).filter(F.col("_rn") <= n).drop("_salt", "_rn")
     return frontier.withColumn("rn", rn.over(Window.partitionBy("host").orderBy(*order))).filter(F.col("rn") <= n)

@@ -45,7 +45,8 @@ def run_pipeline(
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Run steps in order. All rows are returned, stopped ones with the step's name in `stopped_by`.
 
-    A step that raises is logged and left out. Rows that are stopped leave the flow at once, so
+    A step that raises is logged and left out. That covers its work on the rows only with `timed`,
+    which runs each step at once; otherwise steps report rows they could not treat in `failed`. Rows that are stopped leave the flow at once, so
     later steps never see them; the stopped rows and the others are two readers of the steps up to
     there, and `keep_gates` checkpoints at such steps so that the work is done once. Steps fuse into
     Spark stages; to measure each one, `timed` checkpoints after every step and returns
