@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -116,3 +117,45 @@ def test_urls_of_other_schemes_use_their_own_file(frame):
     urls = frame([("http://h/a",), ("https://h/a",), ("http://h:8/a",)], "url string")
     got = {r.url: r.allowed for r in R.robots_allowed(urls, rules).collect()}
     assert got == {"http://h/a": False, "https://h/a": True, "http://h:8/a": False}
+
+
+def read_groups(text):
+    """Groups of (agents, (allow, path) rules, delay) by a plain reading of the lines."""
+    named = []
+    for line in text.split("\n"):
+        token, colon, value = line.strip().split("#")[0].partition(":")
+        if colon:
+            named.append((token.strip().lower(), value.replace("\t", " ").strip()))
+    out, after_agent = [], False
+    for token, value in named:
+        agent = token in ("useragent", "user-agent")
+        if not out or (agent and not after_agent):
+            out.append(([], [], [None]))
+        agents, rules, delay = out[-1]
+        after_agent = agent
+        if agent and value:
+            agents.append(value)
+        kind = next((d for d in ("allow", "disallow", "sitemap", "crawl-delay") if token in d), None)
+        if not agent and value and kind in ("allow", "disallow"):
+            rules.append((kind == "allow", value))
+        if not agent and kind == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", value):
+            delay[0] = float(value)
+    return [(a, r, d[0]) for a, r, d in out]
+
+
+def test_random_files(spark):
+    rng = random.Random(9)
+    tokens = ["User-agent", "useragent ", "Allow", "Disallow", "allow", "dis", "", "Sitemap", "map", "Crawl-delay", "delay", "X"]
+    values = ["*", "webframe", " other", "/", "/a*", "", "\t/b$", "2", "1.5", "x y", "#", "/c # d", ":e"]
+    line = lambda: rng.choice(["", "# z", "nothing", f"{rng.choice(tokens)}:{rng.choice(values)}"])
+    texts = [rng.choice(["\n", "\r\n"]).join(line() for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(str(i), "h", 200, t) for i, t in enumerate(texts)], schemas.ROBOTS_TXT)
+    got = {}
+    for r in R.parse_robots(df).orderBy("robots_url", "group_no", "rule_no").collect():
+        groups = got.setdefault(int(r.robots_url), [])
+        if len(groups) < r.group_no:
+            groups.append((r.agents, [], r.crawl_delay))
+        if r.rule_no is not None:
+            groups[-1][1].append((r.allow, r.path))
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == read_groups(text), text
