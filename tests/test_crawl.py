@@ -37,10 +37,11 @@ def graph():
     return nodes, edges
 
 
-@pytest.mark.parametrize("run, partitions", [(100_000, 8), (4, 3), (1, 1)])
-def test_closure(frame, spark, graph, monkeypatch, run, partitions):
+@pytest.mark.parametrize("run, partitions, rewrite", [(100_000, 8, 4), (4, 3, 1), (1, 1, 2)])
+def test_closure(frame, spark, graph, monkeypatch, run, partitions, rewrite):
     nodes, edges = graph
     monkeypatch.setattr(C, "RUN", run)
+    monkeypatch.setattr(C, "REWRITE_FROM", rewrite)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         custom = R.custom_ruleset(frame([("1", "h1", 1, False, "/1")], schemas.CUSTOM_RULES))
@@ -51,6 +52,8 @@ def test_closure(frame, spark, graph, monkeypatch, run, partitions):
         want = breadth_first([nodes[0]], edges, stopped, lambda d: not d.startswith("http://h3/"))
         assert {tuple(r) for r in got.collect()} == want
         assert len({n for _, n, _ in want}) > 2
+        left = [t.name for t in spark.catalog.listTables() if t.name.startswith("webframe_reached")]
+        assert not left
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
@@ -66,7 +69,7 @@ def test_closure_limits(frame, graph):
 
 def test_bucketed_links_are_joined_without_a_shuffle(frame, spark, graph, monkeypatch):
     _, edges = graph
-    links, _ = C._bucketed_edges(frame(edges, schemas.EDGES), "bucketed_edges", f"{work_folder(spark)}/bucketed")
+    links, _ = C._bucketed_edges(frame(edges, schemas.EDGES), f"{work_folder(spark)}/bucketed", [])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         front = frame([("http://h0/0",)], "src string")

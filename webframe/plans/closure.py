@@ -14,26 +14,35 @@ from webframe.settings import CrawlSettings
 
 # A page's links are spread over buckets in runs of this many.
 RUN = 100_000
+# From this round on, and then whenever the number of rounds has doubled, links of pages that were
+# reached before are left behind: late rounds find few pages and should not read all links for them.
+REWRITE_FROM = 4
 REACHED = "url string, allowed boolean, round int"
 
 
-def _bucketed_edges(edges: DataFrame, table: str, folder: str) -> tuple[DataFrame, DataFrame | None]:
-    """Edges written once, bucketed by (src, run), so that no round has to shuffle them.
-
-    `run` counts every RUN links of a page, so a page with very many links lies in many buckets.
-    Also gives the number of runs of the pages with more than one (None if there are none): at
-    most links / RUN rows, found by a filter that skips all files without such pages."""
-    spark = edges.sparkSession
+def _write_bucketed(links: DataFrame, folder: str, tables: list[str]) -> DataFrame:
+    """Links (src, run, dst) as a table bucketed by (src, run), so that no round has to shuffle them."""
+    spark = links.sparkSession
     n = shuffle_partitions(spark)
+    tables.append(f"webframe_links_{uuid.uuid4().hex}")
     (
-        edges.select("src", F.floor(F.col("pos") / RUN).cast("int").alias("run"), "dst")
-        .repartition(n, "src", "run")
+        links.repartition(n, "src", "run")
         .write.bucketBy(n, "src", "run")
         .sortBy("src", "run")
-        .option("path", f"{folder}/edges")
-        .saveAsTable(table)
+        .option("path", f"{folder}/{tables[-1]}")
+        .saveAsTable(tables[-1])
     )
-    written = spark.table(table)
+    return spark.table(tables[-1])
+
+
+def _bucketed_edges(edges: DataFrame, folder: str, tables: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Edges written once, in buckets of whole runs.
+
+    `run` counts every RUN links of a page, so a page with very many links lies in many buckets.
+    Also gives the number of runs of the pages with more than one (None if there are none): at
+    most links / RUN rows, found by a filter that skips all files without such pages."""
+    run = F.floor(F.col("pos") / RUN).cast("int").alias("run")
+    written = _write_bucketed(edges.select("src", run, "dst"), folder, tables)
     long_pages = written.filter("run > 0").groupBy("src").agg((F.max("run") + 1).alias("runs"))
     return written, None if long_pages.isEmpty() else checkpointed(long_pages)
 
@@ -73,7 +82,8 @@ def crawl_closure(
     spark = seeds.sparkSession
     n = shuffle_partitions(spark)
     folder = new_folder(spark, "closure")
-    edges_table, reached_table = (f"webframe_{name}_{uuid.uuid4().hex}" for name in ("edges", "reached"))
+    reached_table = f"webframe_reached_{uuid.uuid4().hex}"
+    tables = [reached_table]
     lists = rules if isinstance(rules, RuleLists) else rule_lists(rules, custom, keep=True)
     followed = restrict_links(edges, domains, settings.follow_links, settings.mode, url="dst")
 
@@ -94,13 +104,17 @@ def crawl_closure(
 
     number = 0
     try:
-        links, long_pages = _bucketed_edges(followed, edges_table, folder)
+        links, long_pages = _bucketed_edges(followed, folder, tables)
         front = finish_round(seeds.select("url").distinct(), number)
         while (max_rounds is None or number < max_rounds) and not front.isEmpty():
             found = links.join(_runs(front, long_pages), ["src", "run"]).select(F.col("dst").alias("url")).distinct()
             number += 1
             front = finish_round(found.join(spark.table(reached_table).select("url"), "url", "left_anti"), number)
+            if number >= REWRITE_FROM and number & (number - 1) == 0:
+                past = spark.table(reached_table).filter(F.col("round") < number).select(F.col("url").alias("src"))
+                ahead = links.join(_runs(past, long_pages), ["src", "run"], "left_anti")
+                links = _write_bucketed(ahead, folder, tables)
     finally:
-        for table in (edges_table, reached_table):
+        for table in tables:
             spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files stay
     return spark.read.schema(REACHED).parquet(f"{folder}/reached").select("url", "round", "allowed")
