@@ -141,6 +141,14 @@ def test_whole_crawl(frame, spark, tmp_path, graph):
     reached = {u for u, _, _ in want}
 
     assert crawl.run(archive, rounds=2) == 2
+    # a round that broke off before it was closed is run again
+    seen_last = tmp_path / "crawl" / "seen" / "round=1"
+    queue_before = crawl.queued().count()
+    for f in seen_last.iterdir():
+        f.unlink()
+    assert crawl.next_round() == 1
+    assert crawl.run(archive, rounds=1) == 1
+    assert crawl.queued().count() == queue_before
     assert crawl.run(archive) > 0
     assert crawl.run(archive) == 0
     seen = [r.url for r in crawl.seen().collect()]

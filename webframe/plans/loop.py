@@ -53,13 +53,17 @@ class Crawl:
     def seen(self) -> DataFrame:
         return self.table("seen", schemas.SEEN + ", round int")
 
+    def added(self) -> DataFrame:
+        """All urls ever queued, up to the coming round (a round that broke off may have left more)."""
+        schema = schemas.FRONTIER + ", round int"
+        rows = self.table("seeds", schema).unionByName(self.table("found", schema))
+        return rows.filter(F.col("round") <= self.next_round())
+
     def queued(self) -> DataFrame:
         """The frontier: urls added after they were last processed."""
-        schema = schemas.FRONTIER + ", round int"
-        added = self.table("seeds", schema).unionByName(self.table("found", schema))
         # one row per url: the latest addition, which keeps its force and time
         row = F.max_by(F.struct("priority", "force", "added_at"), "round").alias("row")
-        last = added.groupBy("url").agg(row, F.max("round").alias("round"))
+        last = self.added().groupBy("url").agg(row, F.max("round").alias("round"))
         done = self.seen().select(F.col("url").alias("_done"), F.col("round").alias("_at"))
         open_ = last.join(done, (F.col("url") == F.col("_done")) & (F.col("_at") >= F.col("round")), "left_anti")
         return open_.select("url", U.host(F.col("url")).alias("host"), "row.*")
@@ -94,8 +98,7 @@ class Crawl:
     def run_round(self, archive: DataFrame) -> bool:
         """Process one batch of every host; False when nothing was queued."""
         number = self.next_round()
-        frontier = checkpointed(self.queued())
-        batch = checkpointed(next_batch(frontier))
+        batch = checkpointed(next_batch(self.queued()))
         if batch.isEmpty():
             return False
         stored = self.table("docs", schemas.DOCS + ", domain_bucket int").drop("domain_bucket")
@@ -109,10 +112,10 @@ class Crawl:
         now = F.current_timestamp().alias("ts")
         self._write(timed.select(key.alias("key"), F.col("request_time").alias("value"), now), "metrics", number)
         self._write(result_log(results), "log", number)
-        seen = self.seen().filter(F.col("round") < number).select("url").unionByName(batch.select("url"))
+        # a url that was ever added is queued or was processed, so no other table need be asked
         found = found_links(results, self.table("domains", schemas.DOMAINS), self.settings)
-        after = frontier_add(frontier, seen, found)
-        self._write(after.join(frontier.select("url"), "url", "left_anti"), "found", number + 1)
+        none = self.spark.createDataFrame([], schemas.FRONTIER)
+        self._write(frontier_add(none, self.added().select("url"), found), "found", number + 1)
         # last, as it closes the round
         self._write(batch.select("url"), "seen", number)
         return True
