@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 
 from webframe.llm.shared import blocks_of
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that do not end a block of text.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time "
+    "tt u var wbr script style noscript template iframe svg button select textarea object canvas audio video".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
 CONTAINERS = frozenset(("article", "main"))
@@ -130,10 +134,11 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
             self._flush_here()
-            if tag in ENDS:
-                self._close(*ENDS[tag])
-            elif self.count.get("p"):
-                self._close_p()
+            if not (self.stack and self.stack[-1][2]):
+                if tag in ENDS:
+                    self._close(*ENDS[tag])
+                elif self.count.get("p"):
+                    self._close_p()
         _, path, out, inside = self.stack[-1] if self.stack else ("", 0, False, False)
         if tag in VOID:
             return
@@ -241,7 +246,7 @@ class Page:
         self._flush_here()
 
 
-def main_text(source: str | None, threshold: float = 0.3, reach: int = 1) -> str:
+def main_text(source: str | None, threshold: float = 0.5, reach: int = 1) -> str:
     """The main text of one page."""
     if not source:
         return ""
