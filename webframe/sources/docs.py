@@ -55,13 +55,20 @@ def _one_version(docs: DataFrame, newest: bool) -> DataFrame:
 
 
 def append_first_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of `new` to append: first version of each url that is not stored yet."""
-    return _one_version(new, newest=False).join(existing.select("url"), "url", "left_anti")
+    """The rows of `new` to append: first version of each url that is not stored yet.
+
+    Stored urls go first, so only pages that may be appended are sorted; of the store only urls are read."""
+    return _one_version(new.join(existing.select("url"), "url", "left_anti"), newest=False)
 
 
 def upsert_latest(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The store after `new` was put: last version of each url."""
-    return _one_version(existing.unionByName(new), newest=True)
+    """The store after `new` was put: last version of each url.
+
+    Urls that do not come again pass through without their bodies being sorted or compared."""
+    fresh = new.select("url").distinct()
+    again = existing.join(fresh, "url", "left_semi")
+    changed = _one_version(again.unionByName(new), newest=True)
+    return existing.join(fresh, "url", "left_anti").unionByName(changed)
 
 
 def need_fetch(frontier: DataFrame, docs: DataFrame, enabled: bool = False) -> DataFrame:
@@ -74,5 +81,9 @@ def need_fetch(frontier: DataFrame, docs: DataFrame, enabled: bool = False) -> D
 
 
 def replay_responses(batch: DataFrame, archive: DataFrame) -> DataFrame:
-    """Attach the newest archived response to each planned url; without one the response is null."""
-    return batch.join(_one_version(archive, newest=True), "url", "left")
+    """Attach the newest archived response to each planned url; without one the response is null.
+
+    The archive is first cut down to the batch's urls. A batch is small beside it, so Spark broadcasts
+    those urls by their size, and the archive is read in place; only its matches are sorted and moved."""
+    wanted = archive.join(batch.select("url").distinct(), "url", "left_semi")
+    return batch.join(_one_version(wanted, newest=True), "url", "left")
