@@ -87,6 +87,9 @@ def test_links(frame):
         (a + '<META NAME=Robots CONTENT="NOINDEX,NOFOLLOW">', []),
         ('<meta name="robots" content="noindex, nofollow">' + a, ["http://h/x"]),
         ("<A HREF='c?a=1&amp;b=2#z'>", ["http://h/p/c?a=1&b=2"]),
+        ('<a href="/a&#000000000038;b">', ["http://h/a&b"]),
+        ('<a href="/a&#x0000000026;b&#38c&#x26">', ["http://h/a&b&c&"]),
+        ('<a href="/&apos;&NotEqualTilde;&amp&nosuch;&#99999999999999999999;">', ["http://h/'\u2242\u0338&amp&nosuch;&"]),
         ('<a href="mailto:x"><a href=javascript:0><a href=HTTP://k/>', ["http://k/"]),
         ('<html xmlns="http://www.w3.org/1999/xhtml">' + a, ["http://h/x"]),
         ('<a href="/unclosed', []),

@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from webframe import schemas
@@ -51,60 +52,89 @@ def forget_last_commit(checkpoint):
 LINKS = "url string, found_at timestamp"
 
 
-@pytest.mark.parametrize("ttl", [None, "1 hour"])
-def test_new_links(spark, stream, ttl):
+def urls_in(spark, path):
+    return sorted(r.url for r in spark.read.schema("url string").parquet(path).collect())
+
+
+def test_new_links(spark, stream):
     spark.createDataFrame([("seen",)], schemas.SEEN).write.parquet(stream.path("seen"))
     hour = timedelta(hours=1)
     batches = [
-        [("a", START), ("a", START), ("seen", START)],
-        [("a", START), ("b", START + 5 * hour)],
-        [("a", START + 9 * hour), ("c", START + 9 * hour), ("seen", START + 9 * hour)],  # 'a' is forgotten by now
+        [("a", START + 9 * hour), ("a", START), ("seen", START)],
+        [("a", START), ("b", START - 5 * hour)],  # late ones count like any others
+        [("a", START + 99 * hour), ("c", START + 99 * hour), ("seen", START + 99 * hour)],
     ]
     args = (stream.path("seen"), stream.path("out"), stream.path("ckpt"))
-    links = stream(LINKS, *batches)
-    finish(jobs.stream_new_links(links, *args, ttl=ttl, available_now=True))
-    read = lambda: sorted(r.url for r in spark.read.schema("url string").parquet(stream.path("out")).collect())
-    assert read() == ["a", "b", "c"]
+    finish(jobs.stream_new_links(stream(LINKS, *batches), *args, available_now=True))
+    assert urls_in(spark, stream.path("out")) == ["a", "b", "c"]
     stream.add(LINKS, [("c", START + 9 * hour), ("d", START + 9 * hour)])
-    finish(jobs.stream_new_links(stream(LINKS), *args, ttl=ttl, available_now=True))
-    assert read() == ["a", "b", "c", "d"]
+    finish(jobs.stream_new_links(stream(LINKS), *args, available_now=True))
+    assert urls_in(spark, stream.path("out")) == ["a", "b", "c", "d"]
+
+
+def test_no_earlier_output_is_read(spark, stream):
+    """What was written can be moved away: the state alone tells which urls were found."""
+    args = (None, stream.path("out"), stream.path("ckpt"))
+    finish(jobs.stream_new_links(stream(LINKS, [("a", START)]), *args, available_now=True))
+    pathlib.Path(stream.path("out")).rename(stream.path("moved"))
+    stream.add(LINKS, [("a", START), ("b", START)])
+    finish(jobs.stream_new_links(stream(LINKS), *args, available_now=True))
+    assert urls_in(spark, stream.path("out")) == ["b"]
 
 
-def test_late_links_are_kept(spark, stream):
-    batches = [[("a", START + timedelta(days=2))], [("b", START), ("a", START)]]
-    links = stream(LINKS, *batches)
-    finish(jobs.stream_new_links(links, stream.path("seen"), stream.path("out"), stream.path("ckpt"), available_now=True))
-    assert sorted(r.url for r in spark.read.schema("url string").parquet(stream.path("out")).collect()) == ["a", "b"]
+def test_given_tables_must_exist(spark, stream):
+    links = stream(LINKS, [("a", START)])
+    with pytest.raises(StreamingQueryException):
+        jobs.stream_new_links(links, stream.path("none"), stream.path("o"), stream.path("c1"), available_now=True).awaitTermination()
+    with pytest.raises(StreamingQueryException):
+        args = (stream.path("none"), None, stream.path("o"), stream.path("c2"))
+        jobs.stream_allowed(links.select("url"), *args, available_now=True).awaitTermination()
 
 
 def test_edited_rules_count_from_the_next_batch(spark, stream):
     text = "User-agent: *\nDisallow: /a"
     spark.createDataFrame([("http://h/robots.txt", "h", 200, text)], schemas.ROBOTS_TXT).write.parquet(stream.path("txt"))
-    args = [stream.path(n) for n in ("txt", "rules", "out", "ckpt")]
     batch = [("http://h/a",), ("http://h/b",), ("http://h/c",)]
-    finish(jobs.stream_allowed(stream("url string", batch), *args, available_now=True))
+
+    def run(rules):
+        args = (stream.path("txt"), rules, stream.path("out"), stream.path("ckpt"))
+        finish(jobs.stream_allowed(stream("url string", batch), *args, available_now=True))
+
+    run(None)
     spark.createDataFrame([("1", "h", 1, False, "/b")], schemas.CUSTOM_RULES).write.parquet(stream.path("rules"))
-    finish(jobs.stream_allowed(stream("url string", batch), *args, available_now=True))
+    run(stream.path("rules"))
     got = spark.read.parquet(stream.path("out")).orderBy("batch", "url").collect()
     assert [r.allowed for r in got] == [False, True, True, False, False, True]
 
 
 def test_traffic_as_batch(spark, stream):
+    """Rows in any order over the batches, the last minute included."""
     rng = random.Random(1)
     rows = sorted((START + timedelta(seconds=rng.randrange(3600)), rng.randrange(1000)) for _ in range(500))
-    schema = "crawl_time timestamp, raw_len long"
-    finish(
-        jobs.stream_traffic(
-            stream(schema, rows[:200], rows[200:350], rows[350:]), stream.path("out"), stream.path("ckpt"), available_now=True
-        )
-    )
     last = rows[-1][0]
-    batch = traffic_stats(spark.createDataFrame(rows, schema), last, 120)
-    closed = (last - timedelta(minutes=2) - datetime(1970, 1, 1)) / timedelta(milliseconds=1)
-    want = batch.filter(F.col("bucket_ms") + 60_000 <= closed)
-    got = spark.read.parquet(stream.path("out"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert got.count() > 50
+    mixed = rng.sample(rows, len(rows))
+    schema = "crawl_time timestamp, raw_len long"
+    source = stream(schema, mixed[:200], mixed[200:350], mixed[350:])
+    for _ in range(2):
+        finish(jobs.stream_traffic(source, stream.path("out"), stream.path("ckpt"), available_now=True))
+        got = jobs.read_traffic(spark, stream.path("out"))
+        want = traffic_stats(spark.createDataFrame(rows, schema), last, 120)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        forget_last_commit(stream.path("ckpt"))
+    assert jobs.read_traffic(spark, stream.path("nothing yet")).count() == 0
+
+
+def test_slots_keep_two_versions_of_their_state(spark, stream):
+    schema = "at timestamp, i int, host string"
+    source = stream(schema, *[[(START + timedelta(seconds=i), i, "h")] for i in range(5)])
+    args = (stream.path("out"), stream.path("state"), stream.path("ckpt"), ["i"])
+    finish(jobs.stream_polite_slots(source, 1.0, *args, available_now=True))
+    left = pathlib.Path(stream.path("state"))
+    assert sorted(f.name for f in left.iterdir()) == ["batch=3", "batch=4"]
+    (left / "batch=4").rename(stream.path("lost"))
+    stream.add(schema, [(START + timedelta(seconds=9), 9, "h")])
+    with pytest.raises(StreamingQueryException):
+        jobs.stream_polite_slots(stream(schema), 1.0, *args, available_now=True).awaitTermination()
 
 
 def test_slots_as_batch(spark, stream):
@@ -128,10 +158,10 @@ def test_batches_may_run_again(spark, stream):
     rows = [(START + timedelta(seconds=i // 9), i, "h", f"u{i % 70}") for i in range(200)]
     schema = "at timestamp, i int, host string, url string"
     source = stream(schema, rows[:90], rows[90:])
-    seen, links, slots, state = (stream.path(n) for n in ("seen", "links", "slots", "state"))
+    links, slots, state = (stream.path(n) for n in ("links", "slots", "state"))
 
     def run():
-        finish(jobs.stream_new_links(source, seen, links, stream.path("c1"), available_now=True))
+        finish(jobs.stream_new_links(source, None, links, stream.path("c1"), available_now=True))
         finish(jobs.stream_polite_slots(source, 1.0, slots, state, stream.path("c2"), ["i"], available_now=True))
         pages = source.select("url", F.col("host").alias("domain"), F.lit(200).alias("code"), F.lit("b").alias("body"),
                               F.col("at").alias("crawl_time"))

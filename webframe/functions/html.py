@@ -5,7 +5,7 @@ inside them are not seen. All repetition is possessive or lazy: no backtracking.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ TAGS = (
     r"|style(?=[\s/>]).*?(?:</style(?=[\s/>])|\z)"
     rf"|((?:a|meta)(?=[\s/]){_ATTRS}>?))"
 )
-ENTITY = r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
-_ENTITIES = "\x01".join(f"&{name};\x02{chr(code)}" for name, code in sorted(name2codepoint.items()))
+ENTITY = r"(?s)&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;)|[^&]++|&"
+_ENTITIES = "\x01".join(f"&{name}\x02{text}" for name, text in sorted(html5.items()) if name.endswith(";"))
 
 
 def link_tags(html: Column) -> Column:
@@ -51,12 +51,14 @@ def _character(code: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Character references ended by ';' replaced by their characters."""
+    """Character references replaced by their characters: numbers of any length, with or without a ';',
+    and the names of HTML 5 that end in one."""
     names = F.str_to_map(F.lit(_ENTITIES), F.lit("\x01"), F.lit("\x02"))
 
     def one(t: Column) -> Column:
-        decimal = F.regexp_extract(t, r"^&#([0-9]+);", 1)
-        hexadecimal = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);", 1)
+        # leading zeros go first; what is longer than any character's number then stays as it is
+        decimal = F.regexp_extract(t, r"^&#0*+([0-9]{1,7});?$", 1)
+        hexadecimal = F.regexp_extract(t, r"^&#[xX]0*+([0-9a-fA-F]{1,6});?$", 1)
         return (
             F.when(decimal != "", F.coalesce(_character(decimal.try_cast("bigint")), t))
             .when(hexadecimal != "", F.coalesce(_character(F.conv(hexadecimal, 16, 10).try_cast("bigint")), t))

@@ -60,17 +60,32 @@ def _decode_other(body: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([one(b, n) for b, n in zip(body, name)], dtype=object)
 
 
+META = r"""(?i)<meta\s[^<>]*?\bcharset\s*+=\s*+["']?\s*+([a-z0-9_.:-]++)"""
+
+
+def declared_charset(body: Column) -> Column:
+    """The charset that a page's own first meta declaration names, null without one.
+
+    A page in which the declaration can be read as it stands is not UTF-16, whatever it says."""
+    name = F.lower(F.regexp_extract(body.cast("string"), META, 1))
+    return F.when(name.startswith("utf-16"), "utf-8").when(name != "", name)
+
+
 def decoded(body: Column, name: Column) -> Column:
     """Text of `body` in the named charset, undecodable bytes dropped; null for an unknown charset.
 
-    Clean UTF-8 and Latin-1 bodies are decoded in the JVM; only the others are sent to Python."""
+    UTF-8 and Latin-1 bodies are decoded in the JVM. Bad bytes of UTF-8 become U+FFFD there and are then
+    removed, so only bodies in other charsets, or with both bad bytes and that character, are sent to Python."""
     low = F.lower(name)
     as_text = body.cast("string")
-    clean = low.isin(*UTF8) & F.is_valid_utf8(as_text)
+    utf8 = low.isin(*UTF8)
+    clean = utf8 & F.is_valid_utf8(as_text)
+    mendable = utf8 & ~F.contains(body, F.lit(b"\xef\xbf\xbd"))
     latin = low.isin(*LATIN1)
-    other = ~F.coalesce(clean | latin, F.lit(True))
+    other = ~F.coalesce(clean | mendable | latin, F.lit(True))
     return (
         F.when(clean, as_text)
+        .when(mendable, F.replace(F.make_valid_utf8(as_text), F.lit("\ufffd"), F.lit("")))
         .when(latin, F.decode(body, "ISO-8859-1"))
         .otherwise(_decode_other(F.when(other, body), F.when(other, name)))
     )

@@ -31,15 +31,18 @@ def decode_content(responses: DataFrame) -> DataFrame:
 
 
 def with_html(responses: DataFrame, out: str = "html") -> DataFrame:
-    """Add the body as text whatever the code, for link extraction. Unknown charsets read as UTF-8.
+    """Add the body as text whatever the code, for link extraction.
 
-    Where decode_content has already given content, that is taken."""
+    The charset is the one that the page itself declares, else the header's; an unknown one reads as
+    UTF-8. Where decode_content has already given content in that charset, it is taken."""
     raw = F.coalesce(X.header(F.col("headers"), "content-type"), F.lit("text/plain"))
-    named = responses.withColumn("_charset", F.coalesce(X.charset(raw), F.lit("utf-8")))
+    own = X.declared_charset(F.col("body"))
+    named = responses.withColumn("_charset", F.coalesce(own, X.charset(raw), F.lit("utf-8")))
     body, known = F.col("body"), []
-    if "content" in responses.columns:
-        known = [F.col("content")]
-        body = F.when(F.col("content").isNull(), body)
+    if {"content", "charset"} <= set(responses.columns):
+        same = F.col("content").isNotNull() & (F.lower("charset") == F.lower("_charset"))
+        known = [F.when(same, F.col("content"))]
+        body = F.when(F.coalesce(same, F.lit(False)), F.lit(None)).otherwise(F.col("body"))
     plain = F.make_valid_utf8(F.col("body").cast("string"))
     return named.withColumn(out, F.coalesce(*known, X.decoded(body, F.col("_charset")), plain)).drop("_charset")
 

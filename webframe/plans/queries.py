@@ -25,6 +25,9 @@ PAGE_URL = r"^https?://[^/]*example\.(com|org)/"
 SLOT_DELAY = 3600
 MONTH_MINUTES = 30 * 24 * 60
 ALL_HOURS = 24 * 60
+# Text put before every link, and what it stands for.
+REFERENCES = "a&#000000000038;b&#x000000026;c&#38d&#x26/e&apos;f&NotEqualTilde;/"
+REFERRED = "a&b&c&d&/e'f\u2242\u0338/"
 
 
 def _second(at: str = "crawl_time"):
@@ -132,6 +135,13 @@ def extract_links(spark, sf):
     return found.select("url", F.size("links").cast("bigint").alias("n_links"), _joined("links").alias("links"))
 
 
+def extract_links_entities(spark, sf):
+    """All links, with character references of every kind built into them."""
+    marked = T.pages(spark, sf).withColumn("html", F.replace("html", F.lit('href="/'), F.lit('href="/' + REFERENCES)))
+    found = links.extract_links(marked)
+    return found.select("url", F.size("links").cast("bigint").alias("n_links"), _joined("links").alias("links"))
+
+
 def page_nofollow(spark, sf):
     """Pages with a robots meta in place of the charset meta, by the shape of their url."""
     listed = F.when(F.col("url").contains("?page="), "NoIndex,NoFollow").when(
@@ -152,6 +162,18 @@ def page_links(spark, sf):
     return links.page_links(T.responses(spark, sf)).select("url", _joined("links").alias("links"))
 
 
+def page_links_charsets(spark, sf):
+    """Links of pages whose header names another charset than they declare and are written in."""
+    latin = F.col("page_id") % 2 == 0
+    html = F.when(latin, F.replace("html", F.lit('charset="utf-8"'), F.lit("charset=ISO-8859-1"))).otherwise(F.col("html"))
+    body = F.when(latin, F.encode(html, "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    named = F.concat(F.lit("text/html; charset="), F.when(latin, "utf-8").otherwise("ISO-8859-1"))
+    rows = T.pages(spark, sf).select(
+        "url", F.lit(200).alias("code"), F.create_map(F.lit("content-type"), named).alias("headers"), body.alias("body")
+    )
+    return links.page_links(content.decode_content(rows)).select("url", _joined("links").alias("links"))
+
+
 def link_edges(spark, sf):
     return T.link_rows(spark, sf)
 
@@ -199,6 +221,18 @@ def robots_allowed_full(spark, sf):
     return robots.robots_allowed(T.pages(spark, sf).select("url"), rules, own, target="full")
 
 
+def robots_wildcards(spark, sf):
+    """All pages under operator rules of several wildcards made from the paths of each host's pages."""
+    path = U.path(F.col("url"))
+    made = F.concat(F.lit("/*"), F.substring(path, 2, 1), F.lit("*/*"), F.substring(path, -2, 1), F.lit("*"), F.right(path, F.lit(1)), F.lit("$"))
+    own = T.pages(spark, sf).select(
+        F.col("page_id").cast("string").alias("id"), U.host(F.col("url")).alias("site"), F.col("page_id").alias("ord"),
+        (F.col("page_id") % 3 == 0).alias("flag"), made.alias("path"),
+    )
+    none = _ruleset(spark, sf).filter("false")
+    return robots.robots_allowed(T.pages(spark, sf).select("url"), none, robots.custom_ruleset(own))
+
+
 def robots_status_policy(spark, sf):
     t = T.robots_txt(spark, sf)
     strict = robots.robots_status_policy(t, "standalone").select("robots_url", F.col("content").alias("standalone"))
@@ -383,11 +417,8 @@ def stream_new_links(spark, sf):
     T.link_rows(spark, sf).filter(F.col("src").contains("/en/")).select(F.col("dst").alias("url")).distinct().write.parquet(
         f"{folder}/seen"
     )
-    found = links.link_edges(links.extract_links(_stream(spark, sf, "pages")))
-    timed = found.select(F.col("dst").alias("url"), F.lit(T.START).cast("timestamp").alias("found_at"))
-    jobs.stream_new_links(
-        timed, f"{folder}/seen", f"{folder}/out", f"{folder}/checkpoint", available_now=True
-    ).awaitTermination()
+    found = links.link_edges(links.extract_links(_stream(spark, sf, "pages"))).select(F.col("dst").alias("url"))
+    jobs.stream_new_links(found, f"{folder}/seen", f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
     return spark.read.schema("url string").parquet(f"{folder}/out").select("url")
 
 
@@ -408,7 +439,7 @@ def stream_traffic(spark, sf):
         F.col("ts").cast("timestamp").alias("crawl_time"), F.floor("value").cast("bigint").alias("raw_len")
     )
     jobs.stream_traffic(rows, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return jobs.read_traffic(spark, f"{folder}/out")
 
 
 def stream_polite_slots(spark, sf):
@@ -432,8 +463,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         read_docs, to_docs, append_first_wins, upsert_latest, need_fetch, ingest_seeds, seed_domains, purge_host,
         with_url_parts, resolve_urls, robots_urls, decode_content, with_raw_len,
-        extract_links, page_nofollow, redirect_links, page_links, link_edges, links_per_host, map_pages,
-        parse_robots, select_ruleset, custom_ruleset, robots_allowed, robots_allowed_full, robots_status_policy,
+        extract_links, extract_links_entities, page_nofollow, redirect_links, page_links, page_links_charsets, link_edges, links_per_host, map_pages,
+        parse_robots, select_ruleset, custom_ruleset, robots_allowed, robots_allowed_full, robots_wildcards, robots_status_policy,
         robots_meta, restrict_links, frontier_add, mark_done_frontier, mark_done_seen, next_batch, fetch_plan,
         polite_slots, polite_state, queue_summary, replay_responses,
         traffic_stats, traffic_last_day, step_metrics, response_time_by_host, crawl_log, seed_log, log_tail, log_shown,

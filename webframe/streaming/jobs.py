@@ -26,7 +26,7 @@ def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> St
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that the job itself writes, and that may not exist yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -36,81 +36,82 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _given(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    """A table that others write: empty if the caller has none, an error if it is not where the caller says."""
+    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stream_new_links(
-    links: DataFrame,
-    seen_path: str,
-    out_path: str,
-    checkpoint: str,
-    at: str = "found_at",
-    ttl: str | None = None,
-    available_now: bool = False,
+    links: DataFrame, seen_path: str | None, out_path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Write each discovered url once, unless it is in SEEN.
-
-    Both SEEN and the urls written before are read again for every batch, so changes to
-    SEEN take effect at once. A batch is reduced to one row per url and task before its shuffle, however
-    often a link occurs. A batch that is run again replaces its own folder.
+    """Write each discovered url once, unless it is in SEEN when it is first found.
 
-    With `ttl`, urls are also remembered for that much event time, which saves most lookups of urls
-    that return soon; rows later than that are then dropped, as Spark does behind a watermark."""
-    if ttl is not None:
-        links = links.withWatermark(at, ttl).dropDuplicatesWithinWatermark(["url"])
+    The urls found so far are the query's state, without a watermark, so none is forgotten and no output is
+    read again: a batch costs what it holds. With the RocksDB state store the state lies on disk. SEEN is
+    read again for every batch. A batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = _read_or_empty(spark, seen_path, schemas.SEEN)
-        written = _read_or_empty(spark, out_path, "url string, batch long")
-        earlier = written.filter(F.col("batch") < number).select("url")
-        new = batch.select("url").distinct().join(seen, "url", "left_anti").join(earlier, "url", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        seen = _given(batch.sparkSession, seen_path, schemas.SEEN)
+        batch.join(seen, "url", "left_anti").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
-    return _start(links.writeStream.foreachBatch(write), checkpoint, available_now)
+    new = links.select("url").dropDuplicates(["url"])
+    return _start(new.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
 def stream_allowed(
     urls: DataFrame,
     robots_path: str,
-    rules_path: str,
+    rules_path: str | None,
     out_path: str,
     checkpoint: str,
     robot_name: str = ROBOT_NAME,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Write each url with its robots verdict. Every batch reads ROBOTS_TXT and CUSTOM_RULES again,
-    so that edited rules count from the next batch on."""
+    so that edited rules count from the next batch on. `rules_path` is None where the operator has no rules."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        texts = robots_status_policy(_read_or_empty(spark, robots_path, schemas.ROBOTS_TXT))
-        own = custom_ruleset(_read_or_empty(spark, rules_path, schemas.CUSTOM_RULES))
+        texts = robots_status_policy(_given(spark, robots_path, schemas.ROBOTS_TXT))
+        own = custom_ruleset(_given(spark, rules_path, schemas.CUSTOM_RULES))
         rules = select_ruleset(parse_robots(texts), robot_name)
         robots_allowed(batch, rules, own).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return _start(urls.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
+TRAFFIC_SUMS = "bucket_ms long, pages long, bytes long"
+
+
 def stream_traffic(
-    responses: DataFrame,
-    out_path: str,
-    checkpoint: str,
-    at: str = "crawl_time",
-    late: str = "2 minutes",
-    available_now: bool = False,
+    responses: DataFrame, out_path: str, checkpoint: str, at: str = "crawl_time", available_now: bool = False
 ) -> StreamingQuery:
-    """Write pages and bytes per second of each minute, once the minute can no longer change."""
+    """Write each batch's pages and bytes per minute; `read_traffic` adds them up.
+
+    No response is late: a minute is shown from its first response on and grows with whatever comes."""
     b = TRAFFIC_BUCKET_SECONDS
-    per_minute = (
-        responses.withWatermark(at, late)
-        .groupBy(F.window(at, f"{b} seconds"))
-        .agg(F.count("*").alias("_pages"), F.sum("raw_len").alias("_bytes"))
-        .select(
-            (F.unix_seconds("window.start") * 1000).alias("bucket_ms"),
-            pages_per_second(F.col("_pages")).alias("pages_per_s"),
-            F.expr(f"_bytes div {b}").alias("bytes_per_s"),
-        )
+
+    def write(batch: DataFrame, number: int) -> None:
+        minute = (F.floor(F.unix_seconds(at) / b) * b * 1000).cast("long").alias("bucket_ms")
+        sums = batch.groupBy(minute).agg(F.count("*").alias("pages"), F.sum("raw_len").cast("long").alias("bytes"))
+        sums.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return _start(responses.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
+def read_traffic(spark: SparkSession, out_path: str) -> DataFrame:
+    """Pages and bytes per second of each minute so far."""
+    sums = _written(spark, out_path, TRAFFIC_SUMS).groupBy("bucket_ms")
+    return sums.agg(F.sum("pages").alias("_pages"), F.sum("bytes").alias("_bytes")).select(
+        "bucket_ms",
+        pages_per_second(F.col("_pages")).alias("pages_per_s"),
+        F.expr(f"_bytes div {TRAFFIC_BUCKET_SECONDS}").alias("bytes_per_s"),
     )
-    writer = per_minute.writeStream.outputMode("append").format("parquet").option("path", out_path)
-    return _start(writer, checkpoint, available_now)
 
 
 SLOT_STATE = "host string, free_us long"
@@ -127,16 +128,19 @@ def stream_polite_slots(
 ) -> StreamingQuery:
     """Write each request (host, at, tie columns) with its start_at, per-host state kept across batches.
 
-    A batch reads the state that the batch before it wrote and writes its own version, so a batch
-    that is run again gives the same rows. Within a batch the work of one large host is spread
-    over many tasks, which a function called once per host could not do."""
+    A batch reads the state that the batch before it wrote and writes its own version, so a batch that is
+    run again gives the same rows; a state that is not there is an error, for politeness would start anew.
+    Versions that no batch can ask for any more are removed. Within a batch the work of one large host is
+    spread over many tasks, which a function called once per host could not do."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = _read_or_empty(spark, f"{state_path}/batch={number - 1}", SLOT_STATE)
+        before = f"{state_path}/batch={number - 1}"
+        state = _given(spark, before if number > 0 else None, SLOT_STATE)
         slots, new_state = polite_slots(batch, delay, tie=tie, state=state)
         slots.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         new_state.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        _remove(spark, f"{state_path}/batch={number - 2}")
 
     return _start(requests.writeStream.foreachBatch(write), checkpoint, available_now)
 
@@ -146,7 +150,7 @@ def stream_store(docs: DataFrame, path: str, checkpoint: str, available_now: boo
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = _read_or_empty(spark, path, schemas.DOCS + ", domain_bucket int")
+        stored = _written(spark, path, schemas.DOCS + ", domain_bucket int")
         write_docs(append_first_wins(stored, batch), path)
 
     return _start(docs.writeStream.foreachBatch(write), checkpoint, available_now)
