@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,10 +7,10 @@ from pyspark.sql import functions as F
 from webframe import schemas
 from webframe.operators import robots as R
 from webframe.operators.stats import step_metrics
-from webframe.operators.steps import Step, run_pipeline
+from webframe.operators.steps import Step, row_step, run_pipeline
 from webframe.plans import closure as C
 from webframe.plans import loop as L
-from webframe.plans.crawl import crawl_round
+from webframe.plans.crawl import crawl_round, default_steps
 from webframe.session import work_folder
 from webframe.settings import CrawlSettings
 from webframe.sources.docs import read_docs
@@ -104,6 +105,20 @@ def test_stopped_rows_skip_later_steps(frame):
     assert {(r.i, r.late) for r in got} == {(0, 1), (2, 1), (1, None), (3, None)}
 
 
+def test_a_row_that_fails_goes_on_unchanged(frame):
+    def user(row):
+        if row.i == 2:
+            raise ValueError("bad row")
+        return None if row.i == 3 else {"i": row.i * 10, "twice": 2 * row.i, "stop": row.i == 1}
+
+    steps = [row_step("user", user, "i int, twice int, stop boolean"), Step("last", lambda df: df.withColumn("end", F.lit(1)))]
+    for timed in (False, True):
+        got = run_pipeline(frame([(i,) for i in range(5)], "i int"), steps, timed=timed)
+        rows = (got[0] if timed else got).collect()
+        assert sorted((r.i, r.twice, r.end, r.stopped_by) for r in rows if r.i > 3) == [(10, 2, None, "user"), (40, 8, 1, None)]
+        assert sorted((r.i, r.twice, r.end) for r in rows if r.i <= 3) == [(0, 0, 1), (2, None, 1), (3, None, 1)]
+
+
 def test_timed_steps(frame):
     got, events = run_pipeline(frame([(i,) for i in range(6)], "i int"), [odd_stop, Step("id", lambda d: d)], timed=True)
     assert got.count() == 6
@@ -163,8 +178,36 @@ def test_whole_crawl(frame, spark, tmp_path, graph):
         + [f"NOT Crawled {u}" for u in reached if u not in fetched]
     )
     assert {r.host: r["count"] for r in crawl.summary().collect()} == {"h0": 0, "h1": 0, "h2": 0}
+    calls = {r.step: r.calls for r in crawl.steps().collect()}
+    assert calls["RobotCheck"] == len(reached) and calls["Fetch"] == calls["LinkExtraction"] == len(reached - stopped)
+    assert crawl.table("traffic", "raw_len long").count() == len(fetched)
+    slots = crawl.table("slots", "url string, host string, start_at timestamp").collect()
+    assert {r.url for r in slots} == reached
+    for host in {r.host for r in slots}:
+        starts = sorted(r.start_at for r in slots if r.host == host)
+        assert all((b - a).total_seconds() >= 1 for a, b in zip(starts, starts[1:]))
 
     # a seed is crawled again although it was seen, and nothing else is
     crawl.add_seeds(frame([(nodes[0],)], "url string"))
     assert [r.url for r in crawl.queued().collect()] == [nodes[0]]
     assert crawl.run(archive) == 1
+
+
+def test_steps_store_and_batch_of_a_crawl_are_settings(frame, spark, tmp_path):
+    """One url per host and round, a step of the user's own, and the latest version of a page stays."""
+    link = lambda *urls: "".join(f'<a href="{u}">' for u in urls).encode()
+    time = lambda second: datetime(2024, 1, 1, 0, 0, second)
+    rows = [("http://h/a", 200, {}, link("/b", "/c"), 0.5, time(1)), ("http://h/b", 200, {}, b"b", 0.5, time(2)), ("http://h/c", 200, {}, b"c", 0.5, time(3))]
+    mark = row_step("Mark", lambda row: {"stop": row.url.endswith("/c")}, "stop boolean")
+    settings = CrawlSettings(host_batch=1, store="latest")
+    crawl = L.Crawl(spark, str(tmp_path / "crawl"), settings, lambda *given: [mark, *default_steps(*given)])
+    crawl.add_seeds(frame([("http://h/a",)], "url string"))
+    assert crawl.run(frame(rows, schemas.RESPONSES)) == 3
+    assert {r.url for r in crawl.docs().collect()} == {"http://h/a", "http://h/b"}
+    assert crawl.traffic(time(50), 5).first().bytes_per_s == (len(rows[0][3]) + 1) // 60
+    crawl.add_seeds(frame([("http://h/b",)], "url string"))
+    newer = frame([*rows, ("http://h/b", 200, {}, b"newer", 0.5, time(9))], schemas.RESPONSES)
+    assert crawl.run(newer) == 1
+    assert {r.url: r.body for r in crawl.docs().collect()}["http://h/b"] == "newer"
+    with pytest.raises(ValueError):
+        L.Crawl(spark, "x", CrawlSettings(store="none"))

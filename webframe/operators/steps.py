@@ -8,8 +8,9 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webframe import schemas
 from webframe.session import checkpointed
@@ -37,20 +38,47 @@ def _as_step(item: Step | str | Callable[[DataFrame], DataFrame]) -> Step:
     return Step(item.__name__, item)
 
 
+def row_step(name: str, function: Callable[[Row], dict | None], columns: str) -> Step:
+    """A step of user code: `function(row)` gives the row's new `columns` (DDL; `stop` may be one).
+
+    A row on which it raises, or for which it gives None, is marked `failed` and goes on as it was; others
+    are not touched by that. Batches go to Python by Arrow."""
+    made = T._parse_datatype_string(columns)
+    names = made.fieldNames()
+
+    def one(row):
+        try:
+            got = function(row)
+            if got is not None:
+                return (False, *[got.get(n) for n in names])
+        except Exception:
+            log.exception("step %s failed on a row", name)
+        return (True, *[None] * len(names))
+
+    def process(df: DataFrame) -> DataFrame:
+        result = T.StructType([T.StructField("failed", T.BooleanType()), *made.fields])
+        rows = [c for c in df.columns if c != "_before"]
+        out = df.withColumn("_made", F.udf(one, result, useArrow=True)(F.struct(*[F.col(f"`{c}`") for c in rows])))
+        return out.withColumns({n: F.col(f"_made.{n}") for n in ["failed", *names]}).drop("_made")
+
+    return Step(name, process)
+
+
 def run_pipeline(
     df: DataFrame,
     steps: Sequence[Step | str | Callable[[DataFrame], DataFrame]],
     timed: bool = False,
-    keep_gates: bool = False,
+    keep_gates: bool = True,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Run steps in order. All rows are returned, stopped ones with the step's name in `stopped_by`.
 
-    A step that raises is logged and left out. That covers its work on the rows only with `timed`,
-    which runs each step at once; otherwise steps report rows they could not treat in `failed`. Rows that are stopped leave the flow at once, so
-    later steps never see them; the stopped rows and the others are two readers of the steps up to
-    there, and `keep_gates` checkpoints at such steps so that the work is done once. Steps fuse into
-    Spark stages; to measure each one, `timed` checkpoints after every step and returns
-    METRIC_EVENTS rows (pipeline:<step>:calls and :time) as well."""
+    A step that raises while it is planned is logged and left out. Rows on which a step's own code fails are
+    marked `failed` by it (see row_step) and go on unchanged; one bad row never takes the step from others.
+    Rows that are stopped leave the flow at once, so later steps never see them; the stopped rows and the
+    others are two readers of the steps up to there, and `keep_gates` checkpoints at such steps so that the
+    work is done once. Steps fuse into Spark stages; to measure each one, `timed` checkpoints after every
+    step, where its rows are counted as they pass, and returns METRIC_EVENTS rows
+    (pipeline:<step>:calls and :time) as well."""
     spark = df.sparkSession
     active = df.withColumn("stopped_by", F.lit(None).cast("string"))
     finished: list[DataFrame] = []
@@ -67,11 +95,13 @@ def run_pipeline(
                     columns["stop"] = ~failed & F.col("stop")
                 out = out.withColumns(columns).drop("failed")
             out = out.drop("_before")
-            if timed or (keep_gates and "stop" in out.columns):
-                out = checkpointed(out)
             if timed:
+                rows = Observation()
+                out = checkpointed(out.observe(rows, F.count(F.lit(1)).alias("calls")))
                 events.append((f"pipeline:{step.name}:time", time.time() - began))
-                events.append((f"pipeline:{step.name}:calls", float(out.count())))
+                events.append((f"pipeline:{step.name}:calls", float(rows.get["calls"])))
+            elif keep_gates and "stop" in out.columns:
+                out = checkpointed(out)
         except Exception:
             log.exception("step %s failed", step.name)
             continue

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webframe.operators.content import decode_content
+from webframe.operators.content import decode_content, with_raw_len
 from webframe.operators.frontier import fetch_plan, frontier_add, mark_done, next_batch, restrict_links
 from webframe.operators.links import page_links
 from webframe.operators.log import crawl_log
@@ -56,14 +57,34 @@ def default_steps(
     return [need_fetch_step(docs, need_fetch), robots_step(rules), fetch_step(archive), links_step()]
 
 
+MakeSteps = Callable[[DataFrame, RuleLists, DataFrame, bool], list[Step]]
+
+
 def process_batch(
-    batch: DataFrame, docs: DataFrame, rules: RuleLists, archive: DataFrame, need_fetch: bool = False
+    batch: DataFrame,
+    docs: DataFrame,
+    rules: RuleLists,
+    archive: DataFrame,
+    need_fetch: bool = False,
+    make_steps: MakeSteps = default_steps,
 ) -> DataFrame:
-    """The batch's urls after the default steps, stopped ones included.
+    """The batch's urls after the steps (by default the default ones), stopped ones included.
 
     Checkpointed after robots rules have stopped rows (urls only), so that the archive is joined
     once, and at the end, as several results are made of it."""
-    return checkpointed(run_pipeline(batch, default_steps(docs, rules, archive, need_fetch), keep_gates=True))
+    return checkpointed(run_pipeline(batch, make_steps(docs, rules, archive, need_fetch)))
+
+
+def timed_batch(
+    batch: DataFrame, docs: DataFrame, rules: RuleLists, archive: DataFrame, need_fetch: bool, make_steps: MakeSteps
+) -> tuple[DataFrame, DataFrame]:
+    """process_batch with the METRIC_EVENTS of its steps; every step is checkpointed."""
+    return run_pipeline(batch, make_steps(docs, rules, archive, need_fetch), timed=True)
+
+
+def fetched(results: DataFrame) -> DataFrame:
+    """Responses of a processed batch as traffic rows: crawl_time, raw_len. Every response counts."""
+    return with_raw_len(results.filter("stopped_by IS NULL AND code IS NOT NULL")).select("crawl_time", "raw_len")
 
 
 def found_links(results: DataFrame, domains: DataFrame, settings: CrawlSettings) -> DataFrame:
@@ -79,13 +100,14 @@ def result_log(results: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Round:
-    """What a round gives: processed urls, pages to store, new frontier and seen set, log rows."""
+    """What a round gives: processed urls, pages to store, new frontier and seen set, log and traffic rows."""
 
     results: DataFrame
     docs: DataFrame
     frontier: DataFrame
     seen: DataFrame
     log: DataFrame
+    traffic: DataFrame
 
 
 def crawl_round(
@@ -96,11 +118,11 @@ def crawl_round(
     rules: RuleLists,
     archive: DataFrame,
     settings: CrawlSettings = CrawlSettings(),
-    need_fetch: bool = False,
+    make_steps: MakeSteps = default_steps,
 ) -> Round:
     """Take a batch per host, run the steps, follow links, and move what was processed to seen."""
-    batch = fetch_plan(next_batch(frontier), settings.domain_concurrency)
-    results = process_batch(batch, docs, rules, archive, need_fetch)
+    batch = fetch_plan(next_batch(frontier, settings.host_batch), settings.domain_concurrency)
+    results = process_batch(batch, docs, rules, archive, settings.need_fetch, make_steps)
     left, done = mark_done(frontier, seen, results)
     return Round(
         results=results,
@@ -108,4 +130,5 @@ def crawl_round(
         frontier=frontier_add(left, done, found_links(results, domains, settings)),
         seen=done,
         log=result_log(results),
+        traffic=fetched(results),
     )

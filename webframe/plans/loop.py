@@ -4,8 +4,10 @@ Tables of the folder, one subfolder per round but for the last three:
 
     seeds, found   urls queued by the operator and by the crawl (frontier rows)
     seen           processed urls
-    log, metrics   LOG and METRIC_EVENTS rows
-    docs           the page store
+    log, metrics   LOG and METRIC_EVENTS rows (steps' calls and times, hosts' response times)
+    traffic        responses: crawl_time, raw_len
+    slots          when each url of a round may be fetched (wave, start_at), and the hosts' state after it
+    docs           the page store; with the latest-wins store all versions
     domains        allow-list
     custom_rules   operator's robots rules (may be missing)
 
@@ -14,6 +16,8 @@ writes its own subfolders anew, so a round that broke off is simply run again.""
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +27,33 @@ from webframe.functions import url as U
 from webframe.operators import robots
 from webframe.operators.content import decode_content
 from webframe.operators.control import apply_domain_changes
-from webframe.operators.frontier import frontier_add, next_batch, queue_summary
+from webframe.operators.frontier import fetch_plan, frontier_add, next_batch, queue_summary
 from webframe.operators.log import seed_log
-from webframe.operators.stats import response_time_by_host
+from webframe.operators.slots import polite_slots
+from webframe.operators.stats import response_time_by_host, step_metrics, traffic_stats
 from webframe.operators.urls import robots_urls
-from webframe.plans.crawl import found_links, process_batch, result_log
+from webframe.plans.crawl import MakeSteps, default_steps, fetched, found_links, result_log, timed_batch
 from webframe.session import checkpointed
-from webframe.settings import CrawlSettings
-from webframe.sources.docs import append_first_wins, replay_responses, to_docs, write_docs
+from webframe.settings import TRAFFIC_MINUTES, CrawlSettings
+from webframe.sources.docs import append_first_wins, latest_versions, replay_responses, to_docs, write_docs
 from webframe.sources.seeds import ingest_seeds
 
+SLOT_STATE = "host string, free_us long"
+
 
 class Crawl:
-    def __init__(self, spark: SparkSession, folder: str, settings: CrawlSettings = CrawlSettings()):
-        self.spark, self.folder, self.settings = spark, folder, settings
+    """A crawl in `folder`. `make_steps(docs, rules, archive, need_fetch)` gives the steps of a round."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        settings: CrawlSettings = CrawlSettings(),
+        make_steps: MakeSteps = default_steps,
+    ):
+        self.spark, self.folder, self.settings, self.make_steps = spark, folder, settings, make_steps
+        if settings.store not in ("first", "latest"):
+            raise ValueError(f"unknown store {settings.store!r}")
 
     def table(self, name: str, schema: str) -> DataFrame:
         """A table of the folder as it is now; empty while it does not exist."""
@@ -95,22 +112,44 @@ class Crawl:
         lists = robots.rule_lists(robots.select_ruleset(parsed, self.settings.robot_name), own, keep=True)
         return lists, to_docs(files.withColumn("links", F.array().cast("array<string>")))
 
+    def docs(self) -> DataFrame:
+        """The page store: one row per url."""
+        rows = self.table("docs", schemas.DOCS + ", domain_bucket int").drop("domain_bucket")
+        return latest_versions(rows) if self.settings.store == "latest" else rows
+
+    def _store(self, pages: DataFrame) -> None:
+        new = pages if self.settings.store == "latest" else append_first_wins(self.docs(), pages)
+        write_docs(new, f"{self.folder}/docs")
+
+    def _plan(self, batch: DataFrame, number: int) -> None:
+        """Write in which wave, and how soon, each url may be fetched without crowding its host."""
+        state = self.table(f"slot_state/round={number - 1}", SLOT_STATE) if number else None
+        at = batch.select("url", "host", "rn", F.lit(self.now()).alias("at"))
+        slots, after = polite_slots(fetch_plan(at, self.settings.domain_concurrency), self.settings.crawl_delay, tie=["rn"], state=state)
+        self._write(slots.select("url", "host", "wave", "start_at"), "slots", number)
+        self._write(after, "slot_state", number)
+
+    @staticmethod
+    def now() -> datetime:
+        return datetime.now(UTC).replace(tzinfo=None)
+
     def run_round(self, archive: DataFrame) -> bool:
         """Process one batch of every host; False when nothing was queued."""
-        number = self.next_round()
-        batch = checkpointed(next_batch(self.queued()))
+        number, settings = self.next_round(), self.settings
+        batch = checkpointed(next_batch(self.queued(), settings.host_batch))
         if batch.isEmpty():
             return False
-        stored = self.table("docs", schemas.DOCS + ", domain_bucket int").drop("domain_bucket")
+        self._plan(batch, number)
         rules, robots_pages = self._rules(batch, archive)
-        results = process_batch(batch, stored, rules, archive)
+        results, events = timed_batch(batch, self.docs(), rules, archive, settings.need_fetch, self.make_steps)
 
-        pages = to_docs(results.filter("stopped_by IS NULL")).unionByName(robots_pages)
-        write_docs(append_first_wins(stored, pages), f"{self.folder}/docs")
+        self._store(to_docs(results.filter("stopped_by IS NULL")).unionByName(robots_pages))
         timed = results.filter("stopped_by IS NULL AND request_time IS NOT NULL")
         key = F.concat(F.lit("response:"), F.col("host"))
         now = F.current_timestamp().alias("ts")
-        self._write(timed.select(key.alias("key"), F.col("request_time").alias("value"), now), "metrics", number)
+        hosts = timed.select(key.alias("key"), F.col("request_time").alias("value"), now)
+        self._write(hosts.unionByName(events), "metrics", number)
+        self._write(fetched(results), "traffic", number)
         self._write(result_log(results), "log", number)
         # a url that was ever added is queued or was processed, so no other table need be asked
         found = found_links(results, self.table("domains", schemas.DOMAINS), self.settings)
@@ -127,6 +166,14 @@ class Crawl:
             done += 1
         return done
 
+    def traffic(self, now: datetime, minutes: int = TRAFFIC_MINUTES) -> DataFrame:
+        """Pages and bytes per second in each of the last minutes."""
+        return traffic_stats(self.table("traffic", "crawl_time timestamp, raw_len long"), now, minutes)
+
+    def steps(self) -> DataFrame:
+        """Calls and times of each step over all rounds."""
+        return step_metrics(self.table("metrics", schemas.METRIC_EVENTS))
+
     def summary(self) -> DataFrame:
         """Queue, crawled urls and mean response time per host."""
         crawled = self.seen().select(U.host(F.col("url")).alias("host"))

@@ -387,12 +387,21 @@ def stop_counts(spark, sf):
     """The default steps over all pages: how many rows each step stops, and links of the others."""
     stored = T.versions(spark, sf, second=False).filter(T.is_https())
     chain = default_steps(stored, _lists(spark, sf), T.responses(spark, sf), need_fetch=True)
-    done = steps.run_pipeline(T.frontier(spark, sf), chain, keep_gates=True)
+    done = steps.run_pipeline(T.frontier(spark, sf), chain)
     return done.groupBy(F.coalesce("stopped_by", F.lit("-")).alias("stopped_by")).agg(
         F.count("*").alias("rows"), F.sum(F.coalesce(F.size("links"), F.lit(0))).cast("bigint").alias("links")
     )
 
 
+def pipeline_calls(spark, sf):
+    """The default steps over all pages: how many rows each step treats."""
+    stored = T.versions(spark, sf, second=False).filter(T.is_https())
+    chain = default_steps(stored, _lists(spark, sf), T.responses(spark, sf), need_fetch=True)
+    _, events = steps.run_pipeline(T.frontier(spark, sf), chain, timed=True)
+    calls = F.regexp_extract("key", "^pipeline:(.*):calls$", 1)
+    return events.select(calls.alias("step"), F.col("value").cast("bigint").alias("calls")).filter("step != ''")
+
+
 def _round(spark, sf):
     return crawl_round(
         T.frontier(spark, sf), T.seen(spark, sf), T.versions(spark, sf, second=False), T.domains(spark, sf),
@@ -408,6 +417,11 @@ def crawl_round_frontier(spark, sf):
     return _round(spark, sf).frontier.select("url", "host")
 
 
+def crawl_round_traffic(spark, sf):
+    """Pages and bytes per second of a round's responses."""
+    return stats.traffic_stats(_round(spark, sf).traffic, F.lit("2100-01-01").cast("timestamp"), minutes=60_000_000)
+
+
 def _stream(spark, sf, name):
     return spark.readStream.schema(T.read(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
@@ -468,7 +482,7 @@ QUERIES: dict[str, Query] = {
         robots_meta, restrict_links, frontier_add, mark_done_frontier, mark_done_seen, next_batch, fetch_plan,
         polite_slots, polite_state, queue_summary, replay_responses,
         traffic_stats, traffic_last_day, step_metrics, response_time_by_host, crawl_log, seed_log, log_tail, log_shown,
-        rules_listing, apply_domain_changes, apply_rule_changes, stop_counts, crawl_round_log, crawl_round_frontier,
+        rules_listing, apply_domain_changes, apply_rule_changes, stop_counts, pipeline_calls, crawl_round_log, crawl_round_frontier, crawl_round_traffic,
         stream_new_links, stream_allowed, stream_traffic, stream_polite_slots, stream_store,
     )
 }

@@ -54,6 +54,11 @@ def _one_version(docs: DataFrame, newest: bool) -> DataFrame:
     return docs.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
+def latest_versions(docs: DataFrame) -> DataFrame:
+    """The last version of each url in a store to which all versions are appended."""
+    return _one_version(docs, newest=True)
+
+
 def append_first_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of `new` to append: first version of each url that is not stored yet.
 
