@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime
 
@@ -59,6 +60,37 @@ def test_closure(frame, spark, graph, monkeypatch, run, partitions, rewrite):
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
+def test_closure_of_a_long_chain_keeps_few_files(frame, spark, monkeypatch):
+    monkeypatch.setattr(C, "MERGE_EVERY", 4)
+    folders = []
+    monkeypatch.setattr(C, "new_folder", lambda spark, name: folders.append(f"{work_folder(spark)}/chain") or folders[0])
+    most = []
+    repeat = C.robots_allowed
+    count = lambda: sum(len([f for f in names if f.endswith(".parquet")]) for _, _, names in os.walk(folders[0]))
+    monkeypatch.setattr(C, "robots_allowed", lambda *a: most.append(count()) or repeat(*a))
+    n = 30
+    edges = [(f"http://h/{i}", f"http://h/{i + 1}", 0) for i in range(n)]
+    args = (frame([("http://h/0",)], "url string"), frame(edges, schemas.EDGES), frame([("h", True, None)], schemas.DOMAINS), no_rules(frame))
+    got = C.crawl_closure(*args)
+    assert {(r.url, r.round) for r in got.collect()} == {(f"http://h/{i}", i) for i in range(n + 1)}
+    assert max(most) <= 8 + 8 + 5 and count() <= 8 + 5  # links, merged rounds, single ones
+
+
+def test_closure_that_breaks_off_leaves_nothing(frame, spark, graph, monkeypatch):
+    nodes, edges = graph
+    folder = f"{work_folder(spark)}/broken"
+    monkeypatch.setattr(C, "new_folder", lambda spark, name: folder)
+    monkeypatch.setattr(C, "restrict_links", lambda edges, *a, **k: edges)
+    calls = []
+    repeat = C.robots_allowed
+    monkeypatch.setattr(C, "robots_allowed", lambda *a: calls.append(1) or (repeat(*a) if len(calls) < 3 else 1 / 0))
+    args = (frame([(nodes[0],)], "url string"), frame(edges, schemas.EDGES), frame([], schemas.DOMAINS), no_rules(frame))
+    with pytest.raises(ZeroDivisionError):
+        C.crawl_closure(*args)
+    assert not [f for _, _, names in os.walk(folder) for f in names]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("webframe_")]
+
+
 def test_closure_limits(frame, graph):
     nodes, edges = graph
     args = (frame([(nodes[0],)], "url string"), frame(edges, schemas.EDGES), frame([], schemas.DOMAINS), no_rules(frame))

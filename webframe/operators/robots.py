@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webframe.functions import robots_text as R
 from webframe.functions import url as U
-from webframe.session import checkpointed
+from webframe.session import written
 from webframe.settings import DENY_ALL_ROBOTS, ROBOT_NAME
 
 RULES_PER_LIST = 1024
@@ -108,8 +108,8 @@ def _lists(rules: DataFrame, *keys: str) -> DataFrame:
 
 
 def rule_lists(ruleset: DataFrame, custom: DataFrame | None = None, keep: bool = False) -> RuleLists:
-    """Gather rules for repeated use; `keep` checkpoints the gathered lists."""
-    hold = checkpointed if keep else (lambda df: df)
+    """Gather rules for repeated use; `keep` writes the gathered lists to the shared folder."""
+    hold = (lambda df: written(df, "rules")) if keep else (lambda df: df)
     of_file = _lists(ruleset.filter("rule_no IS NOT NULL"), "robots_url")
     sites = of_file.groupBy(U.host(F.col("robots_url")).alias("site")).agg(
         F.collect_list(F.struct("robots_url", "rules")).alias("files")

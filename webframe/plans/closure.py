@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webframe.operators.frontier import restrict_links
 from webframe.operators.robots import RuleLists, robots_allowed, rule_lists
-from webframe.session import checkpointed, new_folder, shuffle_partitions
+from webframe.session import new_folder, remove_folder, shuffle_partitions, written
 from webframe.settings import CrawlSettings
 
 # A page's links are spread over buckets in runs of this many.
@@ -17,6 +18,8 @@ RUN = 100_000
 # From this round on, and then whenever the number of rounds has doubled, links of pages that were
 # reached before are left behind: late rounds find few pages and should not read all links for them.
 REWRITE_FROM = 4
+# The rounds' tables of reached urls are merged whenever so many have been written.
+MERGE_EVERY = 16
 REACHED = "url string, allowed boolean, round int"
 
 
@@ -24,7 +27,7 @@ def _write_bucketed(links: DataFrame, folder: str, tables: list[str]) -> DataFra
     """Links (src, run, dst) as a table bucketed by (src, run), so that no round has to shuffle them."""
     spark = links.sparkSession
     n = shuffle_partitions(spark)
-    tables.append(f"webframe_links_{uuid.uuid4().hex}")
+    tables.append(_table("links"))
     (
         links.repartition(n, "src", "run")
         .write.bucketBy(n, "src", "run")
@@ -42,9 +45,9 @@ def _bucketed_edges(edges: DataFrame, folder: str, tables: list[str]) -> tuple[D
     Also gives the number of runs of the pages with more than one (None if there are none): at
     most links / RUN rows, found by a filter that skips all files without such pages."""
     run = F.floor(F.col("pos") / RUN).cast("int").alias("run")
-    written = _write_bucketed(edges.select("src", run, "dst"), folder, tables)
-    long_pages = written.filter("run > 0").groupBy("src").agg((F.max("run") + 1).alias("runs"))
-    return written, None if long_pages.isEmpty() else checkpointed(long_pages)
+    bucketed = _write_bucketed(edges.select("src", run, "dst"), folder, tables)
+    long_pages = bucketed.filter("run > 0").groupBy("src").agg((F.max("run") + 1).alias("runs"))
+    return bucketed, None if long_pages.isEmpty() else written(long_pages, "long-pages")
 
 
 def _runs(front: DataFrame, long_pages: DataFrame | None) -> DataFrame:
@@ -76,45 +79,80 @@ def crawl_closure(
     expanded. Ends when a round reaches nothing new, or after max_rounds.
 
     Links are filtered and bucketed by source page once, and each round appends its urls to a table
-    bucketed by url, both in the shared work folder. So a round shuffles only what it found, lineage
-    stays short, and a lost executor costs only the running round. The driver sees one boolean per
+    bucketed by url, both in the shared work folder; what is rewritten or merged replaces what it was
+    made of, and a run that breaks off leaves nothing. So a round shuffles only what it found, lineage
+    stays short, and a lost executor costs only the running round. The driver sees one number per
     round."""
     spark = seeds.sparkSession
     n = shuffle_partitions(spark)
     folder = new_folder(spark, "closure")
-    reached_table = f"webframe_reached_{uuid.uuid4().hex}"
-    tables = [reached_table]
     lists = rules if isinstance(rules, RuleLists) else rule_lists(rules, custom, keep=True)
     followed = restrict_links(edges, domains, settings.follow_links, settings.mode, url="dst")
-
-    def finish_round(urls: DataFrame, number: int) -> DataFrame:
-        """Write a round's new urls with their verdicts; gives those to expand."""
+    link_tables: list[str] = []
+    reached: list[str] = []  # tables of reached urls; the last one has the last round
+
+    def drop(table: str, files: bool = True) -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files stay
+        if files:
+            remove_folder(spark, f"{folder}/{table}")
+
+    def read_files() -> DataFrame:
+        """Read as plain files: the tables' buckets do not spare a merge its shuffle, if Spark reads them in splits."""
+        return functools.reduce(DataFrame.unionByName, [spark.read.schema(REACHED).parquet(f"{folder}/{t}") for t in reached])
+
+    def append_reached(rows: DataFrame, table: str) -> None:
+        writer = rows.repartition(n, "url").write.mode("append").bucketBy(n, "url").sortBy("url")
+        writer.option("path", f"{folder}/{table}").saveAsTable(table)
+        if table not in reached:
+            reached.append(table)
+
+    def finish_round(urls: DataFrame, number: int) -> int:
+        """Write a round's new urls with their verdicts; how many are to be expanded, counted as they pass."""
         checked = robots_allowed(urls, lists).select("url", "allowed", F.lit(number).alias("round"))
-        (
-            checked.repartition(n, "url")
-            .write.mode("append")
-            .partitionBy("round")
-            .bucketBy(n, "url")
-            .sortBy("url")
-            .option("path", f"{folder}/reached")
-            .saveAsTable(reached_table)
-        )
-        new = spark.table(reached_table).filter((F.col("round") == number) & F.col("allowed"))
-        return new.select(F.col("url").alias("src"))
+        counts = Observation()
+        counted = checked.observe(counts, F.count_if("allowed").alias("n"))
+        append_reached(counted, _table("reached") if number % MERGE_EVERY == 0 else reached[-1])
+        return counts.get["n"]
+
+    def merge() -> None:
+        """One table, of one file per bucket, in place of those of the rounds so far."""
+        old = list(reached)
+        append_reached(read_files(), _table("reached"))
+        for t in old:
+            reached.remove(t)
+            drop(t)
 
     number = 0
     try:
-        links, long_pages = _bucketed_edges(followed, folder, tables)
-        front = finish_round(seeds.select("url").distinct(), number)
-        while (max_rounds is None or number < max_rounds) and not front.isEmpty():
+        links, long_pages = _bucketed_edges(followed, folder, link_tables)
+        more = finish_round(seeds.select("url").distinct(), number)
+        while (max_rounds is None or number < max_rounds) and more:
+            last = spark.table(reached[-1]).filter((F.col("round") == number) & F.col("allowed"))
+            front = last.select(F.col("url").alias("src"))
             found = links.join(_runs(front, long_pages), ["src", "run"]).select(F.col("dst").alias("url")).distinct()
+            for t in reached:
+                found = found.join(spark.table(t).select("url"), "url", "left_anti")
             number += 1
-            front = finish_round(found.join(spark.table(reached_table).select("url"), "url", "left_anti"), number)
-            if number >= REWRITE_FROM and number & (number - 1) == 0:
-                past = spark.table(reached_table).filter(F.col("round") < number).select(F.col("url").alias("src"))
-                ahead = links.join(_runs(past, long_pages), ["src", "run"], "left_anti")
-                links = _write_bucketed(ahead, folder, tables)
+            more = finish_round(found, number)
+            if more and number >= REWRITE_FROM and number & (number - 1) == 0:
+                for t in reached:
+                    past = spark.table(t).filter(F.col("round") < number).select(F.col("url").alias("src"))
+                    links = links.join(_runs(past, long_pages), ["src", "run"], "left_anti")
+                links = _write_bucketed(links, folder, link_tables)
+                drop(link_tables.pop(0))
+            if more and number % MERGE_EVERY == MERGE_EVERY - 1:
+                merge()
+        for table in reached:
+            drop(table, files=False)
+        return read_files().select("url", "round", "allowed")
+    except BaseException:
+        for table in reached:
+            drop(table)
+        raise
     finally:
-        for table in tables:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files stay
-    return spark.read.schema(REACHED).parquet(f"{folder}/reached").select("url", "round", "allowed")
+        for table in link_tables:
+            drop(table)
+
+
+def _table(kind: str) -> str:
+    return f"webframe_{kind}_{uuid.uuid4().hex}"

@@ -17,6 +17,7 @@ from webframe.operators.robots import (
 )
 from webframe.operators.slots import polite_slots
 from webframe.operators.stats import pages_per_second
+from webframe.session import remove_folder
 from webframe.settings import ROBOT_NAME, TRAFFIC_BUCKET_SECONDS
 from webframe.sources.docs import append_first_wins, write_docs
 
@@ -41,11 +42,6 @@ def _given(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def stream_new_links(
     links: DataFrame, seen_path: str | None, out_path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
@@ -140,7 +136,7 @@ def stream_polite_slots(
         slots, new_state = polite_slots(batch, delay, tie=tie, state=state)
         slots.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         new_state.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        _remove(spark, f"{state_path}/batch={number - 2}")
+        remove_folder(spark, f"{state_path}/batch={number - 2}")
 
     return _start(requests.writeStream.foreachBatch(write), checkpoint, available_now)
 
