@@ -9,8 +9,8 @@ The posterior label of a pattern then trains a linear scorer on hashed byte trig
 mean weight of its trigrams. The scorer is fitted on a bounded sample (`sample` texts, the smallest by a
 hash of id and text); all texts are counted, voted on and scored.
 
-A text is kept when the scorer and the posterior together (`blend` is the posterior's share) give at least
-`threshold`. Null texts count as empty; an empty text gets the score of its votes. Rows are judged one by
+A text is kept when the scorer and the posterior together (`blend` is the posterior's share in a long text, and
+more in one of few trigrams) give at least `threshold`. Null texts count as empty; an empty text gets the score of its votes. Rows are judged one by
 one, so repeated rows get equal results. Only the id and text are read."""
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from webframe.llm.shared import blocks_of, stored
 
 DIMENSIONS = 1 << 12
+SHORT = 200
 LABELLERS = ("length", "symbols", "marked", "variety", "echo", "lines", "capitals", "shouting", "sentences", "separators")
 #: What is assumed of every labeller: so rarely it calls a good text bad, with the weight of so many texts per text.
 FALSE_ALARM, TRUST = 0.003, 2.0
@@ -51,7 +52,7 @@ def votes(text: bytes) -> str:
         return "b" if bad else "g" if good else "-"
 
     return "".join((
-        vote(n < 3),
+        vote(n == 0),
         vote(len(SYMBOLS.findall(text)) / letters > 0.05),
         vote(marked > 0.2, n >= 20 and marked < 0.03),
         vote(n >= 20 and kinds < 0.3, n >= 20 and kinds > 0.5),
@@ -152,7 +153,9 @@ def classified(
             at = [trigrams(t) for t in raw]
             mean = np.array([w[a].mean() if len(a) else 0.0 for a in at])
             line = 1 / (1 + np.exp(-np.clip(mean + b, -30, 30)))
-            score = np.where([len(a) > 0 for a in at], blend * post + (1 - blend) * line, post)
+            size = np.array([len(a) for a in at])
+            share = (1 - blend) * size / (size + SHORT)
+            score = (1 - share) * post + share * line
             columns = [part.column("doc_id"), pa.array(marks, pa.string()), pa.array(post), pa.array(score), pa.array(score >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "votes", "posterior", "score", "kept"])
 
