@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from webframe import schemas
 from webframe.operators import control, log, stats
+from webframe.session import written
 from webframe.sources.docs import append_first_wins, read_docs, replay_responses, to_docs, upsert_latest, write_docs
 
 NOW = datetime(2024, 1, 1, 12, 0, 30)
@@ -148,10 +149,28 @@ def test_keyed_tables_are_joined_without_moving_them(frame, spark, tmp_path):
         for df, shuffles in (
             (frontier_add(queue, seen, new), 1),
             (mark_done(queue, seen, batch)[0], 1),
-            (replay_responses(batch, archive), 1),
+            (replay_responses(batch, archive), 2),  # the batch, and its urls
         ):
             assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
         assert frontier_add(queue, seen, new).count() == 42
         assert replay_responses(batch, archive).collect()[0].body == "b"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bodies_are_moved_only_after_urls_are_matched(frame, spark, tmp_path):
+    """An archive and a store of their own files: they are cut down by a broadcast of urls before any exchange."""
+    docs = frame([version(f"http://h/{i}", i) for i in range(90)], DOC)
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.schema(docs.schema).parquet(str(tmp_path / "docs"))
+    batch = written(frame([("http://h/3", 1)], "url string, rn int"), "batch")
+    new = written(frame([version("http://h/3", 100, "later"), version("http://h/x", 1)], DOC), "new")
+    for df in (replay_responses(batch, stored), upsert_latest(stored, new)):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(plan):
+            if "FileScan parquet" in line and "body" in line and "test_bodies" in line:  # the archive or the store
+                below = [x for x in plan[:i] if len(x) - len(x.lstrip(" :|+-")) < len(line) - len(line.lstrip(" :|+-"))]
+                above = [x for x in below if "Exchange hashpartitioning" in x or "BroadcastHashJoin" in x]
+                assert "BroadcastHashJoin" in above[-1], "\n".join(plan)
+    latest = {r.url: r.body for r in upsert_latest(stored, new).collect()}
+    assert len(latest) == 91 and latest["http://h/3"] == "later"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webframe import schemas
-from webframe.session import checkpointed
+from webframe.session import written
 
 log = logging.getLogger(__name__)
 
@@ -75,10 +75,10 @@ def run_pipeline(
     A step that raises while it is planned is logged and left out. Rows on which a step's own code fails are
     marked `failed` by it (see row_step) and go on unchanged; one bad row never takes the step from others.
     Rows that are stopped leave the flow at once, so later steps never see them; the stopped rows and the
-    others are two readers of the steps up to there, and `keep_gates` checkpoints at such steps so that the
-    work is done once. Steps fuse into Spark stages; to measure each one, `timed` checkpoints after every
-    step, where its rows are counted as they pass, and returns METRIC_EVENTS rows
-    (pipeline:<step>:calls and :time) as well."""
+    others are two readers of the steps up to there, and `keep_gates` writes the rows to the shared folder at
+    such steps, so that the work is done once and later steps know how few rows are left. Steps fuse into
+    Spark stages; to measure each one, `timed` writes after every step, where its rows are counted as they
+    pass, and returns METRIC_EVENTS rows (pipeline:<step>:calls and :time) as well."""
     spark = df.sparkSession
     active = df.withColumn("stopped_by", F.lit(None).cast("string"))
     finished: list[DataFrame] = []
@@ -97,11 +97,11 @@ def run_pipeline(
             out = out.drop("_before")
             if timed:
                 rows = Observation()
-                out = checkpointed(out.observe(rows, F.count(F.lit(1)).alias("calls")))
+                out = written(out.observe(rows, F.count(F.lit(1)).alias("calls")), "step")
                 events.append((f"pipeline:{step.name}:time", time.time() - began))
                 events.append((f"pipeline:{step.name}:calls", float(rows.get["calls"])))
             elif keep_gates and "stop" in out.columns:
-                out = checkpointed(out)
+                out = written(out, "step")
         except Exception:
             log.exception("step %s failed", step.name)
             continue

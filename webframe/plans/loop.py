@@ -33,7 +33,7 @@ from webframe.operators.slots import polite_slots
 from webframe.operators.stats import response_time_by_host, step_metrics, traffic_stats
 from webframe.operators.urls import robots_urls
 from webframe.plans.crawl import MakeSteps, default_steps, fetched, found_links, result_log, timed_batch
-from webframe.session import checkpointed
+from webframe.session import checkpointed, written
 from webframe.settings import TRAFFIC_MINUTES, CrawlSettings
 from webframe.sources.docs import append_first_wins, latest_versions, replay_responses, to_docs, write_docs
 from webframe.sources.seeds import ingest_seeds
@@ -136,7 +136,7 @@ class Crawl:
     def run_round(self, archive: DataFrame) -> bool:
         """Process one batch of every host; False when nothing was queued."""
         number, settings = self.next_round(), self.settings
-        batch = checkpointed(next_batch(self.queued(), settings.host_batch))
+        batch = written(next_batch(self.queued(), settings.host_batch), "batch")
         if batch.isEmpty():
             return False
         self._plan(batch, number)

@@ -88,7 +88,8 @@ def need_fetch(frontier: DataFrame, docs: DataFrame, enabled: bool = False) -> D
 def replay_responses(batch: DataFrame, archive: DataFrame) -> DataFrame:
     """Attach the newest archived response to each planned url; without one the response is null.
 
-    The archive is first cut down to the batch's urls. A batch is small beside it, so Spark broadcasts
-    those urls by their size, and the archive is read in place; only its matches are sorted and moved."""
+    The archive is first cut down to the batch's urls. A batch is small beside it: where Spark knows its size (it
+    was read from files, as `session.written` gives it) and finds it small, it broadcasts those urls, and
+    the archive is read in place; only its matches are sorted and moved."""
     wanted = archive.join(batch.select("url").distinct(), "url", "left_semi")
     return batch.join(_one_version(wanted, newest=True), "url", "left")
