@@ -118,7 +118,8 @@ class Crawl:
         return latest_versions(rows) if self.settings.store == "latest" else rows
 
     def _store(self, pages: DataFrame) -> None:
-        new = pages if self.settings.store == "latest" else append_first_wins(self.docs(), pages)
+        urls = written(pages.select("url").distinct(), "urls")
+        new = pages if self.settings.store == "latest" else append_first_wins(self.docs(), pages, urls)
         write_docs(new, f"{self.folder}/docs")
 
     def _plan(self, batch: DataFrame, number: int) -> None:
@@ -151,10 +152,13 @@ class Crawl:
         self._write(hosts.unionByName(events), "metrics", number)
         self._write(fetched(results), "traffic", number)
         self._write(result_log(results), "log", number)
-        # a url that was ever added is queued or was processed, so no other table need be asked
-        found = found_links(results, self.table("domains", schemas.DOMAINS), self.settings)
+        # a url that was ever added is queued or was processed, so no other table need be asked; the urls found
+        # are few beside it, so it is cut down to those found again and none of it is moved
+        links = found_links(results, self.table("domains", schemas.DOMAINS), settings).select("url").distinct()
+        found = written(links.withColumn("force", F.lit(False)), "found")
+        again = self.added().select("url").join(found.select("url"), "url", "left_semi")
         none = self.spark.createDataFrame([], schemas.FRONTIER)
-        self._write(frontier_add(none, self.added().select("url"), found), "found", number + 1)
+        self._write(frontier_add(none, again, found), "found", number + 1)
         # last, as it closes the round
         self._write(batch.select("url"), "seen", number)
         return True

@@ -59,11 +59,15 @@ def latest_versions(docs: DataFrame) -> DataFrame:
     return _one_version(docs, newest=True)
 
 
-def append_first_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
+def append_first_wins(existing: DataFrame, new: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     """The rows of `new` to append: first version of each url that is not stored yet.
 
-    Stored urls go first, so only pages that may be appended are sorted; of the store only urls are read."""
-    return _one_version(new.join(existing.select("url"), "url", "left_anti"), newest=False)
+    Of the store only the urls are read, and only those that come again (`urls`, by default those of `new`)
+    are joined with the new pages. Where Spark knows that `urls` is small, as for a table that
+    `session.written` gives, it broadcasts them, and no stored url is moved."""
+    came = (new if urls is None else urls).select("url").distinct()
+    again = existing.select("url").join(came, "url", "left_semi")
+    return _one_version(new.join(again, "url", "left_anti"), newest=False)
 
 
 def upsert_latest(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from webframe.operators.robots import (
 )
 from webframe.operators.slots import polite_slots
 from webframe.operators.stats import pages_per_second
-from webframe.session import remove_folder
+from webframe.session import remove_folder, written
 from webframe.settings import ROBOT_NAME, TRAFFIC_BUCKET_SECONDS
 from webframe.sources.docs import append_first_wins, write_docs
 
@@ -142,11 +142,14 @@ def stream_polite_slots(
 
 
 def stream_store(docs: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append pages whose url is not stored yet. A batch that is run again finds its urls stored."""
+    """Append pages whose url is not stored yet. A batch that is run again finds its urls stored.
+
+    The batch's urls are written first, so that a small batch is broadcast to the stored urls."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         stored = _written(spark, path, schemas.DOCS + ", domain_bucket int")
-        write_docs(append_first_wins(stored, batch), path)
+        urls = written(batch.select("url").distinct(), "urls")
+        write_docs(append_first_wins(stored, batch, urls), path)
 
     return _start(docs.writeStream.foreachBatch(write), checkpoint, available_now)
