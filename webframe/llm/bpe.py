@@ -32,7 +32,7 @@ from webframe.llm.shared import blocks_of, worker_state
 LEAF = 32
 LOOK = 3
 CHUNK = 1 << 15
-CACHED = 500_000
+CACHED = 200_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -204,9 +204,6 @@ class Bpe:
                 self.known[word] = ids.astype("<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
-
 
 def _halved(n: int) -> list[tuple[int, int]]:
     """Leaves of a tree over n bytes: halves of halves, down to LEAF bytes."""
@@ -216,6 +213,19 @@ def _halved(n: int) -> list[tuple[int, int]]:
     return spans
 
 
+def decoded(ids: bytes | None, table: list[bytes]) -> bytes:
+    """The bytes of ids, by a table of the tokens' bytes."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """The tokens' bytes by id; ids that stand for nothing give no bytes."""
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 def _worker(spec: bytes, pattern: str) -> Bpe:
     state = worker_state()
     key = (len(spec), zlib.crc32(spec), pattern)
@@ -243,14 +253,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """A table of `encode` with `decoded`, the bytes of its ids."""
     spec = _broadcast(encoded, ranks)
 
     def run(batches):
-        bpe = _worker(spec.value, pattern)
-        for part in blocks_of(batches, "ids", 8 << 20):
-            raw = pa.array([bpe.decode(x) for x in part.column("ids").to_pylist()], pa.binary())
+        table = token_table(read_ranks(spec.value))
+        for part in blocks_of(batches, "ids", 4 << 20):
+            raw = pa.array([decoded(x, table) for x in part.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), raw], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -68,7 +68,7 @@ def tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
