@@ -25,7 +25,7 @@ def archived(spark, pages, **options):
 @pytest.fixture(scope="module")
 def pages(spark):
     rng = random.Random(1)
-    rows = [(i, f"http://h/{i}", f"<p>{'é' * rng.randint(0, 900)}</p>") for i in range(40)]
+    rows = [(i, f"http://h/{i}", f"<p>{i}{'é' * rng.randint(0, 900)}</p>") for i in range(40)]
     rows += [(100 + i, "http://h/same", "<p>" + "same " * 300) for i in range(9)]
     rows += [(200 + i, "http://h/short", "<p>short") for i in range(3)]
     rows += [(300, None, None), (301, "", ""), (302, "http://h/a\r\nb", "x" * 200_000 + "\r\n\r\nWARC/1.1\r\n\r\n")]

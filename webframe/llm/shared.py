@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webframe.session import new_folder, shuffle_partitions
 
-__all__ = ["blocks_of", "joined_spans", "let", "new_folder", "shuffle_partitions", "spent_shuffles", "stored", "worker_state"]
+__all__ = ["blocks_of", "let", "new_folder", "shuffle_partitions", "spent_shuffles", "stored", "worker_state"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -61,8 +61,3 @@ def blocks_of(batches, text: str, limit: int):
         step = max(1, int(limit / max(1.0, sizes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-
-
-def joined_spans(spans: list[tuple[str, int, int]], order: dict[str, int]) -> str:
-    """kind:start:end by start, then kind in `order`, then end; comma-joined."""
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order[s[0]], s[2])))
