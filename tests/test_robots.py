@@ -108,7 +108,7 @@ def test_many_wildcards_on_a_long_path_take_no_time(spark):
     began = time.time()
     rule, target = "/" + "*a" * 20 + "*b", "/" + "a" * 2000
     assert decided(spark, [rule, rule[:-1] + "a"], [target]) == {(rule, target): False, (rule[:-1] + "a", target): True}
-    assert time.time() - began < 5
+    assert time.time() - began < 30  # backtracking would take hours
 
 
 def test_full_target(frame):
