@@ -23,13 +23,16 @@ from webframe.llm.shared import blocks_of, shuffle_partitions, stored, worker_st
 
 CAPACITY = 4096
 END = 2
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
+END_OF_WORD = "</w>"
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer whose tokens never reach over a space or line end.
+    """Ids of texts by a tokenizer of words: its tokens never reach over a space or line end, it takes no notice of
+    ASCII capitals, and the last token of a run of letters has the mark END_OF_WORD.
 
-    Words (runs between spaces and line ends) are encoded once and kept, up to CACHED_WORDS of them."""
+    Words (runs between spaces and line ends) are encoded once and kept, up to CACHED_WORDS of them. New runs of
+    letters are encoded many in one text, and told apart by the mark."""
 
     def __init__(self, spec: bytes):
         import os
@@ -39,22 +42,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith(END_OF_WORD)
         self.known: dict[str, bytes] = {"": b""}
+        self.tails = dict(zip(".,", self._ids([".", ","])))
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The ids of runs of letters."""
+        lines = [" ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(words):  # a letter that the tokenizer takes apart
+            return self._ids(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+    def _learn(self, words: set[str]) -> None:
+        bases = {w[:-1] if w[-1] in self.tails else w for w in words}
+        letters = [b for b in bases if b.isalpha() and b not in self.known]
+        self.known.update(zip(letters, self._letters(letters)))
+        rest = []
+        for w in words:
+            if w[-1] in self.tails and w[:-1].isalpha():
+                self.known[w] = self.known[w[:-1]] + self.tails[w[-1]]
+            elif w not in self.known:
+                rest.append(w)
+        self.known.update(zip(rest, self._ids(rest)))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids, little-endian unsigned 32-bit."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
+        split = [t.encode().lower().decode().replace("\n", " ").split(" ") if t else [] for t in texts]
+        words = set().union(*split)
+        new = words - self.known.keys()
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {"": b""}
-            new = list(set().union(*split) - {""})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, self._ids(part)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            new = words - {""}
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, w)) for w in split]
 
 
 def _encoder(spec: bytes) -> WordEncoder:
