@@ -9,14 +9,15 @@ exactly if their first `length` bytes are equal.
    hold equal sample strings of 30 bytes at the same place. Samples get ranks (names, equal for equal
    strings), and those whose rank is found once only are settled: most suffixes are never sorted.
 2. The other suffixes are dealt into buckets by their key, and the buckets are sorted one at a time, in
-   `passes` rounds over the table; memory holds one bucket, the disk one round. A tie on the 64-bit key is
+   `passes` rounds over the table; a task's memory holds one bucket, the disk one round. A tie on the 64-bit key is
    broken by a further name of 64 bits, of which 32 are kept.
 3. A run of ties starts in the document with the smallest id; all others of the run are removed.
 
 A bucket gets each block's distinct keys only, with the smallest id, so a string that fills a third of
 all texts is a few bytes per block. It answers with one bit per key, in the order in which it got them,
 and the block works out again which positions they stand for. Blocks are kept in a bucketed table, so
-texts are shuffled once, for grouping equal ones; a copy of a whole text is removed without sorting.
+texts are shuffled once, for grouping equal ones; a copy of a whole text is removed without sorting. There are
+as many buckets as shuffle partitions, and blocks times buckets rows: let `block` grow with the cluster too.
 
 Null texts count as empty. Null ids come after all others; rows that repeat an id never remove each
 other. Texts shorter than `length` are kept whole. Only the id and the text are read."""
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.llm.exact_dedup import content_key
-from webframe.llm.shared import shuffle_partitions, spent_shuffles, stored
+from webframe.llm.shared import shuffle_partitions, spent_shuffles, stored, worker_state
 
 #: A perfect difference set: its differences are all residues modulo 21, once each.
 MODULUS = 21
@@ -52,34 +53,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Polynomial hashes of all strings of some lengths in a buffer, by doubling."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.letters = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.factor = int(rng.integers(2**62, 2**63)) | 1
-
-    def __call__(self, data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-        """For each length, the hashes of the strings at 0 .. len(data) - length."""
-        powers, n = {1: self.letters[data]}, 1
-        while 2 * n <= max(lengths):
-            h = powers[n]
-            powers[2 * n] = h[: len(h) - n] * np.uint64(pow(self.factor, n, 2**64)) + h[n:]
-            n *= 2
-        out = []
-        for length in lengths:
-            total, at = None, 0
-            for n in sorted(powers, reverse=True):
-                if length & n:
-                    h = powers[n][at:]
-                    total = h if total is None else total[: len(h)] * np.uint64(pow(self.factor, n, 2**64)) + h
-                    at += n
-            out.append(_mixed(total[: max(0, len(data) - length + 1)]))
-        return out
+    """Polynomial hashes of strings in a buffer, from sums over its prefixes. Powers are kept by the worker."""
+
+    def __init__(self, seed: int, data: np.ndarray):
+        state = worker_state()
+        kept = getattr(state, "suffix_powers", {})
+        if seed not in kept or len(kept[seed][1]) < len(data):
+            rng = np.random.default_rng(seed)
+            letters = rng.integers(0, 2**64 - 1, 256, np.uint64)
+            factor = int(rng.integers(2**62, 2**63)) | 1
+            kept[seed] = letters, _powers(factor, len(data)), _powers(pow(factor, -1, 2**64), len(data))
+            state.suffix_powers = kept
+        letters, powers, self.back = kept[seed]
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(letters[data] * powers[: len(data)], out=self.sums[1:])
+
+    def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The hashes of the strings of `length` bytes at these places."""
+        return _mixed((self.sums[at + length] - self.sums[at]) * self.back[at])
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
 
 
 class Block:
-    """Texts laid out one after the other."""
+    """Texts of `length` bytes or more, laid out one after the other."""
 
     def __init__(self, row: dict, length: int):
         self.data = np.frombuffer(row["data"], np.uint8)
@@ -89,29 +90,31 @@ class Block:
         self.starts = self.ends - self.sizes
         self.length = length
         self.sample = length - MODULUS + 1
+        self.hashes = Hashes(1, self.data)
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the cover sample, and their names."""
-        (names,) = Hashes(1)(self.data, (self.sample,))
-        inside = np.arange(len(self.data)) - np.repeat(self.starts, self.sizes)
-        left = np.repeat(self.ends, self.sizes) - np.arange(len(self.data))
-        at = np.flatnonzero(np.isin(np.arange(MODULUS), COVER)[inside % MODULUS] & (left >= self.sample))
-        return at, names[at] >> np.uint64(64 - NAME_BITS)
+        cover = np.isin(np.arange(MODULUS), COVER)
+        pattern = np.tile(cover, int(self.sizes.max()) // MODULUS + 1)
+        chosen = np.concatenate([pattern[:n] for n in self.sizes.tolist()])
+        for end in self.ends.tolist():
+            chosen[end - self.sample + 1 : end] = False
+        at = np.flatnonzero(chosen)
+        return at, self.hashes(at, self.sample) >> np.uint64(64 - NAME_BITS)
 
     def suffixes(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For suffixes with a live sample within reach: position, document (by place in the block), key, second name."""
-        reach = np.zeros(len(self.data) + 1, np.int32)
-        reach[live + 1] = 1
-        count = np.cumsum(reach)
-        stop = np.minimum(np.arange(len(self.data)) + MODULUS, len(self.data))
-        left = np.repeat(self.ends, self.sizes) - np.arange(len(self.data))
-        at = np.flatnonzero((count[stop] > count[:-1]) & (left >= self.length))
-        if not len(at):
-            none = np.zeros(0, np.uint64)
-            return at, at, none, none.astype(np.uint32)
-        (keys,), (checks,) = Hashes(2)(self.data, (self.length,)), Hashes(3)(self.data, (self.length,))
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[at]
-        return at, doc, keys[at], (checks[at] >> np.uint64(32)).astype(np.uint32)
+        edge = np.zeros(len(self.data) + 1, np.int32)
+        edge[np.maximum(live - MODULUS + 1, 0)] += 1  # live positions differ, so do the starts but those cut off at 0
+        edge[0] = np.count_nonzero(live < MODULUS)
+        edge[live + 1] -= 1
+        near = np.cumsum(edge[:-1]) > 0
+        for end in self.ends.tolist():
+            near[end - self.length + 1 : end] = False
+        at = np.flatnonzero(near)
+        doc = np.searchsorted(self.ends, at, "right")
+        checks = Hashes(2, self.data)(at, self.length) >> np.uint64(32)
+        return at, doc, self.hashes(at, self.length), checks.astype(np.uint32)
 
 
 def _buckets_of(sorted_keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -121,13 +124,14 @@ def _buckets_of(sorted_keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 
 def _pack(names: np.ndarray) -> bytes:
-    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8].tobytes()
+    """Six bytes a name: the high four of all, then the low two."""
+    return (names >> np.uint64(16)).astype("<u4").tobytes() + names.astype("<u2").tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // (NAME_BITS // 8), 8), np.uint8)
-    wide[:, : NAME_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, NAME_BITS // 8)
-    return wide.view("<u8").reshape(-1).astype(np.uint64)
+    n = len(data) // 6
+    high, low = np.frombuffer(data, "<u4", n), np.frombuffer(data, "<u2", n, 4 * n)
+    return high.astype(np.uint64) << np.uint64(16) | low
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -150,22 +154,33 @@ def _distinct_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _live(block: Block, answers: list[dict], buckets: int) -> np.ndarray:
+    """Positions of samples whose name is found more than once, and a few more: names are looked up by 24 bits.
+
+    Others that come with them are sorted in vain, no more; all answers see the same positions."""
     at, names = block.samples()
     sent, first = _distinct_names(names)
     found = _flags(answers, np.diff(_buckets_of(sent, NAME_BITS, buckets)))
-    return at[np.isin(names, sent[first[found[first]]])]
+    table = np.zeros(1 << 24, bool)
+    table[sent[first[found[first]]] & np.uint64((1 << 24) - 1)] = True
+    return at[table[names & np.uint64((1 << 24) - 1)]]
 
 
 def _distinct_keys(block: Block, doc: np.ndarray, keys: np.ndarray, checks: np.ndarray):
     """Order of the suffixes by key, where each distinct key starts in it, and the smallest id of each."""
-    order = np.argsort(keys, kind="stable")
+    order, new = _runs(keys, checks)
+    first = np.flatnonzero(new)
+    low = np.minimum.reduceat(block.ids[doc[order]], first) if len(first) else np.zeros(0, np.int64)
+    return order, first, low
+
+
+def _runs(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key, ties by the second name, and where a run of ties starts in it."""
+    order = np.argsort(keys)
     k, c = keys[order], checks[order]
     if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
         order = np.lexsort((checks, keys))
         k, c = keys[order], checks[order]
-    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, int)
-    low = np.minimum.reduceat(block.ids[doc[order]], first) if len(k) else np.zeros(0, np.int64)
-    return order, first, low
+    return order, np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])][: len(k)]
 
 
 def _by_bucket(batches):
@@ -240,9 +255,9 @@ def live_samples(blocks: DataFrame, buckets: int, passes: int, length: int) -> l
                     sent, _ = _distinct_names(block.samples()[1])
                     cuts = _buckets_of(sent, NAME_BITS, buckets)
                     some = [b for b in range(turn, buckets, passes) if cuts[b] < cuts[b + 1]]
-                    for b in some:
-                        part = [pa.array([row["block"]]), pa.array([b], pa.int32()), pa.array([_pack(sent[cuts[b] : cuts[b + 1]])])]
-                        yield pa.RecordBatch.from_arrays(part, ["block", "bucket", "names"])
+                    packed = [_pack(sent[cuts[b] : cuts[b + 1]]) for b in some]
+                    part = [pa.array([row["block"]] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(part, ["block", "bucket", "names"])
 
         return run
 
@@ -250,8 +265,9 @@ def live_samples(blocks: DataFrame, buckets: int, passes: int, length: int) -> l
         for rows in _by_bucket(batches):
             parts = [_unpack(r.pop("names")) for r in rows]
             every = np.concatenate(parts)
-            order = np.argsort(every, kind="stable")
-            same = every[order[1:]] == every[order[:-1]]
+            order = np.argsort(every)
+            ordered = every[order]
+            same = ordered[1:] == ordered[:-1]
             flags = np.zeros(len(every), bool)
             flags[order] = np.r_[False, same] | np.r_[same, False]
             yield from _answers(rows, flags, [len(p) for p in parts])
@@ -275,15 +291,17 @@ def repeated_suffixes(blocks: DataFrame, buckets: int, passes: int, length: int)
                     order, first, low = _distinct_keys(block, doc, key, check)
                     k, c = key[order[first]], check[order[first]]
                     cuts = _buckets_of(k, 64, buckets)
+                    out = []
                     for b in range(turn, buckets, passes):
                         s = slice(cuts[b], cuts[b + 1])
                         if s.start < s.stop:
                             ids, place = np.unique(low[s], return_inverse=True)
-                            part = [k[s].tobytes(), c[s].tobytes(), place.astype(np.uint32 if len(ids) > 65535 else np.uint16).tobytes(), ids.tobytes()]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([row["block"]]), pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in part)],
-                                ["block", "bucket", "keys", "checks", "places", "ids"],
-                            )
+                            narrow = place.astype(np.uint32 if len(ids) > 65535 else np.uint16)
+                            out.append((row["block"], b, k[s].tobytes(), c[s].tobytes(), narrow.tobytes(), ids.tobytes()))
+                    if out:
+                        types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+                        columns = [pa.array(list(x), t) for x, t in zip(zip(*out), types)]
+                        yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "keys", "checks", "places", "ids"])
 
         return run
 
@@ -297,12 +315,7 @@ def repeated_suffixes(blocks: DataFrame, buckets: int, passes: int, length: int)
                 ids = np.frombuffer(r.pop("ids"), np.int64)
                 low.append(ids[np.frombuffer(r.pop("places"), np.uint32 if len(ids) > 65535 else np.uint16)])
             low = np.concatenate(low)
-            order = np.argsort(every, kind="stable")
-            k, c = every[order], check[order]
-            if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
-                order = np.lexsort((check, every))
-                k, c = every[order], check[order]
-            new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+            order, new = _runs(every, check)
             least = np.minimum.reduceat(low[order], np.flatnonzero(new))
             flags = np.zeros(len(every), bool)
             flags[order] = least[np.cumsum(new) - 1] < low[order]
@@ -337,8 +350,8 @@ def cleaned(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
                 group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
                 hit = at[found[group] | (low[group] < block.ids[doc])]
                 change = np.zeros(len(block.data) + 1, np.int32)
-                np.add.at(change, hit, 1)
-                np.add.at(change, hit + length, -1)
+                change[hit] += 1  # positions differ
+                change[hit + length] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 out = []
                 for k, a, b in zip(row["keys"], block.starts.tolist(), block.ends.tolist()):
@@ -354,7 +367,7 @@ def cleaned(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, block: int = 2 << 20, passes: int = 2
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, block: int = 4 << 20, passes: int = 2
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes of the text's UTF-8)."""
     assert length > MODULUS + 7
@@ -368,7 +381,7 @@ def remove_repeats(
         try:
             lay_out(texts.select("first", both.alias("key"), "text"), table, block, length)
             blocks = spark.table(table)
-            samples = live_samples(blocks.drop("keys"), buckets, passes, length)
+            samples = live_samples(blocks.drop("keys"), buckets, 1, length)
             known = blocks.join(_gathered(_union(samples), "samples"), "block", "left")
             suffixes = repeated_suffixes(known.drop("keys"), buckets, passes, length)
             ready = known.join(_gathered(_union(suffixes), "suffixes"), "block", "left")
