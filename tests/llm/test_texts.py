@@ -192,7 +192,9 @@ def test_matches_of_long_texts_are_split_alike(own, monkeypatch):
 
 
 def test_encode_and_decode_tables(docs, docs_rows, library, odd, none):
-    got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()}
+    both = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, check=True)
+    got = {r.doc_id: r for r in bpe.decode(both.select("doc_id", "ids"), RANKS).collect()}
+    assert {r.doc_id: r.decoded for r in both.collect()} == {i: r.decoded for i, r in got.items()}
     for i, t, *_ in docs_rows:
         assert np.frombuffer(got[i].ids, "<u4").tolist() == library.encode_ordinary(t or "") and got[i].decoded == (t or "").encode()
     assert bpe.encode(odd, RANKS, public_tokenizers.PATTERN).count() == 10

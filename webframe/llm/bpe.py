@@ -239,18 +239,27 @@ def _broadcast(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids. `ranks` is the path of the rank file on the driver; its content, of fixed size, is broadcast."""
+def encode(
+    docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text", check: bool = False
+) -> DataFrame:
+    """doc_id and ids, and with `check` also `decoded`, the bytes decoded from the ids.
+
+    `ranks` is the path of the rank file on the driver; its content, of fixed size, is broadcast."""
     spec = _broadcast(docs, ranks)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    names = ["doc_id", "ids", "decoded"] if check else ["doc_id", "ids"]
 
     def run(batches):
         bpe = _worker(spec.value, pattern)
-        for part in blocks_of(batches, "text", 4 << 20):
+        table = token_table(bpe.ranks) if check else []
+        for part in blocks_of(batches, "text", 2 << 20):
             ids = bpe.encode(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            columns = [part.column("doc_id"), pa.array(ids, pa.binary())]
+            if check:
+                columns.append(pa.array([decoded(x, table) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, decoded binary" if check else "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
