@@ -125,6 +125,18 @@ def test_main_text(page, want):
     assert html_paths.main_text(page) == want
 
 
+def test_body_in_divs_beside_article_cards():
+    body = [f"Paragraph {i} of the story, which is told at length; it has commas, stops and many more words than a card." for i in range(8)]
+    cards = "".join(f"<article><a href=/{i}>Other story {i}</a></article>" for i in range(4))
+    text = html_paths.main_text("<div><div class=text>" + "".join(f"<p>{t}</p>" for t in body) + f"</div><div>{cards}</div></div>")
+    assert all(t in text for t in body)
+
+
+def test_ratios_decide_beside_an_article():
+    page = f"<div><a href=a>Home</a> <a href=b>All the news</a></div><article>{ARTICLE * 3}</article><div>Top</div>"
+    assert html_paths.main_text(page) == " ".join(["First, a sentence of the article; it has some length. Second one, with a comma."] * 3)
+
+
 def test_deep_broken_and_long_pages():
     assert html_paths.main_text("<article>" + "<div>" * 20_000 + "deep") == "deep"
     assert html_paths.main_text("<article>" + "<b>" * 20_000 + "deep" + "</i>" * 20_000) == "deep"

@@ -4,8 +4,8 @@ A page is cut into blocks of text, each with its tag path: the elements from the
 ones left out. Per path the text length, the punctuation and the length of link texts are added up over the
 page. A path's ratio of text to blocks and its ratio of punctuation to blocks, both without link text, are
 smoothed over the blocks in page order and fused by a geometric mean. Paths at or above `threshold` times
-the page's mean are content. Paths inside an article or main element are content by that declaration, and
-pages that have one take nothing else. Elements that are boilerplate by their tag, role, class or id (menus,
+the page's mean are content. Being inside an article or main element is one more feature: such a path's score
+weighs DECLARED times in the mean and DECLARED ** 2 times against it. Elements that are boilerplate by their tag, role, class or id (menus,
 headers and footers outside an article, sidebars, notices, adverts, forms, reader comments, scripts,
 styles) are left out with all they hold.
 
@@ -53,6 +53,8 @@ ENDS = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
+#: The weight of the scores of paths inside an article or main element.
+DECLARED = 4
 PUNCTUATION = re.compile(r"[.,;:!?。、！？；：]")
 SPACES = re.compile(r"\s+")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -251,9 +253,6 @@ def main_text(source: str | None, threshold: float = 0.5, reach: int = 1) -> str
     if not source:
         return ""
     blocks = Page(source).blocks
-    declared = [b for b in blocks if b[3]]
-    if declared:
-        return " ".join(b[1] for b in declared)
     sums: dict[int, list[int]] = {}
     for path, text, linked, _ in blocks:
         s = sums.setdefault(path, [0, 0, 0])
@@ -269,8 +268,12 @@ def main_text(source: str | None, threshold: float = 0.5, reach: int = 1) -> str
         smooth.setdefault(b[0], []).append((own[0] * own[1]) ** 0.5)
     score = {p: sum(v) / len(v) for p, v in smooth.items()}
     whole = sum(len(b[1]) for b in blocks)
-    mean = sum(score[b[0]] * len(b[1]) for b in blocks) / max(1, whole)
-    return " ".join(b[1] for b in blocks if score[b[0]] >= threshold * mean and 2 * b[2] <= len(b[1]))
+    mean = sum(score[b[0]] * (DECLARED if b[3] else 1) * len(b[1]) for b in blocks) / max(1, whole)
+
+    def content(path: int, text: str, linked: int, inside: bool) -> bool:
+        return score[path] * (DECLARED**2 if inside else 1) >= threshold * mean and (inside or 2 * linked <= len(text))
+
+    return " ".join(b[1] for b in blocks if content(*b))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
