@@ -137,6 +137,25 @@ def test_ratios_decide_beside_an_article():
     assert html_paths.main_text(page) == " ".join(["First, a sentence of the article; it has some length. Second one, with a comma."] * 3)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main></div>",
+        "<div id='page' class='has-sidebar'>{}</div>",
+        "<article class='post no-sidebar'>{}</article>",
+        "<div class='elementor-widget elementor-widget-text'>{}</div>",
+        "<div class='widget'>{}</div>",
+        "<div class=sidebar><article>{}</article></div>",
+        "<div class=widget>{0}</div><div class=widget>{0}</div><div class=widget>{0}</div>",
+        "<article><div title='the hidden cost' data-x='display:none'>{}</div></article>",
+        "<main>{}</main><div class='site-footer'>Imprint.</div><div id=primary-sidebar-2>Recent.</div>",
+    ],
+)
+def test_names_are_hints(page):
+    text = "First, a sentence of the article; it has some length. Second one, with a comma."
+    assert html_paths.main_text(page.format(ARTICLE)) == " ".join([text] * page.count("{0}") or [text])
+
+
 def test_deep_broken_and_long_pages():
     assert html_paths.main_text("<article>" + "<div>" * 20_000 + "deep") == "deep"
     assert html_paths.main_text("<article>" + "<b>" * 20_000 + "deep" + "</i>" * 20_000) == "deep"

@@ -7,7 +7,10 @@ smoothed over the blocks in page order and fused by a geometric mean. Paths at o
 the page's mean are content. Being inside an article or main element is one more feature: such a path's score
 weighs DECLARED times in the mean and DECLARED ** 2 times against it. Elements that are boilerplate by their tag, role, class or id (menus,
 headers and footers outside an article, sidebars, notices, adverts, forms, reader comments, scripts,
-styles) are left out with all they hold.
+styles) are left out with all they hold. A class or id is a hint only: whole names count (`sidebar`, `cookie-notice`,
+`site-footer`, but not `content-sidebar-wrap` or `no-sidebar`), an element that holds an article or main element is never
+left out by one, and one that holds half of the page's unlinked text or more is kept with its paths' scores HINTED times.
+Where hinted elements together hold nearly all of that text, all are judged by their scores.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a
 space in page order. Null and empty pages give an empty text. Markup may be broken in any way: unclosed tags
@@ -43,6 +46,10 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs pagination pager footer masthead topbar share sharing social related recommended recommendations "
     "comment comments commentlist disqus reply replies respond login widget skip".split()
 )
+#: Words that say nothing by themselves beside one of NAMES.
+PLACES = frozenset("site page main primary secondary left right top bottom global box wrap wrapper container area inner block section list bar item items".split())
+#: What a page must hold outside the elements left out by name, as a share of its unlinked text; the factor of a hinted path's score.
+REMAINS, HINTED = 0.1, 0.25
 #: What an element's start ends: (closed, as far as).
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -58,9 +65,9 @@ DECLARED = 4
 PUNCTUATION = re.compile(r"[.,;:!?。、！？；：]")
 SPACES = re.compile(r"\s+")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
-HINT = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 LONG_REFERENCE = re.compile(r"&#(?:[0-9]{12,}|[xX][0-9a-fA-F]{12,});?")
 
 
@@ -78,30 +85,49 @@ def _shortened(m: re.Match) -> str:
     return f"&#{mark}{digits if len(digits) < 12 else 'ffffffff' if mark else '99999999'};"
 
 
-def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in BOILERPLATE or (tag in EDGES and not inside):
-        return True
-    if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    for name, *values in HINT.findall(attributes):
-        value = next((v for v in values if v), "")
-        if name.lower() == "role":
-            if value.lower().strip() in ROLES:
-                return True
-        elif tag not in ("html", "body") and not NAMES.isdisjoint(w.lower() for w in WORDS.findall(value)):
+def _named(value: str) -> bool:
+    """Whether one of the names in a class or id is of boilerplate, as a whole."""
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if not NAMES.isdisjoint(words) and all(w in NAMES or w in PLACES or w.isdigit() for w in words):
             return True
     return False
 
 
+def _boilerplate(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate for certain, and whether its class or id hints at it."""
+    if tag in BOILERPLATE or (tag in EDGES and not inside):
+        return True, False
+    if "=" not in attributes and "hidden" not in attributes.lower():
+        return False, False
+    hinted = False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), next((v for v in values if v), "")
+        if (
+            name == "hidden"
+            or (name == "aria-hidden" and value.lower().strip() == "true")
+            or (name == "style" and NONE_SHOWN.search(value))
+            or (name == "role" and value.lower().strip() in ROLES)
+        ):
+            return True, False
+        hinted = hinted or (name in ("class", "id") and tag not in ("html", "body") and _named(value))
+    return False, hinted
+
+
 class Page:
-    """The blocks of a page: (path, text, length of link text, inside an article)."""
+    """The blocks of a page: (path, text, length of link text, inside an article).
 
-    def __init__(self, source: str):
+    `named` has the elements with a hint, by the place of their tag: unlinked text before and in them, articles likewise.
+    Those in `out` are left out, the paths of those in `low` are kept apart in `hinted`."""
+
+    def __init__(self, source: str, out: frozenset[int] = frozenset(), low: frozenset[int] = frozenset()):
+        self.out, self.low = out, low
+        self.named: dict[int, list[int]] = {}
+        self.plain = self.containers = 0
+        self.hinted: set[int] = set()
         self.blocks: list[tuple[int, str, int, bool]] = []
-        self.paths: dict[tuple[int, str], int] = {}
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, path, left out, in an article
+        self.paths: dict[tuple[int, str, bool], int] = {}
+        self.stack: list[tuple[str, int, bool, bool, int]] = []  # tag, path, left out, in an article, place if named
         self.count: dict[str, int] = {}
         self.text: list[str] = []
         self.linked = 0
@@ -112,13 +138,16 @@ class Page:
             text = SPACES.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text:
-                _, path, _, inside = self.stack[-1] if self.stack else ("", 0, False, False)
+                _, path, _, inside, _ = self.stack[-1] if self.stack else ("", 0, False, False, -1)
                 self.blocks.append((path, text, min(self.linked, len(text)), inside))
         self.linked = 0
 
     def _pop(self) -> None:
-        tag = self.stack.pop()[0]
+        tag, _, _, _, place = self.stack.pop()
         self.count[tag] -= 1
+        if place >= 0:
+            plain, containers = self.named[place]
+            self.named[place] = [self.plain - plain, self.containers - containers]
 
     def _close(self, closed: set[str], until: set[str]) -> None:
         """Close the innermost element of `closed`, unless one of `until` comes first."""
@@ -133,7 +162,7 @@ class Page:
             if tag in until or (tag not in INLINE and tag not in ("p", "tr", "td", "th", "li", "dd", "dt", "option", "div")):
                 return
 
-    def _start(self, tag: str, attributes: str) -> None:
+    def _start(self, tag: str, attributes: str, place: int) -> None:
         if tag not in INLINE:
             self._flush_here()
             if not (self.stack and self.stack[-1][2]):
@@ -141,12 +170,21 @@ class Page:
                     self._close(*ENDS[tag])
                 elif self.count.get("p"):
                     self._close_p()
-        _, path, out, inside = self.stack[-1] if self.stack else ("", 0, False, False)
+        _, path, out, inside, _ = self.stack[-1] if self.stack else ("", 0, False, False, -1)
         if tag in VOID:
             return
-        if tag not in INLINE:
-            path = self.paths.setdefault((path, tag), len(self.paths) + 1)
-        self.stack.append((tag, path, out or _boilerplate(tag, attributes, inside), inside or tag in CONTAINERS))
+        certain, hint = (False, False) if out else _boilerplate(tag, attributes, inside)
+        out, low = out or certain or place in self.out, place in self.low
+        if tag not in INLINE or low:
+            low = low or path in self.hinted
+            path = self.paths.setdefault((path, tag, low), len(self.paths) + 1)
+            if low:
+                self.hinted.add(path)
+        if tag in CONTAINERS and not out:
+            self.containers += 1
+        if hint:
+            self.named[place] = [self.plain, self.containers - (tag in CONTAINERS)]
+        self.stack.append((tag, path, out, inside or tag in CONTAINERS, place if hint else -1))
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def _close_p(self) -> None:
@@ -190,6 +228,8 @@ class Page:
                 self.text.append(text)
                 if self.count.get("a"):
                     self.linked += len(text)
+                else:
+                    self.plain += len(text.strip())
             if lt == n:
                 break
             nxt = source[lt + 1 : lt + 2]
@@ -235,7 +275,7 @@ class Page:
             if tag == "br":
                 self._flush_here()
                 continue
-            self._start(tag, attributes)
+            self._start(tag, attributes, lt)
             if tag in RAW and not attributes.endswith("/"):
                 if lower is None:
                     lower = source.lower() if len(source.lower()) == n else source
@@ -246,13 +286,30 @@ class Page:
                 else:
                     at = end
         self._flush_here()
+        while self.stack:
+            self._pop()
+
+
+def page_of(source: str) -> Page:
+    """The page without the elements that are left out by their names; read again only where there are such."""
+    page = Page(source)
+    free = {at: plain for at, (plain, containers) in page.named.items() if not containers}
+    out = frozenset(at for at, plain in free.items() if 2 * plain < max(1, page.plain))
+    low = frozenset(free) - out
+    if not free:
+        return page
+    found = Page(source, out, low)
+    if found.plain < REMAINS * page.plain:
+        found = Page(source, frozenset(), frozenset(free))
+    return found
 
 
 def main_text(source: str | None, threshold: float = 0.5, reach: int = 1) -> str:
     """The main text of one page."""
     if not source:
         return ""
-    blocks = Page(source).blocks
+    page = page_of(source)
+    blocks = page.blocks
     sums: dict[int, list[int]] = {}
     for path, text, linked, _ in blocks:
         s = sums.setdefault(path, [0, 0, 0])
@@ -266,7 +323,7 @@ def main_text(source: str | None, threshold: float = 0.5, reach: int = 1) -> str
         near = order[max(0, i - reach) : i + reach + 1]
         own = [(a + sum(x[j] for x in near) / len(near)) / 2 for j, a in enumerate(order[i])]
         smooth.setdefault(b[0], []).append((own[0] * own[1]) ** 0.5)
-    score = {p: sum(v) / len(v) for p, v in smooth.items()}
+    score = {p: sum(v) / len(v) * (HINTED if p in page.hinted else 1) for p, v in smooth.items()}
     whole = sum(len(b[1]) for b in blocks)
     mean = sum(score[b[0]] * (DECLARED if b[3] else 1) * len(b[1]) for b in blocks) / max(1, whole)
 
