@@ -242,6 +242,16 @@ def test_word_encoder_equals_the_library(spark):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_encoder_equals_the_library_before_stops():
+    rng, tokenizer = random.Random(8), Tokenizer.from_file(WORDS)
+    parts = ["TAR\u0130H\u0130", "\u0130", "\u092a\u095d", "\u095d", "\ufb2a", "a", "\u00e9", "e\u0301", "\u03a3\u0391\u03a3", ".", ",", ".", ",", " "]
+    texts = ["TAR\u0130H\u0130.", "\u0130,", "\u092a\u095d.", "\ufb2a,", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(1500))]
+    with open(WORDS, "rb") as f:
+        own = packing.WordEncoder(f.read())
+    for t, got in zip(texts, own(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing_of_odd_rows(odd, none):
     rows = packing.packed(packing.pieces(odd, WORDS)).collect()
     assert Counter(r.doc_id for r in rows) == {None: 2, 1: 2, 2: 1, 3: 2, 4: 1, -5: 1, 9: 1}

@@ -12,6 +12,7 @@ are spread like any others. Null and empty texts are packed as their end id alon
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -27,6 +28,12 @@ CACHED_WORDS = 800_000
 END_OF_WORD = "</w>"
 
 
+def stays_letters(word: str) -> bool:
+    """Whether a word is letters, and still is once the tokenizer has composed and lowered it: a letter that turns into
+    a letter and a mark (U+0130, U+095D) makes one token with a full stop after it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer of words: its tokens never reach over a space or line end, it takes no notice of
     ASCII capitals, and the last token of a run of letters has the mark END_OF_WORD.
@@ -65,11 +72,12 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         bases = {w[:-1] if w[-1] in self.tails else w for w in words}
-        letters = [b for b in bases if b.isalpha() and b not in self.known]
+        plain = {b for b in bases if stays_letters(b)}
+        letters = [b for b in plain if b not in self.known]
         self.known.update(zip(letters, self._letters(letters)))
         rest = []
         for w in words:
-            if w[-1] in self.tails and w[:-1].isalpha():
+            if w[-1] in self.tails and w[:-1] in plain:
                 self.known[w] = self.known[w[:-1]] + self.tails[w[-1]]
             elif w not in self.known:
                 rest.append(w)
