@@ -63,8 +63,26 @@ quality AS (SELECT j.*, NOT base_failed AND symbol_rate <= symbols AND line_rate
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM quality
 """
 
+_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest({terms}) AS term FROM documents),
+tf AS (SELECT r, doc_id, term, count(*) AS tf, CAST(sum(count(*)) OVER (PARTITION BY r) AS BIGINT) AS n FROM d GROUP BY r, doc_id, term),
+whole AS (SELECT count(DISTINCT r) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms FROM tf),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, n_docs),
+q AS (SELECT item, item_id, term, count(*) AS times FROM
+  (SELECT row_number() OVER () AS item, item_id, unnest({terms}) AS term FROM benchmark) GROUP BY item, item_id, term),
+s AS (SELECT item, item_id, r, doc_id, CAST(sum(times * w *
+    ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), whole GROUP BY item, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+""".replace(
+    "{terms}",
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')",
+)
+
 ORACLE = {
     "op1_warc": _WARC,
     "op8_quality_rules": _QUALITY.replace("{slack}", ", ".join(f"('{k}', {v})" for k, v in SLACK.items())),
     "op9_exact_dedup": _EXACT,
+    "op11_ranked_search": _SEARCH,
 }

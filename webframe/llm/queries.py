@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.llm import bpe, exact_dedup, html_paths, packing, pii, quality_rules, simhash, suffix_dedup, warc, weak_quality
+from webframe.llm import (
+    bpe, class_lm, exact_dedup, html_paths, packing, pii, quality_rules, ranked_search, simhash, suffix_dedup, warc, weak_quality, whitening,
+)
 from webframe.llm.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +94,18 @@ def first_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(packing.pieces(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.ranked(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def class_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return class_lm.scored(_table(spark, sf, "documents"))
+
+
+def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": warc_archives,
     "op2_suffix_array_dedup": suffix_array_dedup,
@@ -103,4 +117,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": adaptive_quality_rules,
     "op9_exact_dedup": exact_dedup_groups,
     "op10_packing": first_fit_packing,
+    "op11_ranked_search": lexical_search,
+    "op12_class_lm": class_lm_scores,
+    "op13_whitening": embedding_whitening,
 }
