@@ -1,0 +1,132 @@
+"""Tables of numbered runs: what a batch reads, how many files there are, and batches that run again."""
+
+import os
+import re
+
+import pytest
+
+from webframe import schemas
+from webframe.operators.frontier import frontier_add
+from webframe.sources.docs import append_first_wins
+from webframe.sources.keyed import KeyedTable, RunTable
+
+VALUE = "url string, v int"
+
+
+def files(folder):
+    return sum(len([f for f in names if f.endswith(".parquet")]) for _, _, names in os.walk(folder))
+
+
+def rows(table, **kw):
+    return {tuple(r) for r in table.read(**kw).collect()}
+
+
+def test_latest_row_of_a_key_counts(frame, spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), VALUE, buckets=4)
+    assert t.last() is None and rows(t) == set()
+    want = {}
+    for n in range(11):
+        new = {f"u{(n * 7 + i) % 20}": n * 10 + i for i in range(4)}
+        gone = {f"u{(n * 3 + i) % 20}" for i in range(2)} - set(new)
+        t.append(frame([*new.items()], VALUE), n, gone=frame([(u,) for u in gone], "url string"))
+        want = {u: v for u, v in want.items() if u not in gone} | new
+        assert rows(t) == set(want.items()) and t.last() == n
+    assert len(t.runs()) <= 4
+    # what was taken out is not kept once all runs are merged
+    t.append(frame([], VALUE), 16)
+    first = t.runs()[0]
+    assert first[0] == 0 and not spark.read.parquet(f"{t.path}/run={first[0]}-{first[1]}").filter("gone").count()
+
+
+def test_a_batch_runs_again_and_is_not_written_twice(frame, spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), VALUE, buckets=4)
+    for n in range(3):
+        t.append(frame([(f"u{n}", n)], VALUE), n)
+    (tmp_path / "t" / "run=2-2" / "_SUCCESS").unlink()  # broke off
+    assert t.last() == 1
+    t.append(frame([("u9", 9)], VALUE), 2)
+    assert rows(t) == {("u0", 0), ("u1", 1), ("u9", 9)}
+    t.append(frame([("u9", 10)], VALUE), 2)  # again: replaced
+    assert ("u9", 10) in rows(t)
+    t.append(frame([("u0", 77)], VALUE), 1)  # long settled: nothing happens
+    assert ("u0", 0) in rows(t)
+    assert rows(t, upto=1) == {("u0", 0), ("u1", 1)}
+
+
+def test_a_merge_that_broke_off_is_done_again(frame, spark, tmp_path):
+    t = RunTable(spark, str(tmp_path / "t"), "i int")
+    for n in range(2):
+        t.append(frame([(n,)], "i int"), n)
+    # a merge that was complete, but whose old runs had not been removed
+    t._save(t.read(), 0, 1)
+    assert t.runs() == [(0, 1)] and sorted(r.i for r in t.read().collect()) == [0, 1]
+    t.append(frame([(2,)], "i int"), 2)
+    assert sorted(r.i for r in t.read().collect()) == [0, 1, 2] and t._complete() == [(0, 1), (2, 2)]
+    # and one that was not
+    os.makedirs(tmp_path / "t" / "run=0-2")
+    assert sorted(r.i for r in t.read().collect()) == [0, 1, 2]
+
+
+def test_runs_grow_with_the_logarithm(spark, tmp_path, monkeypatch):
+    """The runs after each of 200 batches, without the writing."""
+    t = RunTable(spark, str(tmp_path / "t"), "i int")
+    kept, rewritten = set(), 0
+
+    def save(rows, first, last):
+        nonlocal rewritten
+        rewritten += last - first + 1
+        kept.add((first, last))
+
+    monkeypatch.setattr(t, "_complete", lambda: sorted(kept))
+    monkeypatch.setattr(t, "_save", save)
+    monkeypatch.setattr(t, "_load", lambda runs: None)
+    monkeypatch.setattr("webframe.sources.keyed.remove_folder", lambda spark, path: kept.remove(tuple(map(int, re.findall(r"(\d+)-(\d+)$", path)[0]))))
+    for n in range(200):
+        t.append(None, n)
+        assert len(kept) <= 9 and sorted(x for a, b in kept for x in range(a, b + 1)) == list(range(n + 1))
+    assert rewritten <= 200 * 9
+
+
+def opened(df):
+    """Files that the scans of an executed plan read, by their metrics."""
+    df.collect()
+    plan, out, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+            continue
+        if p.getClass().getSimpleName() == "FileSourceScanExec":
+            out += p.metrics().apply("numFiles").value()
+        kids = p.children()
+        todo.extend(kids.apply(i) for i in range(kids.size()))
+    return out
+
+
+def test_a_batch_opens_the_buckets_of_its_keys_only(frame, spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "seen"), schemas.SEEN, buckets=64)
+    for n in range(3):
+        t.append(spark.range(2000).selectExpr(f"concat('http://h/', id + {2000 * n}) AS url"), n)
+    assert files(t.path) == 3 * 64 or files(t.path) == 2 * 64
+    runs = len(t.runs())
+    ten = frame([(f"http://h/{i * 311}",) for i in range(8)] + [("http://x/1",), ("http://x/2",)], "url string")
+    found = t.keys(ten)
+    assert found.count() < 6000 // 4 and opened(found) <= 10 * runs
+    new = append_first_wins(t.keys(ten), ten.selectExpr("url", "current_timestamp() AS crawl_time", "200 AS code", "'b' AS body"))
+    assert {r.url for r in new.collect()} == {"http://x/1", "http://x/2"}
+    added = frontier_add(frame([], schemas.FRONTIER), t.keys(ten), ten.selectExpr("url", "false AS force"))
+    assert {r.url for r in added.collect()} == {"http://x/1", "http://x/2"}
+    plan = added._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[bucket#\d+ (IN|INSET)", plan)
+
+
+@pytest.mark.parametrize("buckets", [1, 8])
+def test_files_stay_few(frame, spark, tmp_path, buckets):
+    t = KeyedTable(spark, str(tmp_path / "t"), schemas.SEEN, buckets=buckets)
+    for n in range(12):
+        t.append(frame([(f"u{n * 5 + i}",) for i in range(5)], schemas.SEEN), n)
+    assert t.keys().count() == 60 and files(t.path) <= 4 * buckets

@@ -132,32 +132,6 @@ def test_replay(frame):
     assert [(r.url, r.rn, r.body) for r in got] == [("a", 1, "new"), ("b", 2, None)]
 
 
-def test_keyed_tables_are_joined_without_moving_them(frame, spark, tmp_path):
-    from webframe.operators.frontier import frontier_add, mark_done
-    from webframe.sources.keyed import write_keyed
-
-    seen = frame([(f"http://h/{i}",) for i in range(50)], schemas.SEEN)
-    queue = frame([(f"http://h/{i}", "h", 1, False, NOW) for i in range(50, 90)], schemas.FRONTIER)
-    archive = frame([version(f"http://h/{i}", i) for i in range(90)], DOC)
-    for name, df in (("seen", seen), ("queue", queue), ("archive", archive)):
-        write_keyed(df, f"keyed_{name}", str(tmp_path / name), 8)
-    seen, queue, archive = (spark.table(f"keyed_{n}") for n in ("seen", "queue", "archive"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        new = frame([("http://h/1", True), ("http://h/2", False), ("http://h/x", False)], "url string, force boolean")
-        batch = frame([("http://h/3", 1)], "url string, rn int")
-        for df, shuffles in (
-            (frontier_add(queue, seen, new), 1),
-            (mark_done(queue, seen, batch)[0], 1),
-            (replay_responses(batch, archive), 2),  # the batch, and its urls
-        ):
-            assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
-        assert frontier_add(queue, seen, new).count() == 42
-        assert replay_responses(batch, archive).collect()[0].body == "b"
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_bodies_are_moved_only_after_urls_are_matched(frame, spark, tmp_path):
     """An archive and a store of their own files: they are cut down by a broadcast of urls before any exchange."""
     docs = frame([version(f"http://h/{i}", i) for i in range(90)], DOC)

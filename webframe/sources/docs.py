@@ -15,19 +15,31 @@ def _bucket(domain):
     return F.pmod(F.xxhash64(domain), F.lit(DOMAIN_BUCKETS)).cast("int")
 
 
+def batch_folder(path: str, batch: int) -> str:
+    """Where a batch of a store's pages lies."""
+    return f"{path}/batch={batch}"
+
+
 def read_docs(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
-    """Stored pages; with `domain`, only its folder is read."""
-    docs = spark.read.schema(schemas.DOCS + ", domain_bucket int").parquet(path)
+    """Stored pages; with `domain`, only its folders are read."""
+    docs = spark.read.schema(schemas.DOCS + ", batch int, domain_bucket int").parquet(path)
     if domain is not None:
         docs = docs.filter((F.col("domain_bucket") == _bucket(F.lit(domain))) & (F.col("domain") == domain))
-    return docs.drop("domain_bucket")
+    return docs.drop("batch", "domain_bucket")
 
 
-def write_docs(docs: DataFrame, path: str, mode: str = "append") -> None:
+def write_docs(docs: DataFrame, path: str, mode: str = "append", batch: int = 0) -> None:
     """Write pages in folders by a hash of the domain. The rebalance keeps files few and splits
-    the folder of a very large domain over many tasks."""
+    the folder of a very large domain over many tasks. A writer that may have to write again gives its batch a number, which
+    has a folder of its own, and overwrites it."""
     rows = docs.withColumn("domain_bucket", _bucket(F.col("domain"))).hint("rebalance", "domain_bucket")
-    rows.write.mode(mode).partitionBy("domain_bucket").parquet(path)
+    rows.write.mode(mode).partitionBy("domain_bucket").parquet(batch_folder(path, batch))
+
+
+def stored_urls(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame:
+    """The urls of a store, or of one of its batches."""
+    folder = path if batch is None else batch_folder(path, batch)
+    return spark.read.schema(schemas.SEEN).parquet(folder).select("url").distinct()
 
 
 def to_docs(responses: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ from webframe.operators.robots import (
 )
 from webframe.operators.slots import polite_slots
 from webframe.operators.stats import pages_per_second
-from webframe.session import remove_folder, written
+from webframe.session import held, remove_folder
 from webframe.settings import ROBOT_NAME, TRAFFIC_BUCKET_SECONDS
-from webframe.sources.docs import append_first_wins, write_docs
+from webframe.sources.docs import append_first_wins, stored_urls, write_docs
+from webframe.sources.keyed import BUCKETS, KeyedTable
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -141,15 +142,37 @@ def stream_polite_slots(
     return _start(requests.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
-def stream_store(docs: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append pages whose url is not stored yet. A batch that is run again finds its urls stored.
+def _first_number(spark: SparkSession, checkpoint: str, next_number: int) -> int:
+    """The number that batch 0 of a checkpoint has in a table which other queries may have written to before.
 
-    The batch's urls are written first, so that a small batch is broadcast to the stored urls."""
+    Noted beside the checkpoint when the query starts for the first time."""
+    note = f"{checkpoint.rstrip('/')}-first"
+    noted = _written(spark, note, "number int").first()
+    if noted is not None:
+        return noted["number"]
+    spark.createDataFrame([(next_number,)], "number int").coalesce(1).write.mode("overwrite").parquet(note)
+    return next_number
+
+
+def stream_store(
+    docs: DataFrame, path: str, checkpoint: str, available_now: bool = False, index_path: str | None = None, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Append pages whose url is not stored yet.
+
+    An index of the store's urls (`index_path`, by default beside the store) answers that: a batch opens the buckets of its own urls and
+    no others, and reads no page. It writes its pages under its number, then its urls under the same; a batch that is run again
+    sees the index as it was before and replaces what it wrote. A store without an index is indexed once, at the start."""
+    spark = docs.sparkSession
+    index = KeyedTable(spark, index_path or f"{path.rstrip('/')}-urls", schemas.SEEN, buckets=buckets)
+    if index.last() is None:
+        index.append(_written(spark, path, schemas.SEEN).select("url").distinct(), 0)
+    first = _first_number(spark, checkpoint, index.last() + 1)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = _written(spark, path, schemas.DOCS + ", domain_bucket int")
-        urls = written(batch.select("url").distinct(), "urls")
-        write_docs(append_first_wins(stored, batch, urls), path)
+        at = first + number
+        with held(batch, "pages") as pages:
+            new = append_first_wins(index.keys(pages, upto=at - 1), pages)
+            write_docs(new, path, "overwrite", at)
+        index.append(stored_urls(spark, path, at), at)
 
     return _start(docs.writeStream.foreachBatch(write), checkpoint, available_now)
