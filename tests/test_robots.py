@@ -84,9 +84,9 @@ def test_pattern_texts(frame):
 
 def decided(spark, rules, targets):
     """Which targets each rule path matches, by the operator's own expression."""
-    listed = R._lists(spark.createDataFrame([(i, 1, False, p) for i, p in enumerate(rules)], "k int, rule_no int, allow boolean, path string"), "k")
+    listed = R._gathered(R._cut(spark.createDataFrame([(i, 1, False, p) for i, p in enumerate(rules)], "k int, rule_no int, allow boolean, path string")), "k")
     rows = listed.crossJoin(spark.createDataFrame([(t,) for t in targets], "t string"))
-    got = rows.select("k", "t", R._verdict("rules", "t").isNotNull().alias("hit")).collect()
+    got = rows.select("k", "t", R._match("rules", "t").isNotNull().alias("hit")).collect()
     return {(rules[r.k], r.t): r.hit for r in got}
 
 
@@ -188,3 +188,59 @@ def test_random_files(spark):
             groups[-1][1].append((r.allow, r.path))
     for i, text in enumerate(texts):
         assert got.get(i, []) == read_groups(text), text
+
+
+def first_match(rules, target):
+    """allow of the first rule (number, allow, path) whose pattern matches; True where none does."""
+    for _, allow, path in sorted(rules):
+        body = path[:-1] if path.endswith("$") else path
+        if re.match(".*".join(map(re.escape, body.split("*"))) + ("$" if path.endswith("$") else ""), target):
+            return allow
+    return True
+
+
+def test_indexed_rules_equal_reading_them_one_by_one(frame, monkeypatch):
+    """A site with very many rules beside one with few: verdicts by the index, equal rules counted once."""
+    monkeypatch.setattr(R, "RULES_PER_LIST", 3)
+    rng = random.Random(8)
+    heads = ["/", "/a", "/ab", "/b/", "/abc", "/é", "*"]
+    path = lambda: rng.choice(heads) + rng.choice(["", "*", "*a", "*b*c"]) + rng.choice(["", "$", "c$", "*é$"])
+    rules = {site: [(i, rng.random() < 0.5, path()) for i in range(1, n)] for site, n in (("h", 120), ("g", 3))}
+    rows = [(f"{site}{i:04}", site, i, allow, p) for site, of in rules.items() for i, allow, p in of]
+    own = R.custom_ruleset(frame(rows, schemas.CUSTOM_RULES))
+    targets = {"/" + "".join(rng.choice("abcé/\n") for _ in range(rng.randint(0, 7))) for _ in range(150)}
+    urls = [(f"http://{site}{t}", t, site) for t in targets for site in "hg"]
+    df = frame([u[:2] for u in urls], "url string, target string")
+    monkeypatch.setattr(R.U, "path", lambda c: R.F.col("target"))
+    monkeypatch.setattr(R.U, "host", lambda c: R.F.regexp_extract(c, "^http://([a-z]*)", 1))
+    lists = R.rule_lists(R.select_ruleset(R.parse_robots(frame([], schemas.ROBOTS_TXT))), own)
+    assert lists.index is not None and {r.site for r in lists.lengths.collect()} == {"h"}
+    got = {(r.url, r.target): r.allowed for r in R.robots_allowed(df, lists).collect()}
+    for url, target, site in urls:
+        assert got[(url, target)] == first_match(rules[site], target), (target, site)
+
+
+def test_rules_of_one_site_are_numbered_over_many_blocks(frame, spark):
+    rows = [(f"{i % 7}-{i}", "h" if i % 3 else f"s{i % 5}", (i * 37) % 50, True, f"/{i}") for i in range(400)]
+    rows += [("x", None, 1, True, "/n"), ("y", None, None, True, "/m"), ("z", "h", 1, True, "")]
+    got = R.custom_ruleset(frame(rows, schemas.CUSTOM_RULES))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    want = {}
+    for i, site, order, _, path in sorted(rows, key=lambda r: (r[2] is not None, r[2], r[0])):
+        if path:
+            want[(site, path)] = 1 + sum(1 for s, _ in want if s == site)
+    assert {(r.site, r.path): r.rule_no for r in got.collect()} == want
+    assert "partitionBy" not in plan or "_block" in plan
+
+
+def test_urls_meet_only_rules_of_their_own_prefixes(frame, monkeypatch):
+    """2000 rules of one site with heads of their own: each url meets one of them, not all."""
+    own = R.custom_ruleset(frame([(str(i), "h", i, False, f"/{i:04}*x") for i in range(2000)], schemas.CUSTOM_RULES))
+    lists = R.rule_lists(R.select_ruleset(R.parse_robots(frame([], schemas.ROBOTS_TXT))), own)
+    assert max(len(r.rules) for r in lists.index.collect()) == 1
+    urls = frame([(f"http://h/{i:04}/{'x' if i % 2 else 'y'}",) for i in range(0, 4000, 5)], "url string")
+    got = {r.url: r.allowed for r in R.robots_allowed(urls, lists).collect()}
+    assert all(got[u] == (not (u.endswith("x") and int(u[9:13]) < 2000)) for u in got) and not all(got.values())
+    # the join's rows: one length occurs, so a url asks once, and meets its own rule at most
+    keyed = urls.selectExpr("url AS _indexed_url", "'h' AS _site", "substring(url, 9) AS _target")
+    assert R._indexed_verdicts(keyed, lists).count() == sum(not v for v in got.values())
