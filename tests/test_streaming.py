@@ -1,5 +1,6 @@
 import pathlib
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -72,6 +73,41 @@ def test_new_links(spark, stream):
     assert urls_in(spark, stream.path("out")) == ["a", "b", "c", "d"]
 
 
+@pytest.fixture
+def rocks(spark):
+    """State that can expire is kept in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_new_links_with_a_long_memory_equal_the_batch(spark, stream, rocks):
+    spark.createDataFrame([("u1",), ("u2",)], schemas.SEEN).write.parquet(stream.path("seen"))
+    rng = random.Random(6)
+    batches = [[(f"u{rng.randrange(40)}", START) for _ in range(30)] for _ in range(3)]
+    args = (stream.path("seen"), stream.path("out"), stream.path("ckpt"))
+    finish(jobs.stream_new_links(stream(LINKS, *batches), *args, available_now=True, ttl=timedelta(days=1)))
+    assert urls_in(spark, stream.path("out")) == sorted({u for b in batches for u, _ in b} - {"u1", "u2"})
+
+
+def test_forgotten_links_fall_back_to_the_seen_ones(spark, stream, rocks):
+    """After its time a url is given again unless it has been processed; what is remembered does not add up."""
+    spark.createDataFrame([], schemas.SEEN).write.parquet(stream.path("seen"))
+    args = (stream.path("seen"), stream.path("out"), stream.path("ckpt"))
+    kw = {"available_now": True, "ttl": timedelta(seconds=4)}
+    remembered = []
+    for n, (urls, want) in enumerate((("a b s a", "a b s"), ("a s c d", "a b s a c d"), ("e", "a b s a c d e"))):
+        stream.add(LINKS, [(u, START) for u in urls.split()])
+        query = finish(jobs.stream_new_links(stream(LINKS), *args, **kw))
+        remembered.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        assert urls_in(spark, stream.path("out")) == sorted(want.split())
+        if n == 0:
+            spark.createDataFrame([("s",)], schemas.SEEN).write.mode("append").parquet(stream.path("seen"))
+        time.sleep(5)
+    assert remembered[-1] <= remembered[0] + 4
+
+
 def test_no_earlier_output_is_read(spark, stream):
     """What was written can be moved away: the state alone tells which urls were found."""
     args = (None, stream.path("out"), stream.path("ckpt"))

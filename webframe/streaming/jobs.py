@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from webframe import schemas
 from webframe.operators.robots import (
@@ -43,20 +47,63 @@ def _given(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
 
 
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+class _Found(StatefulProcessor):
+    """Gives a url when it is found and not remembered; remembers it for `ttl_ms` from then on."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.remembered = handle.getValueState("remembered", "is boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for _ in rows:
+            pass
+        if not self.remembered.exists():
+            self.remembered.update((True,))
+            yield pd.DataFrame({"url": [key[0]]})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_new_links(
-    links: DataFrame, seen_path: str | None, out_path: str, checkpoint: str, available_now: bool = False
+    links: DataFrame,
+    seen_path: str | None,
+    out_path: str,
+    checkpoint: str,
+    available_now: bool = False,
+    ttl: timedelta | None = None,
 ) -> StreamingQuery:
     """Write each discovered url once, unless it is in SEEN when it is first found.
 
-    The urls found so far are the query's state, without a watermark, so none is forgotten and no output is
-    read again: a batch costs what it holds. With the RocksDB state store the state lies on disk. SEEN is
+    The urls found so far are the query's state, and no output is read again: a batch costs what it holds. With the RocksDB state
+    store the state lies on disk. Without `ttl` none is ever forgotten. With it a url is remembered for that long (of processing
+    time) after it was given, so the state is bounded by what is found in that time; one that is found again later is
+    given again, unless it has been processed by then and SEEN holds it. `ttl` needs the RocksDB state store. SEEN is
     read again for every batch. A batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         seen = _given(batch.sparkSession, seen_path, schemas.SEEN)
         batch.join(seen, "url", "left_anti").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
-    new = links.select("url").dropDuplicates(["url"])
+    if ttl is None:
+        new = links.select("url").dropDuplicates(["url"])
+    else:
+        found = _Found(round(ttl.total_seconds() * 1000))
+        by_url = links.select("url").filter("url IS NOT NULL").groupBy("url")
+        new = by_url.transformWithStateInPandas(found, schemas.SEEN, "Update", "ProcessingTime")
+        spark = links.sparkSession
+        # what has expired is removed with the next links; batches only for that would go on without end
+        empty_batches = spark.conf.get(EMPTY_BATCHES)
+        spark.conf.set(EMPTY_BATCHES, "false")
+        try:
+            return _start(new.writeStream.outputMode("update").foreachBatch(write), checkpoint, available_now)
+        finally:
+            spark.conf.set(EMPTY_BATCHES, empty_batches)
     return _start(new.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
