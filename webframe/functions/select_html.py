@@ -15,7 +15,14 @@ class Element:
         self.children: list = []
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, todo = [], [self]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, str):
+                out.append(e)
+            else:
+                todo.extend(reversed(e.children))
+        return "".join(out)
 
     def descendants(self):
         todo = [c for c in reversed(self.children) if isinstance(c, Element)]

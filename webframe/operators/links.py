@@ -13,6 +13,7 @@ from webframe.functions import url as U
 from webframe.functions.select_html import tree
 from webframe.operators.content import with_html
 from webframe.functions import text as X
+from webframe.session import written
 
 
 def page_nofollow(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -59,6 +60,32 @@ def link_edges(docs: DataFrame) -> DataFrame:
     return each.filter(F.col("dst").isNotNull()).select("src", "dst", "pos")
 
 
+def _attempts(docs: DataFrame, url_regex: str, extract: Callable[[str, str], dict | None], schema: str, body: str) -> DataFrame:
+    """The job's rows, with _page and _error null, and a row with these two for each page on which it failed."""
+    chosen = docs.filter(F.col("url").rlike(url_regex) & F.col(body).isNotNull())
+    chosen = chosen.select("url", F.col(body).alias("body"))
+    wanted = docs.sparkSession.createDataFrame([], schema).columns
+
+    def run(batches):
+        for pdf in batches:
+            rows, failed = [], []
+            for url, text in zip(pdf["url"], pdf["body"]):
+                try:
+                    row = extract(url, text)
+                except Exception as e:  # the user's code: whatever it raises concerns this page only
+                    failed.append({"_page": url, "_error": f"{type(e).__name__}: {e}"})
+                else:
+                    if row is not None:
+                        rows.append(row)
+            if rows:
+                yield pd.DataFrame(rows).assign(_page=None, _error=None)
+            if failed:
+                # a frame of its own, so that the nulls change no column's type
+                yield pd.DataFrame(failed).assign(**dict.fromkeys(wanted))
+
+    return chosen.mapInPandas(run, f"{schema}, _page string, _error string")
+
+
 def map_pages(
     docs: DataFrame,
     url_regex: str,
@@ -68,17 +95,24 @@ def map_pages(
 ) -> DataFrame:
     """User job over the pages whose url matches: `extract(url, body)` gives a row, or None to skip.
 
-    The url filter runs before Python sees a page, and only two columns are read."""
-    chosen = docs.filter(F.col("url").rlike(url_regex) & F.col(body).isNotNull())
-    chosen = chosen.select("url", F.col(body).alias("body"))
+    The url filter runs before Python sees a page, and only two columns are read. A page on which the job raises gives no
+    row and does not end the job; `map_pages_failed` shows such pages."""
+    return _attempts(docs, url_regex, extract, schema, body).filter("_error IS NULL").drop("_page", "_error")
 
-    def run(batches):
-        for pdf in batches:
-            rows = [r for r in map(extract, pdf["url"], pdf["body"]) if r is not None]
-            if rows:
-                yield pd.DataFrame(rows)
 
-    return chosen.mapInPandas(run, schema)
+def map_pages_failed(
+    docs: DataFrame,
+    url_regex: str,
+    extract: Callable[[str, str], dict | None],
+    schema: str,
+    body: str = "body",
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of `map_pages`, and url and error of the pages on which the job failed, both from one pass over the pages.
+
+    The pass is written to the shared folder, where both results are read."""
+    done = written(_attempts(docs, url_regex, extract, schema, body), "mapped")
+    failed = done.filter("_error IS NOT NULL").select(F.col("_page").alias("url"), F.col("_error").alias("error"))
+    return done.filter("_error IS NULL").drop("_page", "_error"), failed
 
 
 def css_extract(container: str, name: str = "h1", urls: str = "li a") -> Callable[[str, str], dict | None]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webframe.functions import html as H
 from webframe.functions import url as U
-from webframe.operators import content, control, frontier, links, log, robots, slots, stats, steps, urls
+from webframe.operators import content, control, frontier, links, log, redirects, robots, slots, stats, steps, urls
 from webframe.plans import tables as T
 from webframe.plans.closure import crawl_closure
 from webframe.plans.crawl import crawl_round, default_steps
@@ -191,6 +191,24 @@ def map_pages(spark, sf):
     return found.select("url", "name", _joined("urls").alias("urls"))
 
 
+def _picky(url: str, body: str) -> dict | None:
+    """A user job that fails on some pages and skips others."""
+    if "?" in url:
+        raise ValueError("query")
+    return None if "#" in url else {"url": url, "chars": len(body)}
+
+
+def map_pages_failed(spark, sf):
+    """Rows of a user job and the pages on which it failed."""
+    stored = T.pages(spark, sf).withColumnRenamed("html", "body")
+    rows, failed = links.map_pages_failed(stored, PAGE_URL, _picky, "url string, chars long")
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True).select("url", "chars", "error")
+
+
+def resolve_redirects(spark, sf):
+    return redirects.resolve_redirects(T.redirect_chains(spark, sf)).select("url", "target", "hops", "state")
+
+
 def parse_robots(spark, sf):
     rules = robots.parse_robots(T.robots_txt(spark, sf))
     return rules.withColumn("agents", F.array_join("agents", ","))
@@ -477,7 +495,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         read_docs, to_docs, append_first_wins, upsert_latest, need_fetch, ingest_seeds, seed_domains, purge_host,
         with_url_parts, resolve_urls, robots_urls, decode_content, with_raw_len,
-        extract_links, extract_links_entities, page_nofollow, redirect_links, page_links, page_links_charsets, link_edges, links_per_host, map_pages,
+        extract_links, extract_links_entities, page_nofollow, redirect_links, page_links, page_links_charsets, link_edges, links_per_host, map_pages, map_pages_failed, resolve_redirects,
         parse_robots, select_ruleset, custom_ruleset, robots_allowed, robots_allowed_full, robots_wildcards, robots_status_policy,
         robots_meta, restrict_links, frontier_add, mark_done_frontier, mark_done_seen, next_batch, fetch_plan,
         polite_slots, polite_state, queue_summary, replay_responses,

@@ -105,6 +105,17 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return link_rows(spark, sf).unionByName(ring_edges(spark, sf))
 
 
+def redirect_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """url, redirect: in every other hundred of page ids one chain down to the first; in the others chains of up to seven and loops of two."""
+    i = F.col("page_id")
+    down = ((i / 100).cast("long") % 2 == 0) & (i % 100 > 0)
+    target = (
+        F.when(down, i - 1).when((i / 100).cast("long") % 2 == 0, None).when(i % 10 == 8, i + 1).when(i % 10 > 0, i - 1)
+    )
+    ids = pages(spark, sf).select("url", target.alias("to")).filter("to IS NOT NULL")
+    return ids.join(pages(spark, sf).select(F.col("page_id").alias("to"), F.col("url").alias("redirect")), "to").select("url", "redirect")
+
+
 def host_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """The first url of each host."""
     return pages(spark, sf).groupBy(U.host(F.col("url")).alias("host")).agg(F.min("url").alias("url")).select("url")
