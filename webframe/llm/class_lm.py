@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webframe.llm.shared import shuffle_partitions, spent_shuffles, stored
+from webframe.llm.shared import Steps, shuffle_partitions
 
 CLASSES, TOP, BINS = 64, 96, 32
 CONTEXTS = TOP + BINS + 2  # and the start and the end of a text
@@ -243,9 +243,8 @@ def best_classes(row: np.ndarray, context: np.ndarray, count: np.ndarray, own: n
     return out
 
 
-def clustered(words: DataFrame, rounds: int, shares: int) -> DataFrame:
+def clustered(words: DataFrame, rounds: int, shares: int, steps: Steps) -> DataFrame:
     """word, class: `words` (word, n, pairs) by exchange. In round r the words whose hash mod `shares` is r mod shares move."""
-    spark = words.sparkSession
 
     def table_of(rows: DataFrame) -> np.ndarray:
         def run(batches):
@@ -269,7 +268,7 @@ def clustered(words: DataFrame, rounds: int, shares: int) -> DataFrame:
                     columns = [part.column(c) for c in ("word", "n", "pairs")]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(choose(part).astype(np.int32))], ["word", "n", "pairs", "class"])
 
-        return stored(rows.mapInArrow(run, "word long, n long, pairs binary, class int"), "classes")
+        return steps.stored(rows.mapInArrow(run, "word long, n long, pairs binary, class int"), "classes")
 
     def telling(totals: np.ndarray):
         """The context that is most above its share, by the square root of its size."""
@@ -315,9 +314,11 @@ def clustered(words: DataFrame, rounds: int, shares: int) -> DataFrame:
     for turn in range(rounds):
         after = placed(now, moved(table, turn))
         new = table_of(after)
-        if likelihood(new) > likelihood(table):
+        better = likelihood(new) > likelihood(table)
+        steps.drop(now if better else after)
+        if better:
             now, table = after, new
-    return now.select("word", "class")
+    return now
 
 
 def _looked_up(blocks: DataFrame, words: DataFrame, rare: tuple[float, float], class_n: np.ndarray, base: tuple[float, float]) -> DataFrame:
@@ -398,25 +399,28 @@ def scored(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 10, rounds: int = 4, shares: int = 2, block: int = BLOCK
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per document."""
-    with spent_shuffles(docs.sparkSession):
-        blocks = stored(coded(docs, doc_id, text, block), "coded")
-        words = stored(word_contexts(blocks, frequent_words(blocks)), "words")
-        end = F.lit(_end_hash())
-        sums = words.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
-            F.coalesce(F.sum(F.when((F.col("n") < least) & (F.col("word") != end), F.col("n"))), F.lit(0)).alias("rare_n"),
-            F.count_if((F.col("n") < least) & (F.col("word") != end)).alias("rare_v"),
-        ).first()
-        classes = clustered(words.filter((F.col("n") >= least) & (F.col("word") != end)), rounds, shares)
-        placed = words.select("word", "n").join(classes, "word", "left").select("word", "n", F.coalesce("class", F.lit(RARE)).alias("class"))
-        placed = stored(placed, "placed")
-        class_n = np.zeros(STATES, np.int64)
-        for r in placed.groupBy("class").agg(F.sum("n").alias("n")).collect():
-            class_n[r["class"]] = r["n"]
-        rare = 0.5, sums["rare_n"] + 0.5 * (sums["rare_v"] + 1)
-        base = 0.5, sums["n"] + 0.5 * (sums["v"] + 1)
-        texts = stored(_looked_up(blocks, placed, rare, class_n, base), "classed")
-        table = smoothed(transitions(texts)).ravel()
+    steps = Steps(docs.sparkSession)
+    blocks = steps.stored(coded(docs, doc_id, text, block), "coded")
+    words = steps.stored(word_contexts(blocks, frequent_words(blocks)), "words")
+    word, n = F.col("word") != F.lit(_end_hash()), F.col("n")
+    sums = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
+        F.coalesce(F.sum(F.when(word & (n < least), n)), F.lit(0)).alias("rare_n"), F.count_if(word & (n < least)).alias("rare_v"),
+    ).first()
+    classes = clustered(words.filter(word & (n >= least)), rounds, shares, steps)
+    kind = F.coalesce("class", F.lit(RARE)).alias("class")
+    placed = steps.stored(words.select("word", "n").join(classes.select("word", "class"), "word", "left").select("word", "n", kind), "placed")
+    steps.drop(words)
+    steps.drop(classes)
+    class_n = np.zeros(STATES, np.int64)
+    for r in placed.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        class_n[r["class"]] = r["n"]
+    rare = 0.5, sums["rare_n"] + 0.5 * (sums["rare_v"] + 1)
+    base = 0.5, sums["n"] + 0.5 * (sums["v"] + 1)
+    texts = steps.stored(_looked_up(blocks, placed, rare, class_n, base), "classed")
+    steps.drop(blocks)
+    steps.drop(placed)
+    table = smoothed(transitions(texts)).ravel()
 
     def run(batches):
         for batch in batches:

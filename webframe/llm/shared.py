@@ -10,9 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.session import new_folder, shuffle_partitions
+from webframe.session import new_folder, remove_folder, shuffle_partitions
 
-__all__ = ["blocks_of", "let", "new_folder", "shuffle_partitions", "spent_shuffles", "stored", "worker_state"]
+__all__ = ["Steps", "blocks_of", "let", "new_folder", "shuffle_partitions", "spent_shuffles", "stored", "worker_state"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -44,6 +44,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables that an operator writes on its way. `drop` removes one that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, name)
+        with spent_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        remove_folder(self.spark, self.paths.pop(id(df)))
+
+
 def worker_state() -> types.ModuleType:
     """A module that lives as long as the Python worker, for caches that outlast a task.
 
