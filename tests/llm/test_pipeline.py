@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.test_dedup import plain_fingerprint, roots
+from tests.llm.test_near_copies import similarity
 from tests.llm.test_texts import EMAIL, plain_base
 from webframe.llm import packing, queries
 from webframe.llm.oracle import ORACLE
@@ -33,6 +33,17 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def linked(texts):
+    """The smallest id that links of five-word shingles, four fifths of them shared, reach from each id."""
+    root = {i: i for i in texts}
+    for i, t in texts.items():
+        for j, u in texts.items():
+            if j < i and root[i] != root[j] and similarity(t, u) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
 def test_stages(spark, docs):
     columns = docs.columns
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -55,7 +66,7 @@ def test_stages(spark, docs):
         best[t] = max(i, best.get(t, i))
     assert after("exact_dedup") == {i: t for t, i in best.items()}
     before = texts["simhash_near_dedup"][0]
-    root = roots({i: plain_fingerprint(t) for i, t in before.items()}, 4)
+    root = linked(before)
     assert after("simhash_near_dedup") == {i: before[i] for i in before if root[i] == i}
     assert len(before) > len(after("simhash_near_dedup"))
     before = texts["personal_data"][0]
