@@ -156,6 +156,84 @@ def test_names_are_hints(page):
     assert html_paths.main_text(page.format(ARTICLE)) == " ".join([text] * page.count("{0}") or [text])
 
 
+STORY = [f"Paragraph {i} of the story, which is told at length; it has commas, stops and many more words than a menu." for i in range(8)]
+MENU = "<div class=bar><ul>" + "".join(f"<li><a href=/{i}>Section {i}</a>" for i in range(30)) + "</ul></div>"
+
+
+def _list(n):
+    return "<ul>" + "".join(f"<li>item {i}</li>" for i in range(n)) + "</ul>", [f"item {i}" for i in range(n)]
+
+
+def _table(n):
+    return "<table>" + "".join(f"<tr><th>row {i}<td>{i * 7}" for i in range(n)) + "</table>", [x for i in range(n) for x in (f"row {i}", str(i * 7))]
+
+
+def _terms(n):
+    return "<dl>" + "".join(f"<dt>term {i}<dd>meaning {i}" for i in range(n)) + "</dl>", [x for i in range(n) for x in (f"term {i}", f"meaning {i}")]
+
+
+@pytest.mark.parametrize("box", ["article", "main", "div", "section"])
+@pytest.mark.parametrize("make", [_list, _table, _terms])
+@pytest.mark.parametrize("n", [1, 5, 10, 60, 400])
+@pytest.mark.parametrize("at", [0, 4, 8])
+def test_lists_and_tables_of_an_article_stay(box, make, n, at):
+    source, items = make(n)
+    parts = [f"<p>{t}</p>" for t in STORY]
+    parts.insert(at, source)
+    page = f"{MENU}<{box}><h1>Title</h1>{''.join(parts)}<h2>End</h2></{box}>{MENU}"
+    assert html_paths.main_text(page) == " ".join(["Title", *STORY[:at], *items, *STORY[at:], "End"])
+
+
+def test_pages_of_lists_only():
+    for make in (_list, _table, _terms):
+        source, items = make(40)
+        assert html_paths.main_text(f"{MENU}<div>{source}</div>") == " ".join(items)
+
+
+def test_layout_table_loses_its_menu_cell():
+    cells = "".join(f"<p>{t}</p>" for t in STORY)
+    page = f"<table><tr><td><a href=a>Home</a> <a href=b>News</a></td><td>{cells}</td></tr></table>"
+    assert html_paths.main_text(page) == " ".join(STORY)
+
+
+def plain_text(blocks):
+    """The method spelt out for flat pages: blocks are (path, box, text, linked); nothing is named or declared."""
+    paths = sorted({b[0] for b in blocks})
+    ratios = {}
+    for p in paths:
+        mine = [b for b in blocks if b[0] == p]
+        chars = sum(len(t) - k for _, _, t, k in mine)
+        marks = sum(sum(c in ".,;:!?" for c in t) for _, _, t, k in mine if k < len(t))
+        ratios[p] = ((1 + chars) / len(mine), (1 + marks) / len(mine))
+    fused = {p: [] for p in paths}
+    for i, (p, *_) in enumerate(blocks):
+        near = [ratios[q[0]] for q in blocks[max(0, i - 1) : i + 2]]
+        a, b = ((ratios[p][j] + sum(x[j] for x in near) / len(near)) / 2 for j in (0, 1))
+        fused[p].append((a * b) ** 0.5)
+    score = {p: sum(v) / len(v) for p, v in fused.items()}
+    mean = sum(score[p] * len(t) for p, _, t, _ in blocks) / max(1, sum(len(t) for _, _, t, _ in blocks))
+    good = [score[p] >= mean / 2 and 2 * k <= len(t) for p, _, t, k in blocks]
+    weight = {b[1]: sum((len(t) - k) * (1 if g else -1) for (_, x, t, k), g in zip(blocks, good) if x == b[1]) for b in blocks}
+    return " ".join(t for (_, x, t, k), g in zip(blocks, good) if g or (weight[x] >= 0 and 2 * k < len(t)))
+
+
+def test_ratios_equal_the_plain_method():
+    rng = random.Random(5)
+    for _ in range(300):
+        page, blocks = "", []
+        for box in range(rng.randint(1, 6)):
+            outer = rng.choice(["div", "section", "div><section", "center"])
+            page += f"<{outer}>"
+            for _ in range(rng.randint(1, 5)):
+                tag = rng.choice(["p", "h2", "pre", "blockquote"])
+                text = " ".join(rng.choice(["word", "other,", "end.", "long-word"]) for _ in range(rng.choice([1, 3, 40])))
+                linked = rng.random() < 0.3
+                page += f"<{tag}>" + (f"<a href=x>{text}</a>" if linked else text) + f"</{tag}>"
+                blocks.append((f"{outer}/{tag}", box, text, len(text) if linked else 0))
+            page += "".join(f"</{t}>" for t in reversed(outer.split("><")))
+        assert html_paths.main_text(page) == plain_text(blocks), page
+
+
 def test_deep_broken_and_long_pages():
     assert html_paths.main_text("<article>" + "<div>" * 20_000 + "deep") == "deep"
     assert html_paths.main_text("<article>" + "<b>" * 20_000 + "deep" + "</i>" * 20_000) == "deep"

@@ -5,7 +5,11 @@ ones left out. Per path the text length, the punctuation and the length of link
 page. A path's ratio of text to blocks and its ratio of punctuation to blocks, both without link text, are
 smoothed over the blocks in page order and fused by a geometric mean. Paths at or above `threshold` times
 the page's mean are content. Being inside an article or main element is one more feature: such a path's score
-weighs DECLARED times in the mean and DECLARED ** 2 times against it. Elements that are boilerplate by their tag, role, class or id (menus,
+weighs DECLARED times in the mean and DECLARED ** 2 times against it. An item of a list or a cell of a table is no block of its
+own in the ratios: a path's items count once per list or table, so that long lists have no lower ratio than short ones. What
+flows in one box (headings, lists, tables, paragraphs and the like in one div, section, cell or article) is judged with it:
+where at least half of a box's unlinked text is content, all of it is but for blocks that are mostly links. The box of what is
+inside an article is the article. Elements that are boilerplate by their tag, role, class or id (menus,
 headers and footers outside an article, sidebars, notices, adverts, forms, reader comments, scripts,
 styles) are left out with all they hold. A class or id is a hint only: whole names count (`sidebar`, `cookie-notice`,
 `site-footer`, but not `content-sidebar-wrap` or `no-sidebar`), an element that holds an article or main element is never
@@ -33,6 +37,10 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time "
     "tt u var wbr script style noscript template iframe svg button select textarea object canvas audio video".split()
 )
+#: Elements whose text flows with that around them, and those of them that are one part of a list or table.
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hr details summary".split())
+LISTS = frozenset(("ul", "ol", "dl", "table"))
+ITEMS = frozenset(("li", "dt", "dd", "td", "th", "caption"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
 CONTAINERS = frozenset(("article", "main"))
@@ -114,9 +122,14 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return False, hinted
 
 
+#: Outside all elements.
+NOWHERE = ("", 0, False, False, -1, (0, 0, 0))
+
+
 class Page:
-    """The blocks of a page: (path, text, length of link text, inside an article).
+    """The blocks of a page: (path, text, length of link text, inside an article, box, unit).
 
+    Boxes and units are elements by number: the box a block flows in, and the list or table whose item it is (0: none).
     `named` has the elements with a hint, by the place of their tag: unlinked text before and in them, articles likewise.
     Those in `out` are left out, the paths of those in `low` are kept apart in `hinted`."""
 
@@ -125,9 +138,11 @@ class Page:
         self.named: dict[int, list[int]] = {}
         self.plain = self.containers = 0
         self.hinted: set[int] = set()
-        self.blocks: list[tuple[int, str, int, bool]] = []
+        self.blocks: list[tuple[int, str, int, bool, int, int]] = []
         self.paths: dict[tuple[int, str, bool], int] = {}
-        self.stack: list[tuple[str, int, bool, bool, int]] = []  # tag, path, left out, in an article, place if named
+        # tag, path, left out, in an article, place if named, and where: box, list or table, unit
+        self.stack: list[tuple[str, int, bool, bool, int, tuple[int, int, int]]] = []
+        self.elements = 0
         self.count: dict[str, int] = {}
         self.text: list[str] = []
         self.linked = 0
@@ -138,12 +153,12 @@ class Page:
             text = SPACES.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text:
-                _, path, _, inside, _ = self.stack[-1] if self.stack else ("", 0, False, False, -1)
-                self.blocks.append((path, text, min(self.linked, len(text)), inside))
+                _, path, _, inside, _, (box, _, unit) = self.stack[-1] if self.stack else NOWHERE
+                self.blocks.append((path, text, min(self.linked, len(text)), inside, box, unit))
         self.linked = 0
 
     def _pop(self) -> None:
-        tag, _, _, _, place = self.stack.pop()
+        tag, _, _, _, place, _ = self.stack.pop()
         self.count[tag] -= 1
         if place >= 0:
             plain, containers = self.named[place]
@@ -170,7 +185,7 @@ class Page:
                     self._close(*ENDS[tag])
                 elif self.count.get("p"):
                     self._close_p()
-        _, path, out, inside, _ = self.stack[-1] if self.stack else ("", 0, False, False, -1)
+        parent, path, out, inside, _, where = self.stack[-1] if self.stack else NOWHERE
         if tag in VOID:
             return
         certain, hint = (False, False) if out else _boilerplate(tag, attributes, inside)
@@ -184,9 +199,21 @@ class Page:
             self.containers += 1
         if hint:
             self.named[place] = [self.plain, self.containers - (tag in CONTAINERS)]
-        self.stack.append((tag, path, out, inside or tag in CONTAINERS, place if hint else -1))
+        if tag not in INLINE:
+            where = self._where(tag, parent, inside, where)
+        self.stack.append((tag, path, out, inside or tag in CONTAINERS, place if hint else -1, where))
         self.count[tag] = self.count.get(tag, 0) + 1
 
+    def _where(self, tag: str, parent: str, inside: bool, where: tuple[int, int, int]) -> tuple[int, int, int]:
+        """Box, list or table, and unit in a block element."""
+        self.elements += 1
+        box, lists, _ = where
+        if not inside and (tag not in FLOW or parent in ("td", "th")):  # a cell with blocks in it is a box
+            box = self.elements
+        if tag in LISTS:
+            lists = self.elements
+        return box, lists, lists if tag in ITEMS else 0
+
     def _close_p(self) -> None:
         """A block's start ends an open paragraph, with the inline elements in it."""
         depth = len(self.stack) - 1
@@ -311,12 +338,13 @@ def main_text(source: str | None, threshold: float = 0.5, reach: int = 1) -> str
     page = page_of(source)
     blocks = page.blocks
     sums: dict[int, list[int]] = {}
-    for path, text, linked, _ in blocks:
-        s = sums.setdefault(path, [0, 0, 0])
+    units: dict[int, set[int]] = {}
+    for at, (path, text, linked, _, _, unit) in enumerate(blocks):
+        s = sums.setdefault(path, [0, 0])
         s[0] += len(text) - linked
         s[1] += len(PUNCTUATION.findall(text)) if linked < len(text) else 0
-        s[2] += 1
-    ratio = {p: ((1 + chars) / n, (1 + marks) / n) for p, (chars, marks, n) in sums.items()}
+        units.setdefault(path, set()).add(unit or -1 - at)
+    ratio = {p: tuple((1 + x) / len(units[p]) for x in s) for p, s in sums.items()}
     order = [ratio[b[0]] for b in blocks]
     smooth: dict[int, list[float]] = {}
     for i, b in enumerate(blocks):
@@ -326,11 +354,18 @@ def main_text(source: str | None, threshold: float = 0.5, reach: int = 1) -> str
     score = {p: sum(v) / len(v) * (HINTED if p in page.hinted else 1) for p, v in smooth.items()}
     whole = sum(len(b[1]) for b in blocks)
     mean = sum(score[b[0]] * (DECLARED if b[3] else 1) * len(b[1]) for b in blocks) / max(1, whole)
-
-    def content(path: int, text: str, linked: int, inside: bool) -> bool:
-        return score[path] * (DECLARED**2 if inside else 1) >= threshold * mean and (inside or 2 * linked <= len(text))
-
-    return " ".join(b[1] for b in blocks if content(*b))
+    content = [
+        score[path] * (DECLARED**2 if inside else 1) >= threshold * mean and (inside or 2 * linked <= len(text))
+        for path, text, linked, inside, _, _ in blocks
+    ]
+    boxes: dict[int, int] = {}  # unlinked text that is content, less that which is not
+    for (path, text, linked, _, box, _), good in zip(blocks, content):
+        boxes[box] = boxes.get(box, 0) + (len(text) - linked) * (1 if good else -1)
+    return " ".join(
+        text
+        for (path, text, linked, _, box, _), good in zip(blocks, content)
+        if good or (boxes[box] >= 0 and 2 * linked < len(text) and path not in page.hinted)
+    )
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
