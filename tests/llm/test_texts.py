@@ -233,9 +233,9 @@ def test_packing(docs, docs_rows):
 
 def test_word_encoder_equals_the_library(spark):
     rng, tokenizer = random.Random(6), Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
-    parts = ["The", "İst", "ß", "é", "é", "don't", "12a", "!!", " ", "  ", "\n", "\t", "\r", "\x1c", " ", "　", "日", "ǅ", "Σς", "<|endoftext|>", "a" * 90]
+    parts = ["The", "İst", "ß", "é", "é", "don't", "12a", "!!", " ", "  ", "\n", "\t", "\r", "\x1c", " ", "　", "日", "ǅ", "Σς", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "a" * 90]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "\n<|startoftext|>\n"]
     with open(WORDS, "rb") as f:
         own = packing.WordEncoder(f.read())
     for t, got in zip(texts, own(texts)):

@@ -7,11 +7,13 @@ that bin in logarithmic time. A group's pieces are a few numbers each and their
 
 Only numbers are shuffled, never ids. Pieces are written once with a number of their own before they are
 dealt, so groups do not change when tasks run again, and rows that repeat an id (or all have the same)
-are spread like any others. Null and empty texts are packed as their end id alone; null ids stay null."""
+are spread like any others. Null and empty texts are packed as their end id alone; null ids stay null. Only
+the id and text are read; other columns may have any name."""
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import zlib
 
@@ -39,7 +41,8 @@ class WordEncoder:
     ASCII capitals, and the last token of a run of letters has the mark END_OF_WORD.
 
     Words (runs between spaces and line ends) are encoded once and kept, up to CACHED_WORDS of them. New runs of
-    letters are encoded many in one text, and told apart by the mark."""
+    letters are encoded many in one text, and told apart by the mark. A special token that stands in a text, as it is
+    written in the vocabulary, is its id, as the library has it; what stands before and after it is encoded by itself."""
 
     def __init__(self, spec: bytes):
         import os
@@ -48,12 +51,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # words never hold one: they are cut out before
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(END_OF_WORD)
-        self.known: dict[str, bytes] = {"": b""}
+        tokens = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = re.compile("|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) or "(?!)")
+        # no word holds a line end
+        self.fixed = {"": b""} | {"\n" + t: np.array([i], "<u4").tobytes() for t, i in tokens.items()}
+        self.known = dict(self.fixed)
         self.tails = dict(zip(".,", self._ids([".", ","])))
 
     def _ids(self, words: list[str]) -> list[bytes]:
@@ -83,14 +90,28 @@ class WordEncoder:
                 rest.append(w)
         self.known.update(zip(rest, self._ids(rest)))
 
+    def _words(self, text: str) -> list[str]:
+        """The words, and special tokens after a line end."""
+        out: list[str] = []
+        at = 0
+        for m in self.special.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out.append("\n" + m.group())
+            at = m.end()
+        return out + self._plain(text[at:]) if at else self._plain(text)
+
+    @staticmethod
+    def _plain(text: str) -> list[str]:
+        return text.encode().lower().decode().replace("\n", " ").split(" ")
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids, little-endian unsigned 32-bit."""
-        split = [t.encode().lower().decode().replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [self._words(t) if t else [] for t in texts]
         words = set().union(*split)
         new = words - self.known.keys()
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {"": b""}
-            new = words - {""}
+            self.known = dict(self.fixed)
+            new = words - self.known.keys()
         self._learn(new)
         return [b"".join(map(self.known.__getitem__, w)) for w in split]
 
