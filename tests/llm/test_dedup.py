@@ -29,6 +29,13 @@ def test_exact_groups_of_odd_rows(odd, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_drop_copies_with_maps(spark):
+    rows = [(1, "t", {"a": 1}, [{"x": "y"}]), (1, "t", {"b": 0}, None), (0, "t", {"z": 9}, []), (2, None, None, None), (3, "", {}, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, deep array<map<string,string>>")
+    got = {tuple(r)[:3] if r.m is None else (r.doc_id, r.text, tuple(r.m.items())) for r in exact_dedup.drop_copies(df).collect()}
+    assert got == {(1, "t", (("b", 0),)), (3, "", ())}
+
+
 def test_drop_copies_keeps_whole_rows(odd, none):
     got = exact_dedup.drop_copies(odd)
     assert got.columns == odd.columns

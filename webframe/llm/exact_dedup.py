@@ -7,12 +7,13 @@ their group by two hashes, in a join of narrow rows whose large keys adaptive ex
 
 Null texts count as empty, empty texts are equal to each other, null ids never win over others.
 Rows that repeat an id and its text all count in the group size and share the verdict of their id.
-Only the id and the text are read; other columns may have any name."""
+Only the id and the text are read; other columns may have any name and type."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_key(text: Column) -> Column:
@@ -38,11 +39,22 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     )
 
 
+def _ordered(name: str, kind: T.DataType) -> Column:
+    """The column, or its JSON where values of its type have no order (maps, at any depth)."""
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column)) if '"map"' in kind.json() else column
+
+
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One whole row per distinct text, that with the largest id; of rows that repeat it, the largest by the other columns."""
-    rest = [c for c in docs.columns if c not in (doc_id, text)]
-    row = F.struct(F.col(doc_id), *[F.col(f"`{c}`") for c in rest], F.col(text).isNotNull().alias("_given"))
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), row.alias("_row"))
-    best = rows.groupBy(content_key(F.col("_text")).alias("_key"), "_text").agg(F.max("_row").alias("_row"))
-    given = F.when(F.col("_row._given"), F.col("_text")).alias(text)
-    return best.select(*[given if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """One whole row per distinct text, that with the largest id; of rows that repeat it, the largest by the other columns
+    (maps by their JSON)."""
+    rest = [f for f in docs.schema if f.name not in (doc_id, text)]
+    given = F.col(text).isNotNull().alias("_given")
+    row = F.struct(F.col(doc_id), *[F.col(f"`{f.name}`") for f in rest], given)
+    order = [_ordered(f.name, f.dataType) for f in rest]
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), row.alias("_row"), F.struct(F.col(doc_id), *order, given).alias("_order"))
+    plain = all('"map"' not in f.dataType.json() for f in rest)
+    best = F.max("_row") if plain else F.max_by("_row", "_order")
+    groups = rows.groupBy(content_key(F.col("_text")).alias("_key"), "_text").agg(best.alias("_row"))
+    kept = F.when(F.col("_row._given"), F.col("_text")).alias(text)
+    return groups.select(*[kept if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
