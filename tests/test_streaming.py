@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webframe import schemas
 from webframe.operators.slots import polite_slots
-from webframe.operators.stats import traffic_stats
+from webframe.operators.stats import response_time_by_host, step_metrics, traffic_stats
 from webframe.sources.docs import read_docs
 from webframe.streaming import jobs
 
@@ -157,7 +157,39 @@ def test_traffic_as_batch(spark, stream):
         want = traffic_stats(spark.createDataFrame(rows, schema), last, 120)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         forget_last_commit(stream.path("ckpt"))
-    assert jobs.read_traffic(spark, stream.path("nothing yet")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        jobs.read_traffic(spark, stream.path("mistyped"))
+
+
+def test_traffic_of_many_batches_in_few_runs(spark, stream):
+    """A second checkpoint adds to the table; sums of 13 batches lie in few runs."""
+    schema = "crawl_time timestamp, raw_len long"
+    rows = [(START + timedelta(seconds=50 * i), i) for i in range(12)]
+    finish(jobs.stream_traffic(stream(schema, *[[r] for r in rows]), stream.path("out"), stream.path("ckpt"), available_now=True))
+    again = spark.readStream.schema(schema).parquet(stream.path("in/*"))
+    finish(jobs.stream_traffic(again, stream.path("out"), stream.path("other"), available_now=True))
+    want = traffic_stats(spark.createDataFrame(rows + rows, schema), rows[-1][0], 120)
+    assert sorted(map(tuple, jobs.read_traffic(spark, stream.path("out")).collect())) == sorted(map(tuple, want.collect()))
+    assert len(list(pathlib.Path(stream.path("out")).iterdir())) <= 5
+
+
+def test_metrics_as_batch(spark, stream):
+    """Histograms of batches merge to the exact median; a batch that is run again counts once."""
+    rng = random.Random(4)
+    keys = ["pipeline:a:time", "pipeline:a:calls", "pipeline:b:time", "pipeline:b:calls", "response:h", "response:g:80", "other", "pipeline:x"]
+    rows = [(rng.choice(keys), float(rng.randrange(1, 9)) if i % 2 else rng.random(), START) for i in range(400)]
+    rows = [(k, float(round(v)) if k.endswith("calls") else v, t) for k, v, t in rows] + [("response:h", None, START)]
+    schema = "key string, value double, ts timestamp"
+    source = stream(schema, rows[:150], rows[150:151], [], rows[151:300], rows[300:])
+    events = spark.createDataFrame(rows, schema)
+    for _ in range(2):
+        finish(jobs.stream_metrics(source, stream.path("out"), stream.path("ckpt"), available_now=True))
+        for got, want in (
+            (jobs.read_step_metrics(spark, stream.path("out")), step_metrics(events)),
+            (jobs.read_response_times(spark, stream.path("out")), response_time_by_host(events)),
+        ):
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        forget_last_commit(stream.path("ckpt"))
 
 
 def test_slots_keep_two_versions_of_their_state(spark, stream):

@@ -46,11 +46,14 @@ def _micros(value: Column) -> Column:
     return F.round(value * 1_000_000).cast("bigint")
 
 
-def step_metrics(metric_events: DataFrame) -> DataFrame:
-    """Per step of keys pipeline:<step>:<kind>: calls, and upper median and mean time in whole ms.
+STEP_COUNTS = "step string, kind string, ms long, n long, us long, value double"
+RESPONSE_SUMS = "host string, us long, n long"
+
 
-    Times are counted per step and millisecond before they are shuffled. Cutting to whole
-    milliseconds keeps order, so the median of the counted values is the median's cut value."""
+def step_counts(metric_events: DataFrame) -> DataFrame:
+    """Histograms of keys pipeline:<step>:<kind>, one row per step, kind and millisecond: STEP_COUNTS rows.
+
+    Those of two tables merge by adding up n, us and value per step, kind and ms."""
     parts = F.split("key", ":")
     events = (
         metric_events.filter(F.col("key").startswith("pipeline:") & (F.size(parts) == 3))
@@ -59,11 +62,18 @@ def step_metrics(metric_events: DataFrame) -> DataFrame:
     )
     is_time = F.col("kind") == "time"
     ms = F.when(is_time, (F.col("value") * 1000).cast("bigint"))
-    counted = events.groupBy("step", "kind", ms.alias("ms")).agg(
+    return events.groupBy("step", "kind", ms.alias("ms")).agg(
         F.count("*").alias("n"),
         F.sum(_micros(F.col("value"))).alias("us"),
         F.sum("value").alias("value"),
     )
+
+
+def step_summary(counted: DataFrame) -> DataFrame:
+    """Calls, and upper median and mean time in whole ms, of histograms with one row per step, kind and millisecond.
+
+    Cutting to whole milliseconds keeps order, so the median of the counted values is the median's cut value."""
+    is_time = F.col("kind") == "time"
     per_kind = Window.partitionBy("step", "kind")
     up_to = per_kind.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumns({"upto": F.sum("n").over(up_to), "all": F.sum("n").over(per_kind)})
@@ -77,11 +87,27 @@ def step_metrics(metric_events: DataFrame) -> DataFrame:
     return per_step.select("step", "calls", "median", F.expr("us div (n * 1000)").alias("ave"))
 
 
-def response_time_by_host(metric_events: DataFrame) -> DataFrame:
-    """Mean of keys response:<host>, to two decimals."""
-    per_host = (
+def step_metrics(metric_events: DataFrame) -> DataFrame:
+    """Per step of keys pipeline:<step>:<kind>: calls, and upper median and mean time in whole ms.
+
+    Times are counted per step and millisecond before they are shuffled."""
+    return step_summary(step_counts(metric_events))
+
+
+def response_sums(metric_events: DataFrame) -> DataFrame:
+    """Sums of keys response:<host>, RESPONSE_SUMS rows; those of two tables merge by adding up per host."""
+    return (
         metric_events.filter(F.col("key").startswith("response:"))
         .groupBy(F.regexp_replace("key", "^response:", "").alias("host"))
         .agg(F.sum(_micros(F.col("value"))).alias("us"), F.count("value").alias("n"))
     )
-    return per_host.select("host", (F.expr("(us + 5000 * n) div (10000 * n)") / 100).alias("ave_resp"))
+
+
+def response_means(sums: DataFrame) -> DataFrame:
+    """Mean to two decimals, of one row per host."""
+    return sums.select("host", (F.expr("(us + 5000 * n) div (10000 * n)") / 100).alias("ave_resp"))
+
+
+def response_time_by_host(metric_events: DataFrame) -> DataFrame:
+    """Mean of keys response:<host>, to two decimals."""
+    return response_means(response_sums(metric_events))

@@ -30,6 +30,21 @@ class RunTable:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
+    def _exists(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def create(self) -> None:
+        """Make the table's folder, so that a table without runs is told from one that is not there."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+    def opened(self):
+        """The table, whose folder must be there."""
+        if not self._exists():
+            raise FileNotFoundError(self.path)
+        return self
+
     def _complete(self) -> list[tuple[int, int]]:
         """Complete runs, also those that another one stands for."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -98,6 +113,25 @@ class RunTable:
                 remove_folder(self.spark, self._at(first, last))
 
 
+class MergedTable(RunTable):
+    """A table of runs whose rows merge: one row per values of `by` in each run, and in all when read.
+
+    `merges` has the native aggregate of every other column (sums by default), so that merging may happen in any order."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, by: list[str], merges: dict[str, str] | None = None):
+        super().__init__(spark, path, schema)
+        self.by, self.fields = by, spark.createDataFrame([], schema).schema
+        self.merges = merges or {}
+
+    def _reduced(self, rows: DataFrame, oldest: bool = True) -> DataFrame:
+        others = [f for f in self.fields if f.name not in self.by]
+        merged = [F.expr(f"{self.merges.get(f.name, 'sum')}({f.name})").cast(f.dataType).alias(f.name) for f in others]
+        return rows.groupBy(*self.by).agg(*merged).select(*self.fields.names)
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        return self._reduced(super().read(upto))
+
+
 class KeyedTable(RunTable):
     """A table of runs by `key`. Besides its key a row may have other columns; `gone` and `number` are the table's own.
 

@@ -20,11 +20,19 @@ from webframe.operators.robots import (
     select_ruleset,
 )
 from webframe.operators.slots import polite_slots
-from webframe.operators.stats import pages_per_second
+from webframe.operators.stats import (
+    RESPONSE_SUMS,
+    STEP_COUNTS,
+    pages_per_second,
+    response_means,
+    response_sums,
+    step_counts,
+    step_summary,
+)
 from webframe.session import held, remove_folder
 from webframe.settings import ROBOT_NAME, TRAFFIC_BUCKET_SECONDS
 from webframe.sources.docs import append_first_wins, stored_urls, write_docs
-from webframe.sources.keyed import BUCKETS, KeyedTable
+from webframe.sources.keyed import BUCKETS, KeyedTable, MergedTable, RunTable
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -132,32 +140,76 @@ def stream_allowed(
 TRAFFIC_SUMS = "bucket_ms long, pages long, bytes long"
 
 
+def _traffic(spark: SparkSession, path: str) -> MergedTable:
+    return MergedTable(spark, path, TRAFFIC_SUMS, ["bucket_ms"])
+
+
+def _first(checkpoint: str, *tables: RunTable) -> int:
+    """The number in these tables of batch 0 of a checkpoint; makes tables that are not there yet."""
+    for t in tables:
+        t.create()
+    lasts = [n for n in (t.last() for t in tables) if n is not None]
+    return _first_number(tables[0].spark, checkpoint, max(lasts, default=-1) + 1)
+
+
 def stream_traffic(
     responses: DataFrame, out_path: str, checkpoint: str, at: str = "crawl_time", available_now: bool = False
 ) -> StreamingQuery:
-    """Write each batch's pages and bytes per minute; `read_traffic` adds them up.
+    """Add each batch's pages and bytes per minute to a table that `read_traffic` reads.
 
-    No response is late: a minute is shown from its first response on and grows with whatever comes."""
+    No response is late: a minute is shown from its first response on and grows with whatever comes. The sums of n
+    batches lie in about log2(n) runs, and one that is run again replaces its own."""
     b = TRAFFIC_BUCKET_SECONDS
+    table = _traffic(responses.sparkSession, out_path)
+    first = _first(checkpoint, table)
 
     def write(batch: DataFrame, number: int) -> None:
         minute = (F.floor(F.unix_seconds(at) / b) * b * 1000).cast("long").alias("bucket_ms")
         sums = batch.groupBy(minute).agg(F.count("*").alias("pages"), F.sum("raw_len").cast("long").alias("bytes"))
-        sums.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        table.append(sums, first + number)
 
     return _start(responses.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
 def read_traffic(spark: SparkSession, out_path: str) -> DataFrame:
-    """Pages and bytes per second of each minute so far."""
-    sums = _written(spark, out_path, TRAFFIC_SUMS).groupBy("bucket_ms")
-    return sums.agg(F.sum("pages").alias("_pages"), F.sum("bytes").alias("_bytes")).select(
+    """Pages and bytes per second of each minute so far. A folder that no job has made is an error."""
+    return _traffic(spark, out_path).opened().read().select(
         "bucket_ms",
-        pages_per_second(F.col("_pages")).alias("pages_per_s"),
-        F.expr(f"_bytes div {TRAFFIC_BUCKET_SECONDS}").alias("bytes_per_s"),
+        pages_per_second(F.col("pages")).alias("pages_per_s"),
+        F.expr(f"bytes div {TRAFFIC_BUCKET_SECONDS}").alias("bytes_per_s"),
     )
 
 
+def _metrics(spark: SparkSession, path: str) -> tuple[MergedTable, MergedTable]:
+    steps = MergedTable(spark, f"{path}/steps", STEP_COUNTS, ["step", "kind", "ms"])
+    return steps, MergedTable(spark, f"{path}/hosts", RESPONSE_SUMS, ["host"])
+
+
+def stream_metrics(metric_events: DataFrame, out_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Add each batch's METRIC_EVENTS to histograms per step and sums per host, which `read_step_metrics` and
+    `read_response_times` turn into the same figures as the batch operators give over all events so far.
+
+    The histograms keep every millisecond that occurs, so the median is exact; their size does not grow with the events.
+    A batch that is run again replaces what it added."""
+    tables = _metrics(metric_events.sparkSession, out_path)
+    first = _first(checkpoint, *tables)
+
+    def write(batch: DataFrame, number: int) -> None:
+        with held(batch, "metrics") as events:
+            for table, rows in zip(tables, (step_counts(events), response_sums(events))):
+                table.append(rows, first + number)
+
+    return _start(metric_events.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
+def read_step_metrics(spark: SparkSession, out_path: str) -> DataFrame:
+    return step_summary(_metrics(spark, out_path)[0].opened().read())
+
+
+def read_response_times(spark: SparkSession, out_path: str) -> DataFrame:
+    return response_means(_metrics(spark, out_path)[1].opened().read())
+
+
 SLOT_STATE = "host string, free_us long"
 
 
