@@ -28,28 +28,36 @@ def restrict_links(
     return links.join(allowed, U.host(F.col(url)) == F.col("_domain"), "left_semi")
 
 
-def frontier_add(
-    frontier: DataFrame, seen: DataFrame, candidates: DataFrame, keep_force: bool = False
-) -> DataFrame:
-    """The frontier with new candidates: forced ones always, others unless seen.
-
-    Candidates are reduced to one row per url before any join, so a link found on very many
-    pages costs one row per task. Queued urls keep their row. `force` is not stored with the
-    queue unless keep_force is set."""
+def candidate_urls(candidates: DataFrame) -> DataFrame:
+    """One row per candidate url: whether any of its rows is forced, and when it was first added."""
     at = F.col("added_at") if "added_at" in candidates.columns else F.current_timestamp()
-    one = candidates.groupBy("url").agg(
+    return candidates.groupBy("url").agg(
         F.max(F.coalesce("force", F.lit(False))).alias("force"), F.min(at).alias("added_at")
     )
-    done = seen.select(F.col("url").alias("_seen"))
-    fresh = one.join(done, (F.col("url") == F.col("_seen")) & ~F.col("force"), "left_anti")
-    new = fresh.join(frontier.select("url"), "url", "left_anti").select(
+
+
+def queue_rows(fresh: DataFrame, keep_force: bool = False) -> DataFrame:
+    """New urls (url, force, added_at) as rows of the frontier."""
+    return fresh.select(
         "url",
         U.host(F.col("url")).alias("host"),
         F.lit(PRIORITY).alias("priority"),
         (F.col("force") if keep_force else F.lit(False)).alias("force"),
         "added_at",
     )
-    return frontier.unionByName(new)
+
+
+def frontier_add(
+    frontier: DataFrame, seen: DataFrame, candidates: DataFrame, keep_force: bool = False
+) -> DataFrame:
+    """The frontier with new candidates: forced ones always, others unless seen.
+
+    Candidates are reduced to one row per url before any join, so a link found on very many
+    pages costs one row per task. Queued urls keep their row. `force` is not stored with the
+    queue unless keep_force is set."""
+    done = seen.select(F.col("url").alias("_seen"))
+    fresh = candidate_urls(candidates).join(done, (F.col("url") == F.col("_seen")) & ~F.col("force"), "left_anti")
+    return frontier.unionByName(queue_rows(fresh.join(frontier.select("url"), "url", "left_anti"), keep_force))
 
 
 def mark_done(frontier: DataFrame, seen: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:

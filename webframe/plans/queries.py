@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from webframe.functions import html as H
 from webframe.functions import url as U
-from webframe.operators import content, control, frontier, links, log, redirects, robots, slots, stats, steps, urls
+from webframe.operators import content, control, frontier, links, log, redirects, robots, seen, slots, stats, steps, urls
 from webframe.plans import tables as T
 from webframe.plans.closure import crawl_closure
 from webframe.plans.crawl import crawl_round, default_steps
-from webframe.session import new_folder
+from webframe.session import new_folder, written
 from webframe.sources import docs, seeds
 from webframe.streaming import jobs
 
@@ -273,6 +273,14 @@ def frontier_add(spark, sf):
     )
 
 
+def frontier_add_filtered(spark, sf):
+    queued = T.frontier(spark, sf).filter(T.is_https())
+    done = T.seen(spark, sf)
+    blocks = seen.blocks_for(T.pages(spark, sf).count())
+    known = written(seen.seen_filter(done, blocks), "seen-filter")
+    return seen.frontier_add_filtered(queued, done, T.candidates(spark, sf), known, blocks).select("url", "host", "priority", "force")
+
+
 def _marked(spark, sf):
     done = T.pages(spark, sf).filter(F.col("url").contains("?")).select("url")
     return frontier.mark_done(T.frontier(spark, sf), T.seen(spark, sf), done)
@@ -474,6 +482,21 @@ def stream_traffic(spark, sf):
     return jobs.read_traffic(spark, f"{folder}/out")
 
 
+def _streamed_metrics(spark, sf):
+    folder = new_folder(spark, "metrics")
+    rows = T.as_metrics(_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    jobs.stream_metrics(rows, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return f"{folder}/out"
+
+
+def stream_step_metrics(spark, sf):
+    return jobs.read_step_metrics(spark, _streamed_metrics(spark, sf))
+
+
+def stream_response_times(spark, sf):
+    return jobs.read_response_times(spark, _streamed_metrics(spark, sf))
+
+
 def stream_polite_slots(spark, sf):
     folder = new_folder(spark, "slots")
     rows = T.as_requests(_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
@@ -497,11 +520,11 @@ QUERIES: dict[str, Query] = {
         with_url_parts, resolve_urls, robots_urls, decode_content, with_raw_len,
         extract_links, extract_links_entities, page_nofollow, redirect_links, page_links, page_links_charsets, link_edges, links_per_host, map_pages, map_pages_failed, resolve_redirects,
         parse_robots, select_ruleset, custom_ruleset, robots_allowed, robots_allowed_full, robots_wildcards, robots_status_policy,
-        robots_meta, restrict_links, frontier_add, mark_done_frontier, mark_done_seen, next_batch, fetch_plan,
+        robots_meta, restrict_links, frontier_add, frontier_add_filtered, mark_done_frontier, mark_done_seen, next_batch, fetch_plan,
         polite_slots, polite_state, queue_summary, replay_responses,
         traffic_stats, traffic_last_day, step_metrics, response_time_by_host, crawl_log, seed_log, log_tail, log_shown,
         rules_listing, apply_domain_changes, apply_rule_changes, stop_counts, pipeline_calls, crawl_round_log, crawl_round_frontier, crawl_round_traffic,
-        stream_new_links, stream_allowed, stream_traffic, stream_polite_slots, stream_store,
+        stream_new_links, stream_allowed, stream_traffic, stream_step_metrics, stream_response_times, stream_polite_slots, stream_store,
     )
 }
 QUERIES["crawl_closure"] = _closure

@@ -194,7 +194,10 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def metric_events(spark: SparkSession, sf: str) -> DataFrame:
     """METRIC_EVENTS: a time and a call per event, and a response time per host."""
-    e = events(spark, sf)
+    return as_metrics(events(spark, sf))
+
+
+def as_metrics(e: DataFrame) -> DataFrame:
     step = F.concat(F.lit("pipeline:"), F.col("event_type"))
     seconds = (F.col("value") / 1000).alias("value")
     host = F.concat(F.lit("response:h"), (F.col("user_id") % 60).cast("string"))
