@@ -92,3 +92,59 @@ def test_forest_connects_what_all_pairs_connect():
 
         close = [(a, b) for a in range(120) for b in range(a) if near_copies.apart(marks[a], marks[b]) <= distance]
         assert parts(near_copies.forest(marks, distance)) == parts(close)
+
+
+def family(n, replaced, seed):
+    """Texts that differ from one text in `replaced` places each: most pairs are close in bits, few or none are links."""
+    rng = random.Random(seed)
+    base = [f"w{seed}q{i}" for i in range(300)]
+    texts = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(300), replaced[i % len(replaced)]):
+            copy[at] = f"x{seed}q{i}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def reached(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j]:
+                both = len(sets[i] & sets[j])
+                if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return root
+
+
+def test_no_link_of_a_dense_family_is_lost(spark):
+    """Families in which nearly all pairs are candidates and few are links, so that candidates are thinned."""
+    texts = family(260, (5, 6, 7), 1) + family(150, (6, 7), 2) + family(60, (1, 7), 3)
+    want = reached(texts)
+    assert 150 < len(set(want)) < len(texts) - 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (2048, 50):
+        got = {r.doc_id: r.component_id for r in near_copies.near_copies(df, tile=tile).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_exact_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    base = np.arange(1, 101, dtype=np.uint64)
+    grams = [np.unique(np.r_[base[rng.random(100) < 0.93], rng.integers(10**6, 10**7, 3).astype(np.uint64)]) for _ in range(60)] + [base[:0]]
+    everything = np.ones(61, bool)
+    root = list(range(61))
+    for a, b in near_copies.exact_links(np.arange(61), grams, everything, everything, 80):
+        both = len(np.intersect1d(grams[a], grams[b]))
+        assert 5 * both >= 4 * (len(grams[a]) + len(grams[b]) - both)
+        root = [root[a] if r == root[b] else r for r in root]
+    plain = list(range(61))
+    for a in range(61):
+        for b in range(a):
+            both = len(np.intersect1d(grams[a], grams[b]))
+            if len(grams[a]) and len(grams[b]) and 5 * both >= 4 * (len(grams[a]) + len(grams[b]) - both):
+                plain = [plain[a] if r == plain[b] else r for r in plain]
+    assert sorted(Counter(root).values()) == sorted(Counter(plain).values())
