@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from webframe import schemas
 from webframe.operators.slots import polite_slots
 from webframe.operators.stats import response_time_by_host, step_metrics, traffic_stats
+from webframe.plans.queries import QUERIES
 from webframe.sources.docs import read_docs
 from webframe.streaming import jobs
 
 START = datetime(2024, 1, 1)
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -253,3 +255,21 @@ def test_store_keeps_the_first_version(spark, stream):
         jobs.stream_store(stream(schemas.DOCS, *batches), stream.path("docs"), stream.path("ckpt"), available_now=True)
     )
     assert sorted((r.url, r.body) for r in read_docs(spark, stream.path("docs")).collect()) == [("a", "a0"), ("b", "b2")]
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The tables with pages in a folder of files, as large tables lie."""
+    sf = tmp_path_factory.mktemp("tables")
+    spark.read.parquet(f"{SMALL}/pages.parquet").repartition(3).write.parquet(str(sf / "pages.parquet"))
+    (sf / "events.parquet").symlink_to(f"{SMALL}/events.parquet")
+    return str(sf)
+
+
+def of_files_and_folders(spark, folders, name):
+    return [sorted(map(tuple, QUERIES[name](spark, sf).collect()), key=repr) for sf in (SMALL, folders)]
+
+
+def test_allowed_of_a_table_of_many_files(spark, folders):
+    one, many = of_files_and_folders(spark, folders, "stream_allowed")
+    assert len(one) == 50 and one == many
