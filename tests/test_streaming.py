@@ -273,3 +273,8 @@ def of_files_and_folders(spark, folders, name):
 def test_allowed_of_a_table_of_many_files(spark, folders):
     one, many = of_files_and_folders(spark, folders, "stream_allowed")
     assert len(one) == 50 and one == many
+
+
+def test_new_links_of_a_table_of_many_files(spark, folders):
+    one, many = of_files_and_folders(spark, folders, "stream_new_links")
+    assert one and one == many
