@@ -278,3 +278,8 @@ def test_allowed_of_a_table_of_many_files(spark, folders):
 def test_new_links_of_a_table_of_many_files(spark, folders):
     one, many = of_files_and_folders(spark, folders, "stream_new_links")
     assert one and one == many
+
+
+def test_store_of_a_table_of_many_files(spark, folders):
+    one, many = of_files_and_folders(spark, folders, "stream_store")
+    assert one and one == many
