@@ -148,3 +148,27 @@ def test_exact_links_join_what_all_pairs_join():
             if len(grams[a]) and len(grams[b]) and 5 * both >= 4 * (len(grams[a]) + len(grams[b]) - both):
                 plain = [plain[a] if r == plain[b] else r for r in plain]
     assert sorted(Counter(root).values()) == sorted(Counter(plain).values())
+
+
+def test_sketches_free_the_caches_of_other_operators(spark, frame):
+    """A worker that encoded texts before makes sketches without the encoder's words."""
+    from webframe.llm import near_copies, packing
+
+    import public_tokenizers
+
+    docs = frame([(i, f"some words of text number {i} and more") for i in range(8)], "doc_id long, text string").coalesce(1)
+    packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    marked = near_copies._sketched(docs, "doc_id", "text")
+    assert marked.count() == 8
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for batch in batches:
+            state = sys.modules.get("_webframe_worker_state")
+            encoder = state is not None and hasattr(state, "word_encoder")
+            yield pa.RecordBatch.from_arrays([pa.array([encoder] * batch.num_rows)], ["held"])
+
+    assert not any(r.held for r in docs.mapInArrow(held, "held boolean").collect())

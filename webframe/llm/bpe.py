@@ -227,7 +227,7 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes]:
 
 
 def _worker(spec: bytes, pattern: str) -> Bpe:
-    state = worker_state()
+    state = worker_state("bpe")
     key = (len(spec), zlib.crc32(spec), pattern)
     if getattr(state, "bpe", (None,))[0] != key:
         state.bpe = (key, Bpe(read_ranks(spec), pattern))

@@ -117,7 +117,7 @@ class WordEncoder:
 
 
 def _encoder(spec: bytes) -> WordEncoder:
-    state = worker_state()
+    state = worker_state("packing")
     key = (len(spec), zlib.crc32(spec))
     if getattr(state, "word_encoder", (None,))[0] != key:
         state.word_encoder = (key, WordEncoder(spec))

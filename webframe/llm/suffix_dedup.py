@@ -56,7 +56,7 @@ class Hashes:
     """Polynomial hashes of strings in a buffer, from sums over its prefixes. Powers are kept by the worker."""
 
     def __init__(self, seed: int, data: np.ndarray):
-        state = worker_state()
+        state = worker_state("suffix_dedup")
         kept = getattr(state, "suffix_powers", {})
         if seed not in kept or len(kept[seed][1]) < len(data):
             rng = np.random.default_rng(seed)
