@@ -112,6 +112,33 @@ def test_bucketed_links_are_joined_without_a_shuffle(frame, spark, graph, monkey
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("rows, buckets", [(None, 1), (40, 4), (1, 8)])
+def test_a_round_has_as_many_buckets_as_its_tables_need(frame, spark, graph, monkeypatch, rows, buckets):
+    """Not one for each of the session's 8 shuffle partitions, however little a round finds."""
+    nodes, edges = graph
+    if rows:
+        monkeypatch.setattr(C, "ROWS_PER_BUCKET", rows, raising=False)
+    monkeypatch.setattr(C, "MERGE_EVERY", 2)
+    found, others = set(), {t.name for t in spark.catalog.listTables()}
+    repeat = C.robots_allowed
+
+    def look(*a):
+        for t in spark.catalog.listTables():
+            if t.name not in others:
+                described = spark.sql(f"DESCRIBE EXTENDED {t.name}").filter("col_name = 'Num Buckets'")
+                found.update(int(r.data_type) for r in described.collect())
+        return repeat(*a)
+
+    monkeypatch.setattr(C, "robots_allowed", look)
+    edges = [e for e in edges if not e[1].startswith("http://h3/")]
+    edges = edges[:130] + [(nodes[0], d, 90 + p) for p, d in enumerate(nodes[1:3])]
+    domains = frame([(f"h{i}", True, None) for i in range(4)], schemas.DOMAINS)
+    got = C.crawl_closure(frame([(nodes[0],)], "url string"), frame(edges, schemas.EDGES), domains, no_rules(frame))
+    assert {tuple(r) for r in got.collect()} == breadth_first([nodes[0]], edges, set(), lambda d: True)
+    assert found == {buckets}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def odd_stop(df):
     return df.withColumn("stop", F.col("i") % 2 == 1)
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from webframe.operators.frontier import restrict_links
 from webframe.operators.robots import RuleLists, robots_allowed, rule_lists
-from webframe.session import new_folder, remove_folder, shuffle_partitions, written
+from webframe.session import held, new_folder, remove_folder, shuffle_partitions, shuffled_in, written
 from webframe.settings import CrawlSettings
 
 # A page's links are spread over buckets in runs of this many.
 RUN = 100_000
+# A round's tasks and files are as many as the buckets, so there is one for so many rows (see `_buckets`).
+ROWS_PER_BUCKET = 200_000
 # From this round on, and then whenever the number of rounds has doubled, links of pages that were
 # reached before are left behind: late rounds find few pages and should not read all links for them.
 REWRITE_FROM = 4
@@ -23,6 +25,15 @@ MERGE_EVERY = 16
 REACHED = "url string, allowed boolean, round int"
 
 
+def _buckets(spark: SparkSession, *tables: DataFrame) -> int:
+    """As many as the largest table needs, at most the number of shuffle partitions.
+
+    A crawl has many rounds that find little. One that deals it to all shuffle partitions costs as much as there are of
+    them, and with larger tables there are more of both, rounds and partitions."""
+    rows = max(t.count() for t in tables)
+    return min(shuffle_partitions(spark), rows // ROWS_PER_BUCKET + 1)
+
+
 def _write_bucketed(links: DataFrame, folder: str, tables: list[str]) -> DataFrame:
     """Links (src, run, dst) as a table bucketed by (src, run), so that no round has to shuffle them."""
     spark = links.sparkSession
@@ -82,12 +93,12 @@ def crawl_closure(
     bucketed by url, both in the shared work folder; what is rewritten or merged replaces what it was
     made of, and a run that breaks off leaves nothing. So a round shuffles only what it found, lineage
     stays short, and a lost executor costs only the running round. The driver sees one number per
-    round."""
+    round. Shuffles and buckets follow the size of the tables (`_buckets`): while the crawl runs, the session's
+    number of shuffle partitions is theirs."""
     spark = seeds.sparkSession
-    n = shuffle_partitions(spark)
     folder = new_folder(spark, "closure")
     lists = rules if isinstance(rules, RuleLists) else rule_lists(rules, custom, keep=True)
-    followed = restrict_links(edges, domains, settings.follow_links, settings.mode, url="dst")
+    followed = restrict_links(edges, domains, settings.follow_links, settings.mode, url="dst").select("src", "dst", "pos")
     link_tables: list[str] = []
     reached: list[str] = []  # tables of reached urls; the last one has the last round
 
@@ -101,6 +112,7 @@ def crawl_closure(
         return functools.reduce(DataFrame.unionByName, [spark.read.schema(REACHED).parquet(f"{folder}/{t}") for t in reached])
 
     def append_reached(rows: DataFrame, table: str) -> None:
+        n = shuffle_partitions(spark)
         writer = rows.repartition(n, "url").write.mode("append").bucketBy(n, "url").sortBy("url")
         writer.option("path", f"{folder}/{table}").saveAsTable(table)
         if table not in reached:
@@ -124,24 +136,28 @@ def crawl_closure(
 
     number = 0
     try:
-        links, long_pages = _bucketed_edges(followed, folder, link_tables)
-        more = finish_round(seeds.select("url").distinct(), number)
-        while (max_rounds is None or number < max_rounds) and more:
-            last = spark.table(reached[-1]).filter((F.col("round") == number) & F.col("allowed"))
-            front = last.select(F.col("url").alias("src"))
-            found = links.join(_runs(front, long_pages), ["src", "run"]).select(F.col("dst").alias("url")).distinct()
-            for t in reached:
-                found = found.join(spark.table(t).select("url"), "url", "left_anti")
-            number += 1
-            more = finish_round(found, number)
-            if more and number >= REWRITE_FROM and number & (number - 1) == 0:
+        with held(seeds.select("url").distinct(), "seeds") as start, held(followed, "followed") as rows:
+            n = _buckets(spark, start, rows, *[t for t in (lists.sites, lists.index) if t is not None])
+            with shuffled_in(spark, n):
+                links, long_pages = _bucketed_edges(rows, folder, link_tables)
+                more = finish_round(start, number)
+        with shuffled_in(spark, n):
+            while (max_rounds is None or number < max_rounds) and more:
+                last = spark.table(reached[-1]).filter((F.col("round") == number) & F.col("allowed"))
+                front = last.select(F.col("url").alias("src"))
+                found = links.join(_runs(front, long_pages), ["src", "run"]).select(F.col("dst").alias("url")).distinct()
                 for t in reached:
-                    past = spark.table(t).filter(F.col("round") < number).select(F.col("url").alias("src"))
-                    links = links.join(_runs(past, long_pages), ["src", "run"], "left_anti")
-                links = _write_bucketed(links, folder, link_tables)
-                drop(link_tables.pop(0))
-            if more and number % MERGE_EVERY == MERGE_EVERY - 1:
-                merge()
+                    found = found.join(spark.table(t).select("url"), "url", "left_anti")
+                number += 1
+                more = finish_round(found, number)
+                if more and number >= REWRITE_FROM and number & (number - 1) == 0:
+                    for t in reached:
+                        past = spark.table(t).filter(F.col("round") < number).select(F.col("url").alias("src"))
+                        links = links.join(_runs(past, long_pages), ["src", "run"], "left_anti")
+                    links = _write_bucketed(links, folder, link_tables)
+                    drop(link_tables.pop(0))
+                if more and number % MERGE_EVERY == MERGE_EVERY - 1:
+                    merge()
         for table in reached:
             drop(table, files=False)
         return read_files().select("url", "round", "allowed")
