@@ -74,3 +74,14 @@ def test_one_bad_page_does_not_end_a_job(frame):
     assert [tuple(r) for r in rows.collect()] == [(2**53 + 1, "deep")]
     assert [tuple(r) for r in failed.collect()] == [("http://h/2", "KeyError: 'no such thing'")]
     assert [tuple(r) for r in links.map_pages(docs, "http://h/", job, "n long, name string").collect()] == [(2**53 + 1, "deep")]
+
+
+def test_a_job_may_use_the_package_after_pages_were_decoded(frame):
+    """What a job refers to goes to the workers by value, also after other operators have used it on the driver."""
+    time = datetime(2024, 1, 1)
+    page = "<div class=x><h1>one</h1></div>"
+    responses = frame([("http://h/1", 200, {"content-type": "text/html; charset=utf-16"}, page.encode("utf-16"), 0.1, time)], schemas.RESPONSES)
+    docs = links.with_html(responses).select("url", "html")
+    assert [r.html for r in docs.collect()] == [page]
+    job = lambda url, body: {"name": links.css_extract(".x", "h1")(url, body)["name"]}
+    assert [tuple(r) for r in links.map_pages(docs, "http://h/", job, "name string", body="html").collect()] == [("one",)]
