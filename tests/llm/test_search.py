@@ -1,12 +1,16 @@
 """Ranked search, class-based language model and whitening against brute force."""
 
+import glob
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +149,65 @@ def test_transitions_add_up_to_one():
     assert (10 ** class_lm.smoothed(counts)).sum(axis=1) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7, 1 << 20])
+def test_transitions_in_pieces_equal_those_of_whole_texts(monkeypatch, piece):
+    """However many tokens are held at a time, and be a text longer than that."""
+    monkeypatch.setattr(class_lm, "PIECE", piece, raising=False)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, class_lm.START, n).astype(np.uint8).tobytes() for n in (1, 5, 1, 9, 40, 2, 1, 6, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["classes"])
+    for rows, part in ((texts, batch), (texts[2:7], batch.slice(2, 5)), ([], batch.slice(0, 0))):
+        got = [[] for _ in rows]
+        for step, starts, at in class_lm._steps(part):
+            assert len(step) <= piece
+            for k, some in enumerate(np.split(step, starts[1:])):
+                got[at + k] += some.tolist()
+        want = [[a * class_lm.STATES + b for a, b in zip([class_lm.START, *t], t)] for t in rows]
+        assert got == want
+
+
+def test_blocks_are_read_and_sent_to_python_one_at_a_time(spark, monkeypatch):
+    """Spark reads up to 4096 rows of a row group at once, and sends 64 MB: too much for rows of megabytes."""
+    groups, sent = [], []
+    write, frequent = class_lm.Steps.stored, class_lm.frequent_words
+
+    def look(self, df, name, *a, **k):
+        out = write(self, df, name, *a, **k)
+        if name == "coded":
+            files = [pq.ParquetFile(f) for f in glob.glob(f"{self.paths[id(out)].removeprefix('file:')}/*.parquet")]
+            groups.extend(f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups))
+        return out
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    def count(blocks, *a):
+        sent.extend(r.n for r in blocks.mapInArrow(sizes, "n long").collect())
+        return frequent(blocks, *a)
+
+    monkeypatch.setattr(class_lm.Steps, "stored", look)
+    monkeypatch.setattr(class_lm, "frequent_words", count)
+    rows = [(i, " ".join(f"w{(i * k) % 977}" for k in range(2000))) for i in range(60)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    out = class_lm.scored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rounds=1, block=50_000)
+    assert sum(groups) > 10 and set(groups) == {1} and max(sent) <= 2 and sum(sent) == sum(groups)
+    assert out.count() == 60 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == size
+
+
+def test_transitions_of_a_large_batch_take_little_memory():
+    """A batch of 4 million tokens: the last step of op12 held some 40 bytes a token, in each of an executor's workers."""
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([1, 2, class_lm.END]) * 400] * 3500, pa.binary())], ["classes"])
+    tracemalloc.start()
+    try:
+        for _ in class_lm._steps(batch):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 50 << 20
+
+
 def test_classes_predict_what_words_alone_do_not(spark):
     """Texts in which a word of one of four kinds is followed by one of the next kind: unseen texts gain by classes."""
     rng = random.Random(3)

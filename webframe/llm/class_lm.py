@@ -5,7 +5,8 @@ not 1 and scores all. Letters A-Z are lower-cased, words are runs of anything bu
 one end token.
 
 * Texts are coded once, in blocks of about `block` bytes: a block has its own list of words, as 64-bit hashes, and each text is
-  a run of numbers in it. Everything after that works on blocks, never on texts.
+  a run of numbers in it. Everything after that works on blocks, never on texts. Blocks are stored, read and sent to Python one
+  at a time.
 * Exchange clustering: a word's contexts are its left and right neighbours, the TOP most frequent words one by one, all others by
   hash into BINS. Words seen `least` times or more start in a class by their most telling context. In each round a share of
   them moves, a few at a time, each to the class that raises the likelihood of classes given contexts most. Every task moves its own
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webframe.llm.shared import Steps, shuffle_partitions
+from webframe.llm.shared import Steps, shuffle_partitions, small_batches
 
 CLASSES, TOP, BINS = 64, 96, 32
 CONTEXTS = TOP + BINS + 2  # and the start and the end of a text
@@ -43,6 +44,8 @@ PRIOR = 5.0
 #: Words that move at a time.
 FEW = 16
 BLOCK = 8 << 20
+#: Tokens whose transitions a task holds at a time.
+PIECE = 1 << 20
 CODED = "block long, doc_id array<long>, held_out array<boolean>, size array<int>, word array<long>, codes binary"
 
 
@@ -359,14 +362,25 @@ def _looked_up(blocks: DataFrame, words: DataFrame, rare: tuple[float, float], c
     return blocks.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, schema)
 
 
-def _steps(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The transitions of a batch's texts (class before * STATES + class), and where each text begins."""
-    raw = batch.column("classes").to_pylist()
-    starts = np.r_[0, np.cumsum([len(x) for x in raw])[:-1]].astype(np.int64)
-    classes = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-    before = np.r_[START, classes[:-1]]
-    before[starts] = START
-    return before * STATES + classes, starts
+def _steps(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The transitions of a batch's texts (class before * STATES + class), where each text begins, and the number of the first one.
+
+    About PIECE tokens at a time: of whole texts, or a piece of a longer one, which then goes on at place 0 of the next."""
+    if not batch.num_rows:
+        return
+    column = batch.column("classes").cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + batch.num_rows + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)
+    at, begin = 0, int(ends[0])
+    while at < batch.num_rows:
+        next_ = max(at + 1, int(np.searchsorted(ends, begin + PIECE, "right")) - 1)
+        stop = min(int(ends[next_]), begin + PIECE) if next_ == at + 1 else int(ends[next_])
+        classes = raw[begin:stop].astype(np.int32)
+        starts = np.maximum(ends[at:next_] - begin, 0)
+        before = np.r_[np.int32(START if begin == ends[at] else raw[begin - 1]), classes[:-1]]
+        before[starts[1:]] = START
+        yield before * np.int32(STATES) + classes, starts, at
+        at, begin = (next_, stop) if stop == ends[next_] else (at, stop)
 
 
 def transitions(texts: DataFrame) -> np.ndarray:
@@ -375,8 +389,8 @@ def transitions(texts: DataFrame) -> np.ndarray:
     def run(batches):
         found = np.zeros(STATES * STATES, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                found += np.bincount(_steps(batch)[0], minlength=STATES * STATES)
+            for step, _, _ in _steps(batch):
+                found += np.bincount(step, minlength=STATES * STATES)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["at", "n"])
 
@@ -400,8 +414,9 @@ def scored(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per document."""
     steps = Steps(docs.sparkSession)
-    blocks = steps.stored(coded(docs, doc_id, text, block), "coded")
-    words = steps.stored(word_contexts(blocks, frequent_words(blocks)), "words")
+    with small_batches(docs.sparkSession, block):
+        blocks = steps.stored(coded(docs, doc_id, text, block), "coded", group_rows=1)
+        words = steps.stored(word_contexts(blocks, frequent_words(blocks)), "words")
     word, n = F.col("word") != F.lit(_end_hash()), F.col("n")
     sums = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
@@ -417,7 +432,8 @@ def scored(
         class_n[r["class"]] = r["n"]
     rare = 0.5, sums["rare_n"] + 0.5 * (sums["rare_v"] + 1)
     base = 0.5, sums["n"] + 0.5 * (sums["v"] + 1)
-    texts = steps.stored(_looked_up(blocks, placed, rare, class_n, base), "classed")
+    with small_batches(docs.sparkSession, block):
+        texts = steps.stored(_looked_up(blocks, placed, rare, class_n, base), "classed")
     steps.drop(blocks)
     steps.drop(placed)
     table = smoothed(transitions(texts)).ravel()
@@ -425,8 +441,9 @@ def scored(
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                step, starts = _steps(batch)
-                score = np.add.reduceat(table[step], starts) + batch.column("emission").to_numpy()
+                score = batch.column("emission").to_numpy().copy()
+                for step, starts, at in _steps(batch):
+                    score[at : at + len(starts)] += np.add.reduceat(table[step], starts)
                 kept = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
                 all_ = pa.array(np.full(batch.num_rows, sums["n"], np.int64))
                 yield pa.RecordBatch.from_arrays(
