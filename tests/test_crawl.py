@@ -12,6 +12,7 @@ from webframe.operators.steps import Step, row_step, run_pipeline
 from webframe.plans import closure as C
 from webframe.plans import loop as L
 from webframe.plans.crawl import crawl_round, default_steps
+from webframe.plans.queries import QUERIES
 from webframe.session import work_folder
 from webframe.settings import CrawlSettings
 from webframe.sources.docs import read_docs
@@ -178,6 +179,42 @@ def test_a_row_that_fails_goes_on_unchanged(frame):
         assert sorted((r.i, r.twice, r.end) for r in rows if r.i <= 3) == [(0, 0, 1), (2, None, 1), (3, None, 1)]
 
 
+def test_rows_name_the_steps_they_missed(frame):
+    def user(row):
+        return {"i": row.i // (row.i - 2)}
+
+    narrow = Step("narrow", lambda df: df.select("i", "stopped_by"))
+    for steps, marks in (([broken, odd_stop, row_step("user", user, "i int")], {1: ["broken"], 2: ["broken", "user"], 0: ["broken"]}), ([broken, narrow], dict.fromkeys(range(3), ["broken"]))):
+        for timed in (False, True):
+            got = run_pipeline(frame([(i,) for i in range(3)], "i int"), steps, timed=timed)
+            assert {r.i: r.failed_steps for r in (got[0] if timed else got).collect()} == marks
+    assert [r.failed_steps for r in run_pipeline(frame([(1,)], "i int"), [odd_stop]).collect()] == [[]]
+
+
+def test_a_needed_step_is_never_left_out(frame):
+    for timed in (False, True):
+        with pytest.raises(Exception, match="nothing"):
+            run_pipeline(frame([(1,)], "i int"), [Step("broken", broken, needed=True)], timed=timed)
+
+
+@pytest.mark.parametrize("kw", [{}, {"timed": True}])
+def test_what_fails_while_spark_runs_is_raised(frame, kw):
+    """Not logged, and the step left out for all rows as if it stopped none."""
+    lost = Step("lost", lambda df: df.withColumn("stop", F.raise_error(F.lit("lost a file")).cast("boolean")))
+    with pytest.raises(Exception, match="lost a file"):
+        run_pipeline(frame([(1,)], "i int"), [lost], **kw)
+
+
+@pytest.mark.parametrize("name", ["stop_counts", "pipeline_calls", "crawl_round_log"])
+def test_a_failure_of_the_robots_check_does_not_look_like_a_result(spark, monkeypatch, name):
+    def fail(*a):
+        raise OSError("no rules")
+
+    monkeypatch.setattr("webframe.plans.crawl.robots_allowed", fail)
+    with pytest.raises(OSError, match="no rules"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_timed_steps(frame):
     got, events = run_pipeline(frame([(i,) for i in range(6)], "i int"), [odd_stop, Step("id", lambda d: d)], timed=True)
     assert got.count() == 6
