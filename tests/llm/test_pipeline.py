@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tests.llm.conftest import DOCS
 from tests.llm.test_near_copies import similarity
 from tests.llm.test_texts import EMAIL, plain_base
 from webframe.llm import packing, queries
@@ -80,6 +81,21 @@ def test_stages(spark, docs):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(clean)
 
 
+def test_personal_data_stage_leaves_nothing_out(spark):
+    texts = {
+        "call +1 (269) 555-3296 4524132264652876 and on": "call [PHONE] [CARD] and on",
+        "e 27.204.213.132 4116106959541135\nnext 4451718024887799 27.65.93.188": "e [IP] [CARD]\nnext [CARD] [IP]",
+        "thst token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" with": "thst token = \"[SECRET]\" with",
+        "and password=b7db7aa4a5fcc78305 en": "and password=[SECRET] en",
+        "{'db_password': 'correct-horse'} a.b@c.de": "{'db_password': '[SECRET]'} [EMAIL]",
+        "a token: something short, password=unknown, key = 123456789 b=9807915762804490": None,
+    }
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = corpus_pipeline.personal_data_stage(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    want = [new or old for old, new in texts.items()]
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == [(i, t, len(t)) for i, t in enumerate(want)]
+
+
 def test_stages_take_empty_and_odd_tables(spark, odd, none):
     for table in (none, odd.select("doc_id", "text", "lang", "source", "n_chars", "kept", "fp")):
         docs = table

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webframe.llm import bpe, packing, pii, quality_rules, weak_quality
+from webframe.llm import bpe, packing, pii, quality_rules, trees, weak_quality
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -98,6 +98,51 @@ def test_scans_are_linear():
         find(t)
 
 
+CARDS = ("4111 1111 1111 1111", "4111111111111111", "5500-0055-5555-5559", "3782 822463 10005")
+PHONE_NUMBERS = ("+1 (826) 555-4081", "+49 30 12345678")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        *((f"x {a} {b} y", f"x [PHONE] {c} y") for a in PHONE_NUMBERS for b, c in [("190.137.223.204", "[IP]"), *((c, "[CARD]") for c in CARDS)]),
+        *((f"x {a} {b}, {c} y", f"x [CARD] {d}, [CARD] y") for a, c in zip(CARDS, CARDS[1:]) for b, d in [("27.65.93.188", "[IP]"), ("2024 11", "2024 11")]),
+        ("x 4111111111111111 4111111111111111 4111111111111111 y", "x [CARD] [CARD] [CARD] y"),
+        ("x +1 (836) 555-9331 4913187196670932 53.121.55.90 y", "x [PHONE] [CARD] [IP] y"),
+        ("x +49 30 1234567 030 7654321 y", "x [PHONE] 7654321 y"),
+        ("x DE89 3704 0044 0532 0130 00, y", "x [ID], y"),
+        ("x DE88 3704 0044 0532 0130 00, y", "x DE88 3704 0044 0532 0130 00, y"),
+        ("x 9807915762804490, 4111111111111112 27.65.93.188 y", "x 9807915762804490, 4111111111111112 [IP] y"),
+    ],
+)
+def test_numbers_that_run_together_are_found_one_by_one(spark, text, want):
+    """A match that takes in two of them fails its check, and both stayed in the text."""
+    model = trees.boost(np.zeros((0, pii.WIDTH)), np.zeros(0), np.zeros(0))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.personal_data(df, model, 1.1)  # of loose forms none
+    assert pii.redacted(found).first().text == want
+    assert [(s.kind, s.start, s.end) for s in found.first().spans if s.base] == plain_base(text)
+
+
+def test_no_base_match_is_left_in_redacted_texts():
+    rng, find, model = random.Random(9), pii.Finder(), trees.boost(np.zeros((0, pii.WIDTH)), np.zeros(0), np.zeros(0))
+    parts = ["+1 (826) 555-4081", "4111111111111111", "4524132264652876", "10.0.0.1", "a@b.c", " ", " ", " ", "-", ".", "2024", "7", "+49 30 1234567", "x", "5500 0055 5555 5559"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        out = list(t)
+        for s in pii.spans_of(find, t, model, 1.1):
+            out[s["start"] : s["end"]] = "\0" * (s["end"] - s["start"])
+        assert not plain_base("".join(out)), t
+
+
+def test_looking_again_is_linear():
+    find = pii.Finder()
+    for t in ("1 " * 150_000, "4111 1111 1111 1111 " * 15_000, "+1 234 567 890 123 456 7890 " * 10_000, "1111 2222 3333 4445 " * 15_000, "+1 (" * 80_000 + "1" * 30, "+1" + " " * 300_000 + "1" * 30):
+        find.run_together(t, find(t)[0])
+    for t in ("token=" * 50_000, "=" * 300_000, "token='" * 40_000, "password=" + "a" * 300_000):
+        find.secrets(t)
+
+
 def test_personal_data_and_redaction(docs, docs_rows, odd, none):
     model, threshold = pii.fit(pii.candidates(docs))
     found = pii.personal_data(docs, model, threshold)

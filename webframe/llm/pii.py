@@ -9,6 +9,10 @@ The sample for that is bounded (`sample` candidates, the smallest by a hash of i
 spread over all rows; a fifth of it is held out to calibrate probabilities and to choose the threshold
 at which `precision` is reached. Unsettled candidates above it that touch no settled span are added, the
 most probable first where they overlap each other; a look-alike that fails its check is never added.
+A format may run on into a neighbour and fail for that, such as a phone number before a card number. What is
+left when found spans are taken out is searched again, until nothing more is found; these spans are settled and
+added, and so are account numbers whose checksum is right. On demand (`secrets`), values that are given to a password, token
+or key (`password=...`, `token = "..."`: eight characters or more, in quotes or with a digit) are settled spans as well.
 
 Spans count code points, ends exclusive. Null texts have no spans and stay null when redacted. Every row is
 judged on its own, so repeated rows and ids do no harm. Every scan is linear in the text."""
@@ -35,6 +39,8 @@ CLUES = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "whatsapp"),
     "id": ("ssn", "iban", "passport", "account", "konto", "social", "tax"),
 }
+#: What a secret is given to, at the end of a name such as db_password.
+SECRET = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "secret_key", "private_key")
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,p:float>>"
 
 
@@ -53,6 +59,11 @@ class Finder:
         self.number = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9])+")
         self.account = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
         self.any_digit = re.compile(r"[0-9]")
+        self.given = re.compile(r"""[=:][ ]?(?:(["'])([^\s"']{8,})\1|([A-Za-z0-9_+/.~!@#$%^&*-]{8,}))""")
+        self.run_on = False  # whether the last text held more digits in one run than a card number has
+        # in groups, a hyphen binds a group to its neighbour
+        grouped = r"[3-6][0-9]{3}(?:([ -])[0-9]{4}(?:\2[0-9]{4}){2}|([ -])[0-9]{6}\3[0-9]{5})"
+        self.whole_card = re.compile(rf"(?<![0-9])(?=([0-9]{{13,19}}(?![0-9])|(?<![0-9]-){grouped}(?![0-9]|-[0-9])))")
 
     def _left(self, text: str, at: int, floor: int) -> int:
         while at > floor and text[at - 1] in self.local:
@@ -105,6 +116,7 @@ class Finder:
             d = m.group().replace(" ", "").replace("-", "")
             if 12 <= len(d) <= 19:
                 (base if self.luhn(d) else failed).append(("card", m.start(), m.end()))
+            self.run_on |= len(d) > 19
         if "+" in text:
             for m in self.plus.finditer(text):
                 n = sum(c.isdigit() for c in m.group())
@@ -124,12 +136,64 @@ class Finder:
 
     def __call__(self, text: str) -> tuple[list, list, list]:
         base, loose = self.emails(text)
-        failed = []
+        failed, self.run_on = [], False
         if self.any_digit.search(text):
             more, failed, rest = self.numbers(text)
             base, loose = base + more, loose + rest
         return base, failed, loose
 
+    def _cards(self, text: str) -> list:
+        """Card numbers written as cards are, whatever digits stand before or after."""
+        out, done = [], 0
+        for m in self.whole_card.finditer(text):
+            a, b = m.span(1)
+            if a >= done and self.luhn(m.group(1).replace(" ", "").replace("-", "")):
+                out.append(("card", a, b))
+                done = b
+        return out
+
+    def _phones(self, text: str) -> list:
+        """Of what has too many digits for a phone number, the most that has not, up to a space."""
+        out = []
+        for m in self.plus.finditer(text):
+            n, end, before = 0, 0, ""
+            for i, c in enumerate(m.group()):
+                if c == " " and before.isdigit() and 9 <= n <= 15:
+                    end = m.start() + i
+                n, before = n + c.isdigit(), c
+                if n > 15:
+                    break
+            if n > 15 and end:
+                out.append(("phone", m.start(), end))
+        return out
+
+    def run_together(self, text: str, base: list) -> list:
+        """Further spans that pass a check, beside the base spans: those of numbers that follow one another so closely that
+        one match takes in several and fails. Found spans are blotted out and the rest is searched again."""
+        out, found, left = [], base, list(text)
+        while True:
+            for _, a, b in found:
+                left[a:b] = "\0" * (b - a)
+            text = "".join(left)
+            found = self.numbers(text)[0] or self._cards(text) or self._phones(text)
+            if not found:
+                return out
+            out += found
+
+    def secrets(self, text: str) -> list:
+        out = []
+        for m in self.given.finditer(text):
+            name = text[max(0, m.start() - 24) : m.start()].rstrip(" \"'").lower()
+            quoted = m.group(2) is not None
+            if name.endswith(SECRET) and (quoted or self.any_digit.search(m.group(3))):
+                out.append(("secret", *m.span(2 if quoted else 3)))
+        return out
+
+    @staticmethod
+    def account_ok(shown: str) -> bool:
+        packed = shown.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+
     def features(self, text: str, span: tuple[str, int, int]) -> list[float]:
         kind, a, b = span
         shown, before, after = text[a:b], text[max(0, a - 24) : a].lower(), text[b : b + 12]
@@ -202,30 +266,34 @@ def fit(found: DataFrame, sample: int = 20_000, precision: float = 0.98) -> tupl
     return model, threshold
 
 
-def spans_of(find: Finder, text: str, model: Trees, threshold: float) -> list[dict]:
-    """Base spans, and the candidates chosen beside them, by start."""
+def spans_of(find: Finder, text: str, model: Trees, threshold: float, secrets: bool = False) -> list[dict]:
+    """Base spans, other settled ones, and the candidates chosen beside them, by start."""
     base, failed, others = find(text)
     out = [{"kind": k, "start": a, "end": b, "base": True, "p": 1.0} for k, a, b in base]
+    more = find.run_together(text, base) if failed or find.run_on else []
+    more += find.secrets(text) if secrets else []
+    more += [(k, a, b) for k, a, b in others if k == "id" and text[a].isalpha() and find.account_ok(text[a:b])]
+    out += [{"kind": k, "start": a, "end": b, "base": False, "p": 1.0} for k, a, b in more]
     if others:
-        taken = [(a, b) for _, a, b in base + failed]
+        taken = [(a, b) for _, a, b in base + failed + more]
         p = model.probability(np.array([find.features(text, s) for s in others]))
         for i in sorted(range(len(others)), key=lambda i: (-p[i], others[i][1], -others[i][2], KINDS.index(others[i][0]))):
             k, a, b = others[i]
             if p[i] >= threshold and all(b <= s or e <= a for s, e in taken):
                 taken.append((a, b))
                 out.append({"kind": k, "start": a, "end": b, "base": False, "p": float(p[i])})
-    return sorted(out, key=lambda s: (s["start"], KINDS.index(s["kind"]), s["end"]))
+    return sorted(out, key=lambda s: (s["start"], (*KINDS, "secret").index(s["kind"]), s["end"]))
 
 
-def personal_data(docs: DataFrame, model: Trees, threshold: float, text: str = "text") -> DataFrame:
-    """docs as a struct column `row`, and spans: kind, start, end, base, p."""
+def personal_data(docs: DataFrame, model: Trees, threshold: float, text: str = "text", secrets: bool = False) -> DataFrame:
+    """docs as a struct column `row`, and spans: kind, start, end, base, p. `secrets`: those of kind secret as well."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     kept = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("p", pa.float32())]))
 
     def run(batches):
         find = Finder()
         for part in blocks_of(batches, "text", 8 << 20):
-            spans = [spans_of(find, t, model, threshold) if t else [] for t in part.column("text").to_pylist()]
+            spans = [spans_of(find, t, model, threshold, secrets) if t else [] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(spans, kept)], ["row", "spans"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, spans {SPAN}")
